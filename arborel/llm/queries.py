@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam
+from ..shipping import ensure
+from . import decontam, tokenbin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ensure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+def vocabulary_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_file(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), end_id=1)
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
 
 SQL = {
     "op2_decontaminate": r"""
