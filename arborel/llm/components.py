@@ -34,5 +34,5 @@ def components(links: DataFrame) -> DataFrame:
     found = maps[0].select("node", F.col("to").alias("root"))
     for step in maps[1:]:
         found = found.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    least = found.groupBy("root").agg(F.min("node").alias("component"))
+    least = written(found.groupBy("root").agg(F.min("node").alias("component")), "least")
     return written(found.join(least, "root").select("node", "component"), "components")

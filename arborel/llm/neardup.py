@@ -178,8 +178,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     nodes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value(F.struct("n", "registers")).alias("s")).select("node", "key", "s.n", "s.registers"), "nodes")
     met = nodes.select("node", "registers").mapInArrow(_bands(m, r), "band long, node long")
     met = written(met, "bands")
-    crowds = met.groupBy("band").agg(F.count("*").alias("crowd"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "crowd")
+    # Sums are written before they are joined: then both sides are plain shuffles, and hot keys are split.
+    crowds = written(met.groupBy("band").agg(F.count("*").alias("crowd"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "crowd"), "crowds")
     meetings = met.join(crowds, "band")
+    meetings = written(meetings, "meetings")
     scores = meetings.groupBy("node").agg(F.sum("crowd").alias("score"))
     members = written(meetings.join(scores, "node").select("band", "node", "score"), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
@@ -197,7 +199,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links, labels, tried, used = None, None, None, None
     while True:
         lab = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = lab.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("crowd")).where("low < high").select("band", "crowd")
+        lab = lab if labels is None else written(lab, "labelled")
+        mixed = written(lab.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("crowd")).where("low < high").select("band", "crowd"), "mixed")
         live = written(lab.select("band", "node", "score", "component").join(mixed, "band"), "live")
         rows, ends = live.agg(F.count("*"), F.sum("crowd")).first()
         if not rows:
