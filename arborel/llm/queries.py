@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ensure
-from . import decontam, langid, neardup, substring, tokenbin
+from . import decontam, langid, neardup, quality, substring, tokenbin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.fit(docs, labels), threshold=0.3)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op6_quality": op6_quality, "op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
 
 SQL = {
     "op8_near_duplicates": r"""
