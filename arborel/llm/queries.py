@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ensure
-from . import decontam, langid, neardup, quality, substring, tokenbin
+from . import decontam, langid, mediats, neardup, quality, substring, tokenbin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op6_quality": op6_quality, "op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mediats.media_features(mediats.to_media(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op5_media": op5_media, "op6_quality": op6_quality, "op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
 
 SQL = {
     "op8_near_duplicates": r"""
