@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ensure
-from . import decontam, langid, mediats, neardup, quality, substring, tokenbin
+from . import decontam, langid, mediats, neardup, quality, substring, tokenbin, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,20 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mediats.media_features(mediats.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_media": op5_media, "op6_quality": op6_quality, "op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op7_warc": op7_warc, "op5_media": op5_media, "op6_quality": op6_quality, "op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
 
 SQL = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS newest FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN newest > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN newest > page_id THEN newest END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND payload_bytes >= 1000
+""",
     "op8_near_duplicates": r"""
 WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS ws FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g
