@@ -10,11 +10,11 @@ Documents with equal sets form a class, kept as one node.  Bands of registers
 key the buckets in which nodes meet; candidates pass a joint likelihood
 estimate from their registers and then an exact comparison of the full sets.
 
-Buckets are not expanded into all pairs while they are large.  In rounds, the
-node of a bucket that meets most others is its hub and is compared with all
-members of other components; buckets within one component are done.  When the
-pairs that remain are few against the rows, they are all compared.  So every
-pair that shares a bucket is either compared or already in one component.
+Buckets are not expanded into all pairs.  The node of a bucket that meets most
+others is its hub.  All members are compared with their hubs, which closes
+most groups.  Members of a hub that are then outside its largest component are
+compared with all its members, in blocks of bounded size that give links only.
+So every pair that shares a bucket is compared or within one component.
 A pair at the threshold shares no bucket with probability (1 - 0.8**r)**bands,
 6e-7 for the defaults.
 """
@@ -99,6 +99,41 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (low + high) / 2
 
 
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of incidence matrices."""
+    values, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in [*a, *b]])
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    total = np.zeros((len(a), len(b)), np.float64)
+    for begin in range(0, len(values), width):
+        x, y = np.searchsorted(place, [begin, begin + width])
+        part = np.zeros((len(a) + len(b), width), np.float32)
+        part[row[x:y], place[x:y] - begin] = 1
+        total += part[: len(a)] @ part[len(a) :].T
+    return total
+
+
+def _compare(percent: int):
+    """Links between two blocks of (node, component, shingles): one for each pair of components at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c).slice(k, 1).flatten() for c in (0, 1))
+                node, part, sets = zip(*((s.field(0).to_numpy(), s.field(1).to_numpy(), np.split(s.field(2).flatten().to_numpy(), np.cumsum(s.field(2).value_lengths().to_numpy())[:-1])) for s in (x, y)), strict=True)
+                common = _intersections(*sets)
+                size = [np.array([len(s) for s in each], float) for each in sets]
+                linked = 100 * common >= percent * (size[0][:, None] + size[1][None] - common)
+                i, j = np.nonzero(linked & (part[0][:, None] != part[1][None]))
+                pairs = np.column_stack([part[0][i], part[1][j]])
+                _, once = np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)
+                a, b = node[0][i[once]], node[1][j[once]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
 SKETCH = "doc_id long, n long, key binary, registers binary"
 
 
@@ -161,7 +196,7 @@ def _sets(size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, r: int = 5, bands: int = 36, margin: float = 0.17) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, r: int = 5, bands: int = 36, margin: float = 0.17, block: int = 128) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.
 
     Documents link when 100 * intersection >= percent * union of their sets of
@@ -196,37 +231,26 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         both = likely.join(sb, "b").join(sa, "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return written(both.where(f"100 * common >= {percent} * (total - common)").select("a", "b").distinct(), "links")
 
-    links, labels, tried, used = None, None, None, None
-    while True:
-        lab = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        lab = lab if labels is None else written(lab, "labelled")
-        mixed = written(lab.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("crowd")).where("low < high").select("band", "crowd"), "mixed")
-        live = written(lab.select("band", "node", "score", "component").join(mixed, "band"), "live")
-        rows, ends = live.agg(F.count("*"), F.sum("crowd")).first()
-        if not rows:
-            break
-        if ends <= 8 * rows:  # as many pair ends as eight a row: compare what is left
-            x, y = (live.select("band", F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-            pairs = x.join(y, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
-        else:
-            free = live if used is None else live.join(used, ["band", "node"], "left_anti")
-            hubs = written(free.groupBy("band").agg(F.max(F.struct("score", "node", "component")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("own")), "hubs")
-            spent = hubs.select("band", F.col("hub").alias("node"))
-            used = spent if used is None else used.unionAll(spent)
-            pairs = live.join(hubs, "band").where("component <> own").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        last = ends <= 8 * rows
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        new = verified(pairs)
-        links = new if links is None else links.unionAll(new)
-        labels = components(links)
-        if last:
-            break
+    hubs = written(members.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub")), "hubs")
+    meet = written(members.join(hubs, "band").select("hub", "node").distinct(), "meet")
+    first = verified(meet.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    labels = components(first)
+
+    # Where hub and members are of several components: those outside the largest, against all, in blocks.
+    groups = written(meet.join(labels, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component")), "groups")
+    parts = groups.groupBy("hub", "component").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("hub").agg(F.sum("k").alias("crowd"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = written(mixed.select("hub", F.col("most.component").alias("main"), F.ceil((F.col("crowd") - F.col("most.k")) / block).alias("rows"), F.ceil(F.col("crowd") / block).alias("columns")), "mixed")
+    entry = F.struct("node", "component", "shingles").alias("entry")
+    rest = groups.join(mixed, "hub").join(sets, "node").select("hub", F.xxhash64("node").alias("h"), (F.col("component") != F.col("main")).alias("outside"), "rows", "columns", entry)
+    left = rest.where("outside").groupBy("hub", F.expr("pmod(h, rows)").alias("i")).agg(F.collect_list("entry").alias("x"))
+    right = rest.groupBy("hub", F.expr("pmod(h, columns)").alias("j")).agg(F.collect_list("entry").alias("y"))
+    index = mixed.select("hub", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), "columns").select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+    blocks = index.join(left, ["hub", "i"]).join(right, ["hub", "j"]).select("x", "y")
+    second = blocks.mapInArrow(_compare(percent), "a long, b long")
+    labels = components(written(second.distinct(), "links"), labels)
     classes = nodes.select("key", "node")
-    if labels is not None:
-        classes = classes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    else:
-        classes = classes.select("key", F.col("node").alias("component"))
+    classes = classes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     done = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left")
     component = F.coalesce("component", "doc_id")
     return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
