@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ensure
-from . import decontam, langid, mediats, neardup, quality, substring, tokenbin, warc
+from . import decontam, langid, mediats, mergedrop, neardup, quality, substring, tokenbin, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op7_warc": op7_warc, "op5_media": op5_media, "op6_quality": op6_quality, "op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+def coder() -> mergedrop.MergeDropout:
+    return mergedrop.MergeDropout(vocabulary_file("piece_bpe_32k.model"), rate=0.1, seed=20_240_601)
+
+
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mergedrop.round_trip(table(spark, sf_dir, "documents"), coder())
+
+
+QUERIES = {"op10_merge_dropout": op10_merge_dropout, "op9_main_text": op9_main_text, "op7_warc": op7_warc, "op5_media": op5_media, "op6_quality": op6_quality, "op3_language_id": op3_language_id, "op8_near_duplicates": op8_near_duplicates, "op1_substring_dedup": op1_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_token_file": op4_token_file}
 
 SQL = {
     "op7_warc": """

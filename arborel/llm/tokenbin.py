@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import new_path
+from .common import LOWER, SPACE, new_path
 
 MAGIC = b"TKPK"
 HEAD = struct.Struct("<4sIIQQ")
 FOOT = struct.Struct("<QQ")
-#: Chunks of text that one worker keeps encoded; beyond it the memory starts anew.
-MEMO = 400_000
+#: Chunks of text that one worker keeps encoded; beyond it those that did not recur go.
+MEMO = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -140,62 +140,119 @@ class ShardReader:
         self.file.close()
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+_MARK = np.zeros(256, bool)
+_MARK[[0x2C, 0x2E]] = True
+
+
 class Encoder:
-    """Encodes texts with a tokenizer whose pre-tokens never cross white space.
+    """Encodes texts with a lower-casing tokenizer of words that end in a suffix.
 
-    Such a tokenizer gives a text the ids of its chunks between ASCII white
-    space, one after the other; each distinct chunk is encoded once and kept.
-    A text with a special token's string is encoded as a whole.
+    Such a tokenizer drops white space and never joins across it, so a text has
+    the ids of its chunks, one after another.  Each distinct chunk goes through
+    the library once and is kept while it recurs.  A comma or full stop between
+    a letter and white space is a chunk of its own, as it is for the tokenizer.
+    Texts that may hold a special token's string are encoded as a whole.
     """
 
-    def __init__(self, path: str):
-        self.path, self.tokenizer = path, None
+    def __init__(self, path: str, suffix: str = "</w>"):
+        self.path, self.suffix, self.tokenizer = path, suffix, None
 
     def __getstate__(self):
-        return {"path": self.path, "tokenizer": None}
+        return {"path": self.path, "suffix": self.suffix, "tokenizer": None}
 
     def load(self) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.tokenizer.no_truncation()
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
         self.known: dict[bytes, int] = {}
-        self.flat, self.begin, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.length, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def keep(self, chunks: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        k, n = len(self.known), len(chunks)
+        while k + n > len(self.begin):
+            self.begin, self.length, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.hits))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[k : k + n], self.length[k : k + n], self.hits[k : k + n] = self.used + np.cumsum(lengths) - lengths, lengths, 0
+        self.known.update(zip(chunks, range(k, k + n), strict=True))
+        self.used += len(ids)
 
     def learn(self, chunks: list[bytes]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), strict=True):
-            k, ids = len(self.known), e.ids
-            if k >= len(self.begin):
-                self.begin, self.length = np.resize(self.begin, 2 * k), np.resize(self.length, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[k], self.length[k], self.known[c] = self.used, len(ids), k
-            self.used += len(ids)
+        """Words of ASCII letters are one pre-token each: they go in groups, cut by the suffix."""
+        rest = [c for c in chunks if not c.isalpha()]
+        words = [c for c in chunks if c.isalpha()]
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for at in range(0, len(groups), 25):  # the library's results are large; few live at a time
+            part = groups[at : at + 25]
+            for group, ids in zip(part, self.ids([b" ".join(g).decode() for g in part]), strict=True):
+                flat = np.array(ids, np.uint32)
+                ends = np.flatnonzero(self.closes[flat]) + 1
+                if len(ends) == len(group):
+                    self.keep(group, flat, np.diff(ends, prepend=0))
+                else:
+                    rest += group
+        for i in range(0, len(rest), 1000):
+            part = rest[i : i + 1000]
+            ids = self.ids([c.decode() for c in part])
+            self.keep(part, np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def forget(self) -> None:
+        """Keep what was met at least twice since the last time."""
+        n = len(self.known)
+        stay = np.flatnonzero(self.hits[:n] > 1)
+        words = list(self.known)
+        begin, length, flat = self.begin[stay], self.length[stay], self.flat
+        at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        self.known, self.used = {}, 0
+        self.keep([words[i] for i in stay.tolist()], flat[at], length)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text with the end id, all ids one after another)."""
         if self.tokenizer is None:
             self.load()
         if len(self.known) > MEMO:
-            self.load()
-        chunks = [[t] if any(s in t for s in self.specials) else t.split() for t in texts]
-        fresh = list(dict.fromkeys(c for c in itertools.chain.from_iterable(chunks) if c not in self.known))
-        self.learn(fresh)
-        counts = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
-        get = self.known.__getitem__
-        which = np.full(int(counts.sum()), -1, np.int64)
-        is_end = np.zeros(len(which), bool)
-        is_end[np.cumsum(counts) - 1] = True
-        which[~is_end] = np.fromiter(map(get, itertools.chain.from_iterable(chunks)), np.int64, len(which) - len(texts))
-        lengths = np.where(is_end, 1, self.length[which])
-        place = np.cumsum(lengths) - lengths
-        source = np.repeat(np.where(is_end, 0, self.begin[which]) - place, lengths) + np.arange(int(lengths.sum()))
-        ids = self.flat[source]
-        ids[place[is_end]] = end_id
-        return np.add.reduceat(lengths, np.cumsum(counts) - counts), ids
+            self.forget()
+        odd = {i: t for i, t in enumerate(texts) if b"<|" in t}
+        raw = b"\n".join(b"" if i in odd else t for i, t in enumerate(texts)) + b"\n"
+        data = LOWER[np.frombuffer(raw, np.uint8)]
+        cut = np.flatnonzero(_LETTER[data[:-2]] & _MARK[data[1:-1]] & SPACE[data[2:]]) + 1
+        heads = np.cumsum([0] + [0 if i in odd else len(t) for i, t in enumerate(texts)]) + np.arange(len(texts) + 1)
+        heads += np.searchsorted(cut, heads)
+        data = np.insert(data, cut, 0x20)
+        blank = SPACE[data]
+        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        counts = np.diff(np.searchsorted(starts, heads))
+        chunks = data.tobytes().split()
+        which = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(which < 0).tolist()
+        if new:
+            missing = [chunks[i] for i in new]
+            self.learn(list(dict.fromkeys(missing)))
+            which[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(new))
+        self.hits[: len(self.known)] += np.bincount(which, minlength=len(self.known))
+        lengths = self.length[which]
+        place = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.repeat(self.begin[which] - place[:-1], lengths) + np.arange(place[-1])]
+        ends = place[np.cumsum(counts)]
+        sizes = np.diff(ends, prepend=0) + 1
+        ids = np.insert(ids, ends, end_id)
+        if odd:
+            split = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, found in zip(odd, self.ids([t.decode() for t in odd.values()]), strict=True):
+                split[i], sizes[i] = np.array([*found, end_id], np.uint32), len(found) + 1
+            ids = np.concatenate(split)
+        return sizes, ids
 
 
 MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("uri", T.StringType()), ("docs", T.LongType()), ("ids", T.LongType()))])
