@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of one Arrow record batch are worked on in pieces of about this many bytes.
 PIECE_BYTES = 1 << 20
@@ -56,6 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame, text: str) -> Column:
+    """All columns of df but the text as one struct, to go along through a pass in Python."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("whole")
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array, without a copy.
 

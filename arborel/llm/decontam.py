@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import written
+from .common import whole_row, written
 
 #: Byte map of the normal form: ASCII letters are lowered, bytes that are
 #: neither ASCII letters, digits nor part of a non-ASCII character are spaces.
@@ -121,19 +121,20 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_
 
 
 def _scan(source: DataFrame, patterns) -> DataFrame:
-    """One scan of (doc_id, text, row) with one broadcast automaton."""
-    schema = T.StructType([*HITS.fields, T.StructField("row", T.LongType())])
+    """One scan of (doc_id, text, row) with one broadcast automaton; text and whole, if there, go along."""
+    carry = "whole" in source.columns
+    schema = T.StructType([*HITS.fields, T.StructField("row", T.LongType()), *([source.schema["text"], source.schema["whole"]] if carry else [])])
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
-            for key, value, row in zip(*batch.columns, strict=True):
+            for key, value, row in zip(*batch.columns[:3], strict=True):
                 n, hit, items = patterns.value.scan(value.as_py())
                 found = (key.as_py(), n, 0 if hit is None else int(hit.sum()), sorted(items), [] if hit is None else _runs(hit), row.as_py())
                 for o, v in zip(out, found, strict=True):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(o, t) for o, t in zip(out, kinds, strict=True)), *([batch.column(1), batch.column(3)] if carry else [])], names=schema.names)
 
     return source.mapInArrow(scan, schema)
 
@@ -154,8 +155,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], names=HITS.names)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 4_000_000) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, items, spans.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 4_000_000, carry: bool = False) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, items, spans; with carry also text, and the row's other columns as a struct.
 
     spans lists first, end, first, end ... of runs of hit words.  Null and
     empty texts have no words; items without words or with a null id are
@@ -163,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     judged each by itself.  Other columns of the inputs are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("row"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("row"), *([whole_row(docs, text)] if carry else []))
     parts = blocks(benchmark, item_id, item_text, window, block_words)
     first, second = next(parts, []), next(parts, None)
     if second is None:
@@ -171,14 +172,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     found = []
     for block in itertools.chain([first, second], parts):
         sent = spark.sparkContext.broadcast(Patterns(block, window))
-        result = _scan(source, sent)
+        result = _scan(source if not found else source.select("doc_id", "text", "row"), sent)
         found.append(written(result if not found else result.where("n_hit > 0").dropDuplicates(["doc_id", "row"]), "hits"))
         sent.destroy()
     more = functools.reduce(DataFrame.unionAll, found[1:]).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("items")).alias("more"), F.flatten(F.collect_list("spans")).alias("further"))
     one = found[0].alias("a").join(more.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.row").eqNullSafe(F.col("b.row")), "left")
     none = F.array()
-    both = one.select("a.doc_id", "n_words", F.concat("items", F.coalesce("more", none.cast("array<string>"))).alias("items"), F.concat("spans", F.coalesce("further", none.cast("array<int>"))).alias("spans"))
-    return both.mapInArrow(_joined, HITS)
+    both = one.select("a.doc_id", "n_words", F.concat("items", F.coalesce("more", none.cast("array<string>"))).alias("items"), F.concat("spans", F.coalesce("further", none.cast("array<int>"))).alias("spans"), *(["a.text", "a.whole"] if carry else []))
+    return both.mapInArrow(_joined, T.StructType([*HITS.fields, *both.schema.fields[4:]]))
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

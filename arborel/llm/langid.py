@@ -17,9 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import mix64, pieces
+from .common import mix64, pieces, whole_row
 
 UNKNOWN = "und"
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -276,8 +276,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: int =
 FOUND = "doc_id long, lang_pred string, score double, bits_per_char double, rejected boolean"
 
 
-def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: doc_id, lang_pred, score, bits_per_char, rejected.
+def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """Per document row: doc_id, lang_pred, score, bits_per_char, rejected; with carry also text, and the row's other columns as a struct.
 
     Null texts and texts without letters are `und`, with score 0, and are
     rejected; so is everything without a model.  Whole texts count, of any
@@ -293,6 +293,9 @@ def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", te
                     names, score, bits, gone = [UNKNOWN] * (b - a), np.zeros(b - a), np.full(b - a, np.nan), np.ones(b - a, bool)
                 else:
                     names, score, bits, gone = m.predict(data.tobytes(), offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits / np.log(2), pa.float64(), mask=np.isnan(bits)), pa.array(gone)], names=["doc_id", "lang_pred", "score", "bits_per_char", "rejected"])
+                columns = [batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits / np.log(2), pa.float64(), mask=np.isnan(bits)), pa.array(gone), *(c.slice(a, b - a) for c in batch.columns[1:] if carry)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, FOUND)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([whole_row(docs, text)] if carry else []))
+    schema = T.StructType([*T._parse_datatype_string(FOUND).fields, *(source.schema.fields[1:] if carry else [])])
+    return source.mapInArrow(run, schema)

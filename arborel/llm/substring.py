@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Powers, mix64, pieces, span_hashes, word_spans, written
+from .common import Powers, mix64, pieces, span_hashes, whole_row, word_spans, written
 
 _NODES, _PATHS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 _LOW = np.uint64((1 << 24) - 1)
@@ -156,7 +156,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, k: int = 16, limit: int
     return whole.unionByName(part)
 
 
-def _kept(window: int, texts: bool):
+def _kept(window: int, texts: bool, schema: T.StructType):
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     kinds = pa.schema(fields + [("kept", pa.string()), ("original", pa.string())] * texts)
 
@@ -165,7 +165,7 @@ def _kept(window: int, texts: bool):
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 out: list[list] = [[] for _ in kinds]
-                for key, text, firsts, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for key, text, firsts, runs in zip(*(c.to_pylist() for c in part.columns[:4]), strict=True):
                     words = [] if text is None else text.encode().split()
                     n = len(words)
                     if firsts:
@@ -178,7 +178,7 @@ def _kept(window: int, texts: bool):
                     kept = b" ".join(words)
                     for o, v in zip(out, (key, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else "", text), strict=False):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, kinds, strict=True)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*(pa.array(o, f.type) for o, f in zip(out, kinds, strict=True)), *part.columns[4:]], names=schema.names)
 
     return run
 
@@ -186,8 +186,8 @@ def _kept(window: int, texts: bool):
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 50, k: int = 16, texts: bool = True, limit: int = 1 << 20) -> DataFrame:
-    """Per document row: doc_id, n_words, n_removed, kept_sha256; with texts also kept, original.
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 50, k: int = 16, texts: bool = True, carry: bool = False, limit: int = 1 << 20) -> DataFrame:
+    """Per document row: doc_id, n_words, n_removed, kept_sha256; with texts also kept, original; with carry the row's other columns as a struct.
 
     A word goes if a window of `window` words over it also starts in a
     document with a smaller id; windows are judged on the input.  Null and
@@ -200,5 +200,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     body = F.col(text).cast("string")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"))
     spans = repeated_spans(source, window=window, k=k, limit=limit).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
-    joined = source.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", F.col("spans.first").alias("firsts"), F.col("spans.windows").alias("runs"))
-    return joined.mapInArrow(_kept(window, texts), KEPT + ", kept string, original string" * texts)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"), whole_row(docs, text)) if carry else source
+    joined = rows.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", F.col("spans.first").alias("firsts"), F.col("spans.windows").alias("runs"), *(["whole"] if carry else []))
+    schema = T.StructType([*T._parse_datatype_string(KEPT + ", kept string, original string" * texts).fields, *joined.schema.fields[4:]])
+    return joined.mapInArrow(_kept(window, texts, schema), schema)
