@@ -39,7 +39,7 @@ def to_integer(raw: Column, data_type: str) -> Column:
     t = trimmed(raw)
     wide = F.when(t.rlike(_UNSIGNED if low == 0 else _SIGNED), t)
     number = wide.try_cast("decimal(38,0)" if data_type == "UInt64" else "bigint")
-    limit = (lambda v: F.lit(v).cast("decimal(38,0)")) if data_type == "UInt64" else F.lit
+    limit = (lambda v: F.lit(str(v)).cast("decimal(38,0)")) if data_type == "UInt64" else F.lit
     return F.when(number.between(limit(low), limit(high)), number.try_cast(TYPES[data_type]))
 
 
