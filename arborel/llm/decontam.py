@@ -13,14 +13,13 @@ scan, so a benchmark of any size is covered by more passes, not more memory.
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import whole_row, written
 
@@ -143,7 +142,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unite the runs and items that several automata found in a document."""
     for batch in batches:
         out: list[list] = [[] for _ in HITS.names]
-        for key, n, items, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, n, items, spans in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
             runs: list[int] = []
             for first, end in sorted(zip(spans[::2], spans[1::2], strict=True)):
                 if runs and first <= runs[-1]:
@@ -152,7 +151,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs += [first, end]
             for o, v in zip(out, (key, n, sum(runs[1::2]) - sum(runs[::2]), sorted(set(items)), runs), strict=True):
                 o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], names=HITS.names)
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)] + batch.columns[4:], names=HITS.names + batch.schema.names[4:])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 4_000_000, carry: bool = False) -> DataFrame:
@@ -182,15 +181,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     return both.mapInArrow(_joined, T.StructType([*HITS.fields, *both.schema.fields[4:]]))
 
 
-def contaminated(n_hit="n_hit", n_words="n_words"):
+def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
     """The contract's rule: at least one hit word, and a twentieth of all words."""
     return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))
 
 
-def items_digest(items) -> "F.Column":
+def items_digest(items: Column) -> Column:
     """sha256 of the sorted item ids, joined by commas."""
     return F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256)
-
-
-def digest_of(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
