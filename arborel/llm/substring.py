@@ -142,16 +142,17 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, k: int = 16, limit: int
     several windows all of them in that document).
     """
     seen = written(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_paths(window, k, limit), PATHS), "paths")
-    nodes = seen.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node")
+    # Sums are written before they are joined: then both sides are plain shuffles, and hot keys are split.
+    nodes = written(seen.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node"), "nodes")
     shared = written(seen.join(nodes, "node", "left_semi"), "shared")
-    sources = shared.groupBy("node", "path").agg(F.min("doc_id").alias("source"))
-    branching = sources.groupBy("node").agg(F.count("*").alias("ways")).where("ways > 1").select("node", F.lit(True).alias("branches"))
-    sources = sources.join(branching, "node", "left")
+    sources = written(shared.groupBy("node", "path").agg(F.min("doc_id").alias("source")), "sources")
+    branching = written(sources.groupBy("node").agg(F.count("*").alias("ways")).where("ways > 1").select("node", F.lit(True).alias("branches")), "branching")
+    sources = written(sources.join(branching, "node", "left"), "ways")
     placed = written(shared.join(sources, ["node", "path"]).where("doc_id > source OR branches").select("doc_id", "row", "first", "windows", "source"), "placed")
     whole = placed.where("doc_id > source")
     lists = placed.where("doc_id = source").groupBy("doc_id", "row").agg(F.collect_list(F.col("first").cast("long")).alias("firsts"))
     single = written(docs.join(lists, ["doc_id", "row"]).select("doc_id", "row", "text", "firsts").mapInArrow(_windows(window, k, limit), WINDOWS), "windows")
-    edges = single.groupBy("node", "edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    edges = written(single.groupBy("node", "edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"), "edges")
     part = single.join(edges, ["node", "edge"]).where("doc_id > source").select("doc_id", "row", "first", F.lit(1).alias("windows"), "source")
     return whole.unionByName(part)
 
