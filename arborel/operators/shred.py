@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,20 +13,40 @@ from ..functions.convert import converted
 from ..plans.mapping import Mapping
 from ..plans.program import Program, compile_mapping
 from ..shipping import ensure
+from .columns import Columns
 from .fold import Fold
 
 #: Rows that one batch to the JVM holds.
 BATCH = 8192
 
 
-def _texts(values: list[bytes | None], utf8: bool, name: str) -> pa.Array:
-    raw = pa.array(values, pa.binary())
+#: Bytes of documents that are shredded together.
+PIECE = 1 << 20
+
+
+def _texts(raw: pa.Array, utf8: bool, name: str) -> pa.Array:
+    """A binary column as text; bytes that are no UTF-8 are a fault in a text column only."""
     try:
         return raw.cast(pa.string())
     except pa.ArrowInvalid:
         if utf8:
             raise EncodingFault(f"Field {name!r} holds bytes that are no UTF-8", field=name) from None
-        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in values], pa.string())
+        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole documents: (number of the first, bytes, offsets from 0); nulls are empty."""
+    if column.null_count:
+        column = column.fill_null(b"")
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(column):
+        end = max(int(np.searchsorted(at, at[first] + PIECE, side="right")) - 1, first + 1)
+        yield first, data[at[first] : at[end]], at[first : end + 1] - at[first]
+        first = end
 
 
 class Shredder:
@@ -33,8 +54,9 @@ class Shredder:
 
     Documents are rows with a string or binary column; other columns chosen as
     keys go along with every row.  Parsing is one narrow pass in Python on the
-    executors, a document being the unit of work; all conversions are Catalyst
-    expressions over the raw text, so what is not selected is not converted.
+    executors, plain documents many at a time and others by the fold; all
+    conversions are Catalyst expressions over the raw text, so what is not
+    selected is not converted.
     """
 
     def __init__(self, mapping: Mapping | str):
@@ -65,31 +87,32 @@ class Shredder:
         schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType(), False), *[T.StructField(f"_l{i}", T.LongType(), False) for i in range(plan.levels)], *[T.StructField(f"_f{i}", T.StringType()) for i in range(len(fields))]])
         columns = [f.name for f in schema.fields]
 
+        quick = Columns(program, plan)
+
+        def made(batch, whose, pos, levels, cells) -> pa.RecordBatch:
+            take = pa.array(whose, pa.int32())
+            arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(pos, pa.int64())]
+            arrays += [pa.array(c, pa.int64()) for c in levels]
+            arrays += [_texts(c, f.data_type == "Utf8", f.name) for c, f in zip(cells, fields, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+        def folded(batch, i: int, data: bytes) -> Iterator[pa.RecordBatch]:
+            """One document by the fold; its rows leave once it is read: a fault gives none."""
+            rows: list[tuple] = []
+            Fold(program, {plan.index}, lambda _t, pos, levels, cells: rows.append((pos, levels, cells))).run(data)
+            for a in range(0, len(rows), BATCH):
+                part = rows[a : a + BATCH]
+                pos, levels, cells = zip(*part, strict=True)
+                yield made(batch, [i] * len(part), pos, list(zip(*levels, strict=True)), [pa.array(c, pa.binary()) for c in zip(*cells, strict=True)])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows: list[tuple] = []
-                contents = batch.column(batch.num_columns - 1)
-
-                def made(rows):
-                    whose, pos, levels, cells = zip(*rows, strict=True)
-                    take = pa.array(whose, pa.int32())
-                    arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(pos, pa.int64())]  # noqa: B023
-                    arrays += [pa.array(c, pa.int64()) for c in zip(*levels, strict=True)]
-                    arrays += [_texts(list(c), f.data_type == "Utf8", f.name) for c, f in zip(zip(*cells, strict=True), fields, strict=True)]
-                    return pa.RecordBatch.from_arrays(arrays, names=columns)
-
-                for i in range(batch.num_rows):
-                    data = contents[i].as_py()
-                    if data is None:
-                        continue
-                    # A document's rows leave in parts only once it is read: a fault gives no rows of it.
-                    fold = Fold(program, {plan.index}, lambda _t, pos, levels, cells, i=i: rows.append((i, pos, levels, cells)))  # noqa: B023
-                    fold.run(data)
-                    while len(rows) >= BATCH:
-                        yield made(rows[:BATCH])
-                        del rows[:BATCH]
-                if rows:
-                    yield made(rows)
+                for first, data, offsets in _pieces(batch.column(batch.num_columns - 1)):
+                    rows, left = quick.run(data, offsets)
+                    if rows is not None and len(rows.doc):
+                        yield made(batch, rows.doc + first, rows.position, rows.levels, rows.cells)
+                    for i in np.flatnonzero(left).tolist():
+                        yield from folded(batch, first + i, data[offsets[i] : offsets[i + 1]].tobytes())
 
         return source.mapInArrow(run, schema)
 
