@@ -34,7 +34,7 @@ _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.
 #: Names up to this length are hashed by words of eight bytes, longer ones one by one.
 _NAME = 32
 #: A longer document goes to the fold, which needs less memory.
-LONGEST = 64 << 20
+LONGEST = 16 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
