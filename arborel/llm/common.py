@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -48,14 +50,35 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder, read it back."""
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder, read it back.
+
+    Within `scratch`, the table goes at the end of it unless it is to be kept.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove at the end what `written` wrote, and let Spark drop shuffles that nothing refers to."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def whole_row(df: DataFrame, text: str) -> Column:
     """All columns of df but the text as one struct, to go along through a pass in Python."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("whole")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, mix64, pieces, span_hashes, word_spans, written
+from .common import LOWER, mix64, pieces, scratch, span_hashes, word_spans, written
 from .components import components
 
 #: Rate and base of the registers, and their largest value.
@@ -206,8 +206,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     doc_id count as one document for links; rows with a null id are alone,
     with a null component, and kept.  Other columns are not read.
     """
-    m = r * bands
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        return written(_near_duplicates(source, shingle, percent, r, bands, margin, block), "near", keep=True)
+
+
+def _near_duplicates(source: DataFrame, shingle: int, percent: int, r: int, bands: int, margin: float, block: int) -> DataFrame:
+    m = r * bands
     sketches = written(source.mapInArrow(_sketch(shingle, m), SKETCH), "sketches")
     known = sketches.where("doc_id IS NOT NULL AND n > 0")
     nodes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value(F.struct("n", "registers")).alias("s")).select("node", "key", "s.n", "s.registers"), "nodes")
@@ -219,8 +224,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     meetings = written(meetings, "meetings")
     scores = meetings.groupBy("node").agg(F.sum("crowd").alias("score"))
     members = written(meetings.join(scores, "node").select("band", "node", "score"), "members")
+    # Texts and sets are shuffled at any size: a small run then moves what a large one does, in proportion.
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>"), "sets")
+    sets = written(source.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>"), "sets")
     figures = nodes.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "n", "registers")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -228,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         sized = pairs.join(b, "b").join(a, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "ra", "nb", "rb")
         likely = written(sized.mapInArrow(_likely(percent / 100 - margin), "a long, b long"), "likely")
         sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        both = likely.join(sb, "b").join(sa, "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+        both = likely.hint("merge").join(sb, "b").join(sa.hint("merge"), "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return written(both.where(f"100 * common >= {percent} * (total - common)").select("a", "b").distinct(), "links")
 
     hubs = written(members.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub")), "hubs")

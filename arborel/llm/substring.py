@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Powers, mix64, pieces, span_hashes, whole_row, word_spans, written
+from .common import Powers, mix64, pieces, scratch, span_hashes, whole_row, word_spans, written
 
 _NODES, _PATHS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 _LOW = np.uint64((1 << 24) - 1)
@@ -151,7 +151,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, k: int = 16, limit: int
     placed = written(shared.join(sources, ["node", "path"]).where("doc_id > source OR branches").select("doc_id", "row", "first", "windows", "source"), "placed")
     whole = placed.where("doc_id > source")
     lists = placed.where("doc_id = source").groupBy("doc_id", "row").agg(F.collect_list(F.col("first").cast("long")).alias("firsts"))
-    single = written(docs.join(lists, ["doc_id", "row"]).select("doc_id", "row", "text", "firsts").mapInArrow(_windows(window, k, limit), WINDOWS), "windows")
+    single = written(docs.join(lists.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "firsts").mapInArrow(_windows(window, k, limit), WINDOWS), "windows")
     edges = written(single.groupBy("node", "edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"), "edges")
     part = single.join(edges, ["node", "edge"]).where("doc_id > source").select("doc_id", "row", "first", F.lit(1).alias("windows"), "source")
     return whole.unionByName(part)
@@ -200,8 +200,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         raise ValueError("k must lie between 1 and window")
     body = F.col(text).cast("string")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"))
-    spans = repeated_spans(source, window=window, k=k, limit=limit).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    with scratch(docs.sparkSession):
+        found = repeated_spans(source, window=window, k=k, limit=limit).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+        spans = written(found, "spans", keep=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"), whole_row(docs, text)) if carry else source
-    joined = rows.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", F.col("spans.first").alias("firsts"), F.col("spans.windows").alias("runs"), *(["whole"] if carry else []))
+    joined = rows.join(spans.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", F.col("spans.first").alias("firsts"), F.col("spans.windows").alias("runs"), *(["whole"] if carry else []))
     schema = T.StructType([*T._parse_datatype_string(KEPT + ", kept string, original string" * texts).fields, *joined.schema.fields[4:]])
     return joined.mapInArrow(_kept(window, texts, schema), schema)

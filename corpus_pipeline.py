@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the least doc_id stays."""
     found = neardup.near_duplicates(docs, shingle=5, percent=80)
     gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
