@@ -144,6 +144,14 @@ def _resolved(raw: bytes) -> bytes | None:
     return None if b"&" in _REFERENCE.sub(b"", raw) else out
 
 
+def _normalised(raw: bytes) -> bytes | None:
+    """An attribute's value, or None where the fold must decide."""
+    try:
+        return _attribute_value(raw)
+    except ShredError:
+        return None
+
+
 class Rows:
     """Rows of one table: row i belongs to document doc[i]."""
 
@@ -152,17 +160,19 @@ class Rows:
 
 
 class Columns:
-    def __init__(self, program: Program, plan: Plan):
-        self.program, self.plan, self.shape = program, plan, shape_of(program)
+    """Rows of the tables of some plans."""
+
+    def __init__(self, program: Program, plans: list[Plan]):
+        self.program, self.plans, self.shape = program, plans, shape_of(program)
         o = program.mapping.parser_options
         self.strip, self.twice = o.strip_namespaces, o.validate_attributes
 
-    def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Rows | None, np.ndarray]:
-        """Rows of the documents that could be done here, and which could not (mask)."""
-        n_docs, shape, plan = len(offsets) - 1, self.shape, self.plan
+    def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[dict[int, Rows], np.ndarray]:
+        """Rows by table of the documents that could be done here, and which could not (mask)."""
+        n_docs, shape = len(offsets) - 1, self.shape
         bad = np.diff(offsets) > LONGEST
         if shape is None:
-            return None, np.ones(n_docs, bool)
+            return {}, np.ones(n_docs, bool)
         size = len(data)
         data = np.concatenate([data, np.zeros(48, np.uint8)])
         lt, gt = np.flatnonzero(data == 0x3C), np.flatnonzero(data == 0x3E)
@@ -191,7 +201,7 @@ class Columns:
         ok = ~bad[doc] & ~declared
         lt, gt, doc, mark, quotes = lt[ok], gt[ok], doc[ok], mark[ok], quotes[ok]
         if not len(lt):
-            return None, bad
+            return {}, bad
 
         ends = mark == 0x2F
         alone = ~ends & (data[gt - 1] == 0x2F)
@@ -226,7 +236,7 @@ class Columns:
             lt, gt, doc, quotes, ends, alone, opens, begin, stop, until, name, local, own = (x[ok] for x in (lt, gt, doc, quotes, ends, alone, opens, begin, stop, until, name, local, own))
         n = len(lt)
         if not n:
-            return None, bad
+            return {}, bad
         paired = np.flatnonzero(~alone)
         paired = paired[np.argsort(own[paired].astype(np.int16) if own.max() < 32000 else own[paired], kind="stable")]
         starts, closes = paired[0::2], paired[1::2]
@@ -270,8 +280,6 @@ class Columns:
             twice = (row[1:] == row[:-1]) & (doc[entry[1:]] == doc[entry[:-1]])
             bad[doc[entry[1:][twice]]] = True
 
-        row_keys = closes_of(plan.index)
-        row_doc = doc[row_keys >> 2]
         values: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
         more: list[bytes] = []
         extra = len(data)
@@ -306,7 +314,7 @@ class Columns:
         filled = np.flatnonzero((a < b) & shape.slotted[owner])
         refs = np.searchsorted(amp, b[filled]) - np.searchsorted(amp, a[filled]) if len(amp) else np.zeros(len(filled), int)
         fa, fb = replaced(a[filled], b[filled], np.flatnonzero((refs > 0) & ~bad[doc[filled]]), _resolved)
-        mine = {c for c in range(plan.first, plan.end)}
+        mine = {c: p for p in self.plans for c in range(p.first, p.end)}
         for cell in mine:
             for at, is_attribute in shape.places.get(cell, ()):
                 if not is_attribute:
@@ -347,13 +355,7 @@ class Columns:
             va, vb = open_[hit] + 1, close[hit]
             odd = np.flatnonzero(np.searchsorted(fix, vb) != np.searchsorted(fix, va))
 
-            def made(value: bytes) -> bytes | None:
-                try:
-                    return _attribute_value(value)
-                except ShredError:
-                    return None
-
-            va, vb = replaced(va, vb, odd, made)
+            va, vb = replaced(va, vb, odd, _normalised)
             for cell in mine:
                 for at, is_attribute in shape.places.get(cell, ()):
                     if is_attribute:
@@ -365,34 +367,41 @@ class Columns:
             data = np.concatenate([data, np.frombuffer(b"".join(more), np.uint8)])
         placed = {}
         for cell, found in values.items():
+            row_keys = closes_of(mine[cell].index)
             key, whose, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             row = np.searchsorted(row_keys, key)
             inside = row < len(row_keys)
-            inside[inside] = row_doc[row[inside]] == whose[inside]
+            inside[inside] = doc[row_keys[row[inside]] >> 2] == whose[inside]
             row, a, b, whose = row[inside], a[inside], b[inside], whose[inside]
             order = np.argsort(row, kind="stable")
             row, a, b, whose = row[order], a[order], b[order], whose[order]
             bad[whose[1:][row[1:] == row[:-1]]] = True  # several pieces of one value
             placed[cell] = row, a, b
 
-        keep = ~bad[row_doc]
-        number = np.cumsum(keep) - 1
-        levels = []
-        for table in plan.chain[: plan.levels]:
-            opened = keys[(shape.table[node] == table) & ~ends]
-            done = closes_of(table)
-            at = opened[np.searchsorted(opened, row_keys[keep]) - 1]
-            levels.append(np.searchsorted(done, row_keys[keep]) - np.searchsorted(done, at))
-        cells = []
-        total = int(keep.sum())
-        for cell in range(plan.first, plan.end):
-            row, a, b = placed.get(cell, (np.zeros(0, int),) * 3)
-            ok = keep[row]
-            cells.append(self._array(data, number[row[ok]], a[ok], b[ok], total))
-        whose = row_doc[keep]
-        heads = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]])) if total else np.zeros(0, int)
-        position = np.arange(total) - np.repeat(heads, np.diff(np.append(heads, total))) if total else np.zeros(0, int)
-        return Rows(whose, position, levels, cells), bad
+        made: dict[int, Rows] = {}
+        for plan in self.plans:
+            row_keys = closes_of(plan.index)
+            whose = doc[row_keys >> 2]
+            keep = ~bad[whose]
+            number = np.cumsum(keep) - 1
+            row_keys, whose, total = row_keys[keep], whose[keep], int(keep.sum())
+            if not total:
+                continue
+            levels = []
+            for table in plan.chain[: plan.levels]:
+                opened = keys[(shape.table[node] == table) & ~ends]
+                done = closes_of(table)
+                at = opened[np.searchsorted(opened, row_keys) - 1]
+                levels.append(np.searchsorted(done, row_keys) - np.searchsorted(done, at))
+            cells = []
+            for cell in range(plan.first, plan.end):
+                row, a, b = placed.get(cell, (np.zeros(0, int),) * 3)
+                ok = keep[row]
+                cells.append(self._array(data, number[row[ok]], a[ok], b[ok], total))
+            heads = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+            position = np.arange(total) - np.repeat(heads, np.diff(np.append(heads, total)))
+            made[plan.index] = Rows(whose, position, levels, cells)
+        return made, bad
 
     @staticmethod
     def _array(data: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> pa.Array:

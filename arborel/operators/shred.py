@@ -87,7 +87,7 @@ class Shredder:
         schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType(), False), *[T.StructField(f"_l{i}", T.LongType(), False) for i in range(plan.levels)], *[T.StructField(f"_f{i}", T.StringType()) for i in range(len(fields))]])
         columns = [f.name for f in schema.fields]
 
-        quick = Columns(program, plan)
+        quick = Columns(program, [plan])
 
         def made(batch, whose, pos, levels, cells) -> pa.RecordBatch:
             take = pa.array(whose, pa.int32())
@@ -108,8 +108,8 @@ class Shredder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, data, offsets in _pieces(batch.column(batch.num_columns - 1)):
-                    rows, left = quick.run(data, offsets)
-                    if rows is not None and len(rows.doc):
+                    found, left = quick.run(data, offsets)
+                    for rows in found.values():
                         yield made(batch, rows.doc + first, rows.position, rows.levels, rows.cells)
                     for i in np.flatnonzero(left).tolist():
                         yield from folded(batch, first + i, data[offsets[i] : offsets[i + 1]].tobytes())
@@ -138,6 +138,63 @@ class Shredder:
         """All tables with columns, in the mapping's order, each evaluated by itself."""
         return {n: self.table(docs, n, content=content, keys=keys, position=position) for n in self.names}
 
+    def write_raw(self, docs: DataFrame, path: str, *, content: str = "content", keys: list[str] | None = None) -> dict[str, DataFrame]:
+        """All tables from one pass: raw rows go to Parquet below path, partitioned by table.
+
+        Returns the typed tables over it, which `stored` gives again later.
+        Documents are parsed once however many tables there are.
+        """
+        keys = list(keys or [])
+        source = self._source(docs, content, keys)
+        program = self.program
+        plans = [p for p in program.plans if p.end > p.first]
+        schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string("_pos long, _levels array<long>, _cells array<string>, _table int").fields])
+        names = [f.name for f in schema.fields]
+        quick = Columns(program, plans)
+
+        def listed(columns: list[pa.Array], kind: pa.DataType, n: int) -> pa.Array:
+            k = len(columns)
+            flat = pa.concat_arrays(columns).take(pa.array(np.arange(k * n).reshape(k, n).T.ravel())) if k and n else pa.array([], kind)
+            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), flat)
+
+        def made(batch, table: int, whose, pos, levels, cells) -> pa.RecordBatch:
+            n, take, plan = len(pos), pa.array(whose, pa.int32()), program.plans[table]
+            arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(pos, pa.int64())]
+            arrays.append(listed([pa.array(c, pa.int64()) for c in levels], pa.int64(), n))
+            arrays.append(listed([_texts(c, f.data_type == "Utf8", f.name) for c, f in zip(cells, plan.table.fields, strict=True)], pa.string(), n))
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, table), pa.int32())], names=names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, data, offsets in _pieces(batch.column(batch.num_columns - 1)):
+                    found, left = quick.run(data, offsets)
+                    for table, rows in found.items():
+                        yield made(batch, table, rows.doc + first, rows.position, rows.levels, rows.cells)
+                    for i in np.flatnonzero(left).tolist():
+                        rows: dict[int, list[tuple]] = {}
+                        Fold(program, {p.index for p in plans}, lambda t, *row, rows=rows: rows.setdefault(t, []).append(row)).run(data[offsets[i] : offsets[i + 1]].tobytes())
+                        for table, own in rows.items():
+                            for a in range(0, len(own), BATCH):
+                                pos, levels, cells = zip(*own[a : a + BATCH], strict=True)
+                                yield made(batch, table, [first + i] * len(pos), pos, list(zip(*levels, strict=True)), [pa.array(c, pa.binary()) for c in zip(*cells, strict=True)])
+
+        source.mapInArrow(run, schema).write.partitionBy("_table").parquet(path)
+        return self.stored(docs.sparkSession, path, keys=keys, schema=schema)
+
+    def stored(self, spark: SparkSession, path: str, *, keys: list[str] | None = None, position: bool = False, schema: T.StructType | None = None) -> dict[str, DataFrame]:
+        """Typed tables of what `write_raw` wrote; each reads its own partition only.
+
+        schema, of the raw rows, is needed only where no document gave any row.
+        """
+        raw = spark.read.schema(schema) if schema is not None else spark.read
+        out = {}
+        for name in self.names:
+            plan = next(p for p in self.program.plans if p.table.name == name)
+            whole = raw.parquet(path).where(F.col("_table") == plan.index)
+            flat = whole.select(*[F.col(f"`{k}`") for k in keys or []], "_pos", *[F.get("_levels", F.lit(i)).alias(f"_l{i}") for i in range(plan.levels)], *[F.get("_cells", F.lit(i)).alias(f"_f{i}") for i in range(len(plan.table.fields))])
+            out[name] = self.typed(flat, name, keys=keys, position=position)
+        return out
+
     def check(self, docs: DataFrame, *, content: str = "content", keys: list[str] | None = None) -> None:
         """Parse and convert everything; raise the first error found, in structured form."""
         for frame in self.tables(docs, content=content, keys=keys).values():

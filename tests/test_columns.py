@@ -34,7 +34,8 @@ def by_fold(mapping, table, documents):
 def by_columns(mapping, table, documents):
     program = compile_mapping(mapping)
     data = np.frombuffer(b"".join(documents), np.uint8)
-    rows, left = Columns(program, program.plans[table]).run(data, np.cumsum([0] + [len(d) for d in documents]))
+    rows, left = Columns(program, [program.plans[table]]).run(data, np.cumsum([0] + [len(d) for d in documents]))
+    rows = rows.get(table)
     if rows is None:
         return [], set(np.flatnonzero(left).tolist())
     levels = list(zip(*(x.tolist() for x in rows.levels), strict=True)) or [()] * len(rows.doc)
@@ -87,3 +88,17 @@ def test_plain_documents_do_not_need_the_fold():
 def test_some_mappings_are_the_folds(options):
     mapping = Mapping(MAPPINGS[0].tables, options)
     assert by_columns(mapping, 1, [b"<d/>"]) == ([], {0})
+
+
+@settings(max_examples=60, deadline=None)
+@given(documents)
+def test_tables_together_are_as_alone(docs):
+    raw = [d.encode() for d in docs]
+    program = compile_mapping(MAPPINGS[1])
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(d) for d in raw])
+    rows, left = Columns(program, program.plans).run(data, offsets)
+    for t in (0, 1):
+        alone, _ = by_columns(MAPPINGS[1], t, raw)
+        found = rows.get(t)
+        together = [] if found is None else list(zip(found.doc.tolist(), zip(*(c.to_pylist() for c in found.cells), strict=True), strict=True))
+        assert together == [(d, c) for d, _, _, c in alone if d not in set(np.flatnonzero(left).tolist())]

@@ -140,3 +140,17 @@ def test_plan_is_one_narrow_pass(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "try_cast" not in plan and "MapInArrow" in plan
     assert isinstance(made.schema["t"].dataType, T.StringType)
+
+
+def test_one_pass_for_all_tables(spark, tmp_path):
+    engine = Shredder(MAPPING)
+    odd = STATIONS.replace("<lat>", "<!-- north --><lat>")
+    docs = spark.createDataFrame([(1, STATIONS), (2, odd), (3, "<report/>")], "id long, content string").repartition(2)
+    engine.write_raw(docs, f"{tmp_path}/raw", keys=["id"])
+    made = engine.stored(spark, f"{tmp_path}/raw", keys=["id"], position=True)
+    assert list(made) == engine.names
+    none = engine.write_raw(docs.where("id > 3"), f"{tmp_path}/none", keys=["id"])
+    assert [f.count() for f in none.values()] == [0, 0, 0]
+    for name, frame in made.items():
+        alone = engine.table(docs, name, keys=["id"])
+        assert sorted(map(repr, map(tuple, frame.drop("_pos").collect()))) == sorted(map(repr, map(tuple, alone.collect())))
