@@ -227,7 +227,7 @@ def _near_duplicates(source: DataFrame, shingle: int, percent: int, r: int, band
     # Texts and sets are shuffled at any size: a small run then moves what a large one does, in proportion.
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = written(source.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>"), "sets")
-    figures = nodes.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "n", "registers")
+    figures = written(nodes.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "n", "registers"), "figures")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (figures.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
