@@ -252,24 +252,27 @@ def train(texts: list[tuple[str, str]], order: int = 4, tolerance: float = 2.0)
     return model
 
 
-def sample(docs: DataFrame, most: int, most_bytes: int) -> list[tuple[str, str]]:
-    """At most about `most` labelled texts a language, chosen by a hash of the text, `most_bytes` each at most.
+def sample(docs: DataFrame, most: int, most_bytes: int, most_all: int, languages: int) -> list[tuple[str, str]]:
+    """At most about `most` labelled texts a language and `most_all` in all, chosen by a hash of the text.
 
-    Texts are taken whole; longer ones are left to the others of their language.
+    Copies count once.  Texts are taken whole; those over `most_bytes` are left to the others of
+    their language.  The `languages` most frequent ones are learned: a model
+    holds a number for each n-gram and language.
     """
     # Empty and over-long texts teach nothing a bounded model can hold.
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not n:
         return []
+    most = min(most, most_all // len(n) + 1)
     share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, most / k))])
     chosen = rows.where(F.element_at(share, F.col("lang")).isNotNull()).where((F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000))
-    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").collect())
+    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").distinct().collect())
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: int = 4, most: int = 500, most_bytes: int = 20_000) -> Model | None:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: int = 4, most: int = 500, most_bytes: int = 20_000, most_all: int = 10_000, languages: int = 100) -> Model | None:
     """A model from a bounded sample of labelled rows, or None without any."""
-    texts = sample(docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")), most, most_bytes)
+    texts = sample(docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")), most, most_bytes, most_all, languages)
     return train(texts, order) if texts else None
 
 
