@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.columns import name_hashes
 from .common import LOWER, SPACE, new_path
 
 MAGIC = b"TKPK"
 HEAD = struct.Struct("<4sIIQQ")
 FOOT = struct.Struct("<QQ")
 #: Chunks of text that one worker keeps encoded; beyond it those that did not recur go.
-MEMO = 500_000
+MEMO = 400_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -142,8 +144,12 @@ class ShardReader:
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = True
-_MARK = np.zeros(256, bool)
-_MARK[[0x2C, 0x2E]] = True
+#: ASCII signs but the apostrophe, which begins pre-tokens of its own.
+_SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+_SIGN = np.zeros(256, bool)
+_SIGN[list(_SIGNS)] = True
+#: Pre-tokens of lower-case ASCII text, as the tokenizer cuts it.
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class Encoder:
@@ -151,8 +157,9 @@ class Encoder:
 
     Such a tokenizer drops white space and never joins across it, so a text has
     the ids of its chunks, one after another.  Each distinct chunk goes through
-    the library once and is kept while it recurs.  A comma or full stop between
-    a letter and white space is a chunk of its own, as it is for the tokenizer.
+    the library once and is kept while it recurs.  A run of signs between an
+    ASCII letter and white space is a chunk of its own, as it is for the
+    tokenizer.
     Texts that may hold a special token's string are encoded as a whole.
     """
 
@@ -188,20 +195,33 @@ class Encoder:
         self.known.update(zip(chunks, range(k, k + n), strict=True))
         self.used += len(ids)
 
+    @staticmethod
+    def pre_tokens(chunk: bytes) -> int:
+        """Pre-tokens of a chunk, or 0 where only the library can say."""
+        if chunk.isalpha():
+            return 1
+        if chunk.isascii():
+            return len(_ASCII.findall(chunk))
+        core = chunk.rstrip(_SIGNS)
+        return (1 + (len(core) < len(chunk))) * core.decode().isalpha()
+
     def learn(self, chunks: list[bytes]) -> None:
-        """Words of ASCII letters are one pre-token each: they go in groups, cut by the suffix."""
-        rest = [c for c in chunks if not c.isalpha()]
-        words = [c for c in chunks if c.isalpha()]
-        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        """Chunks with a known number of pre-tokens go in groups, cut by the suffix that ends each."""
+        counts = list(map(self.pre_tokens, chunks))
+        rest = [c for c, n in zip(chunks, counts, strict=True) if not n]
+        plain = [(c, n) for c, n in zip(chunks, counts, strict=True) if n]
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         for at in range(0, len(groups), 25):  # the library's results are large; few live at a time
             part = groups[at : at + 25]
-            for group, ids in zip(part, self.ids([b" ".join(g).decode() for g in part]), strict=True):
+            for group, ids in zip(part, self.ids([b" ".join(c for c, _ in g).decode() for g in part]), strict=True):
+                words, n = zip(*group, strict=True)
                 flat = np.array(ids, np.uint32)
                 ends = np.flatnonzero(self.closes[flat]) + 1
-                if len(ends) == len(group):
-                    self.keep(group, flat, np.diff(ends, prepend=0))
+                last = np.cumsum(n) - 1
+                if len(ends) == last[-1] + 1:
+                    self.keep(words, flat, np.diff(ends[last], prepend=0))
                 else:
-                    rest += group
+                    rest += words
         for i in range(0, len(rest), 1000):
             part = rest[i : i + 1000]
             ids = self.ids([c.decode() for c in part])
@@ -217,6 +237,22 @@ class Encoder:
         self.known, self.used = {}, 0
         self.keep([words[i] for i in stay.tolist()], flat[at], length)
 
+    @staticmethod
+    def distinct(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each distinct chunk, and for each chunk which of those it equals.
+
+        Chunks are told apart by a hash; lengths and the first 16 bytes are
+        compared besides.
+        """
+        size = stops - starts
+        _, first, inverse = np.unique(name_hashes(data, starts, size), return_index=True, return_inverse=True)
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        mask = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+        for part in (size, words[starts] & mask[np.minimum(size, 8)], words[starts + 8] & mask[np.clip(size - 8, 0, 8)]):
+            if (part != part[first][inverse]).any():
+                return np.arange(len(starts)), np.arange(len(starts))
+        return first, inverse
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text with the end id, all ids one after another)."""
         if self.tokenizer is None:
@@ -226,20 +262,28 @@ class Encoder:
         odd = {i: t for i, t in enumerate(texts) if b"<|" in t}
         raw = b"\n".join(b"" if i in odd else t for i, t in enumerate(texts)) + b"\n"
         data = LOWER[np.frombuffer(raw, np.uint8)]
-        cut = np.flatnonzero(_LETTER[data[:-2]] & _MARK[data[1:-1]] & SPACE[data[2:]]) + 1
+        sign = _SIGN[data]
+        begin, end = np.flatnonzero(sign[1:] & ~sign[:-1]) + 1, np.flatnonzero(sign[:-1] & ~sign[1:]) + 1
+        end = end[len(end) - len(begin) :]  # the text may begin with a run; it never ends with one
+        cut = begin[_LETTER[data[begin - 1]] & SPACE[data[end]]]
         heads = np.cumsum([0] + [0 if i in odd else len(t) for i, t in enumerate(texts)]) + np.arange(len(texts) + 1)
         heads += np.searchsorted(cut, heads)
-        data = np.insert(data, cut, 0x20)
+        data = np.concatenate([np.insert(data, cut, 0x20), np.zeros(48, np.uint8)])
         blank = SPACE[data]
+        blank[-48:] = True
         starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        stops = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
         counts = np.diff(np.searchsorted(starts, heads))
-        chunks = data.tobytes().split()
-        which = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(which < 0).tolist()
+        first, inverse = self.distinct(data, starts, stops)
+        flat = data.tobytes()
+        chunks = [flat[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        known = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(known < 0).tolist()
         if new:
             missing = [chunks[i] for i in new]
             self.learn(list(dict.fromkeys(missing)))
-            which[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(new))
+            known[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(new))
+        which = known[inverse]
         self.hits[: len(self.known)] += np.bincount(which, minlength=len(self.known))
         lengths = self.length[which]
         place = np.concatenate([[0], np.cumsum(lengths)])
@@ -285,8 +329,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
                 writer = writer or ShardWriter(f"{path}/shard-{shard:06d}.tkpk", bits, block)
                 writer.add(part.column(0).to_pylist(), *encoder.encode(part.column(1).to_pylist(), end_id))
         if writer:
