@@ -373,10 +373,19 @@ def stop_at_header(spark, sf_dir):
     return made["head"].unionByName(made["body"].select("doc", c("v").cast("string").alias("title")))
 
 
-@query("SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title FROM pages WHERE html LIKE '<!DOCTYPE html><html lang=%><head><meta charset=\"utf-8\"><title>%'")
+_TITLED = '<!DOCTYPE html><html lang=%><head><meta charset="utf-8"><title>%'
+
+
+@query(f"""
+WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS raw FROM pages WHERE html LIKE '{_TITLED}')
+SELECT page_id, replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS title
+FROM t WHERE NOT contains(regexp_replace(raw, '&(amp|lt|gt|quot|apos);', '', 'g'), '&')
+""")
 def pages_title_stop(spark, sf_dir):
+    """Pages that are XML up to the end of their title; some cut a reference off there."""
     title = "/html/head/meta/title"
-    pages = load(spark, sf_dir, "pages").where(c("html").like('<!DOCTYPE html><html lang=%><head><meta charset="utf-8"><title>%'))
+    rest = F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), "&(amp|lt|gt|quot|apos);", "")
+    pages = load(spark, sf_dir, "pages").where(c("html").like(_TITLED) & ~rest.contains("&"))
     engine = flat(Field("title", title), path="/html/head/meta", options=Options(stop_at_paths=[title]))
     return engine.table(pages, "rows", content="html", keys=["page_id"])
 
