@@ -204,11 +204,11 @@ def root_header_table(spark, sf_dir):
     return plain(found, doc="n_nationkey", title="title", suppliers="suppliers")
 
 
-@query("SELECT n_nationkey AS doc, n_name AS name, CAST(NULL AS INTEGER) AS region FROM nation UNION ALL SELECT n_nationkey, CAST(NULL AS VARCHAR), n_regionkey FROM nation")
+@query("SELECT n_nationkey AS doc, n_name AS name, CAST(NULL AS VARCHAR) AS region FROM nation UNION ALL SELECT n_nationkey, CAST(NULL AS VARCHAR), CAST(n_regionkey AS VARCHAR) FROM nation")
 def row_per_known_child(spark, sf_dir):
     docs = single(load(spark, sf_dir, "nation"), element("root", element("meta", leaf("name", c("n_name")), leaf("region", c("n_regionkey")))), "n_nationkey")
     engine = flat(Field("name", "/root/meta/name", "Utf8", True), Field("region", "/root/meta/region", "Int32", True), path="/root/meta")
-    return plain(engine.table(docs, "rows", keys=["n_nationkey"]), doc="n_nationkey", name="name", region="region")
+    return plain(engine.table(docs, "rows", keys=["n_nationkey"]), doc="n_nationkey", name="name", region="region").withColumn("region", c("region").cast("string"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
@@ -275,11 +275,11 @@ def scale_offset_f32(spark, sf_dir):
     return _scaled(spark, sf_dir, "Float32").select("doc", *[c(x).cast("double").alias(x) for x in "qp"])
 
 
-@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS n, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN event_type END AS s FROM events")
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS n, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN event_type END AS s FROM events")
 def nulls_nullable(spark, sf_dir):
     n = F.when(c("user_id") % 3 == 0, F.lit("<n>  </n><s/>")).when(c("user_id") % 3 == 1, F.concat(leaf("n", c("user_id")), leaf("s", c("event_type")))).otherwise(F.concat(leaf("n", c("user_id")), F.lit("<s></s>")))
     docs = single(load(spark, sf_dir, "events"), element("data", element("row", n)), "event_id")
-    return flat(*fields("/data/row", n="Int64?", s="Utf8?")).table(docs, "rows", keys=["event_id"])
+    return flat(*fields("/data/row", n="Int64?", s="Utf8?")).table(docs, "rows", keys=["event_id"]).withColumn("n", c("n").cast("string"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '' ELSE event_type END AS s, CASE WHEN user_id % 2 = 0 THEN '' ELSE 'a' END AS a FROM events")

@@ -23,31 +23,56 @@ _SIGNED, _UNSIGNED = r"^[+-]?[0-9]+$", r"^[+]?[0-9]+$"
 _FLOAT = r"^[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 
 
+def _first(t: Column) -> Column:
+    """Code of the first character; 0 of an empty text."""
+    return F.ascii(t)
+
+
+def _last(t: Column) -> Column:
+    return F.ascii(F.substring(t, -1, 1))
+
+
 def trimmed(raw: Column) -> Column:
-    return F.btrim(raw, F.lit(BLANK))
+    """Without the blanks around; texts that have none are left as they are."""
+    return F.when((_first(raw) > 32) & (_last(raw) > 32), raw).otherwise(F.btrim(raw, F.lit(BLANK)))
 
 
-def to_boolean(raw: Column) -> Column:
-    """True or false for the known spellings, else null."""
-    t = F.lower(trimmed(raw))
+def to_boolean(t: Column) -> Column:
+    """True or false for the known spellings of trimmed text, else null."""
+    t = F.lower(t)
     return F.when(t.isin(*TRUE), True).when(t.isin(*FALSE), False)
 
 
-def to_integer(raw: Column, data_type: str) -> Column:
-    """The whole number, or null where it is none or out of bounds."""
-    low, high = BOUNDS[data_type]
-    t = trimmed(raw)
-    wide = F.when(t.rlike(_UNSIGNED if low == 0 else _SIGNED), t)
-    number = wide.try_cast("decimal(38,0)" if data_type == "UInt64" else "bigint")
-    limit = (lambda v: F.lit(str(v)).cast("decimal(38,0)")) if data_type == "UInt64" else F.lit
-    return F.when(number.between(limit(low), limit(high)), number.try_cast(TYPES[data_type]))
+def to_integer(t: Column, data_type: str) -> Column:
+    """The whole number of trimmed text, or null where it is none or out of bounds.
 
-
-def to_float(raw: Column, data_type: str) -> Column:
-    """The number parsed at its own width, or null where it is none."""
-    t = trimmed(raw)
-    guarded = F.when(t.rlike(_FLOAT), F.regexp_replace(t, "^[+-](?i:nan)$", "NaN"))
-    return guarded.try_cast(TYPES[data_type])
+    Spark's own parser takes digits with a sign and nothing inside; the
+    control characters that it would trim show at either end.
+    """
+    low, high = BOUNDS[data_type]
+    fine = _first(t).between(33, 126) & _last(t).between(48, 57)
+    if not low:
+        fine &= ~t.startswith("-")
+    number = F.when(fine, t.try_cast("bigint"))
+    if data_type == "UInt64":  # beyond 63 bits a decimal, whose parser takes more: only digits may reach it
+        wide = F.when(t.rlike(_UNSIGNED), t).try_cast("decimal(38,0)")
+        wide = F.when(wide.between(F.lit(0), F.lit(str(high)).cast("decimal(38,0)")), wide.try_cast(TYPES[data_type]))
+        return F.when(number.isNotNull(), number.try_cast(TYPES[data_type])).otherwise(wide)
+    if data_type == "Int64":
+        return number
+    return F.when(number.between(F.lit(low), F.lit(high)), number.try_cast(TYPES[data_type]))
+
+
+def to_float(t: Column, data_type: str) -> Column:
+    """The number of trimmed text parsed at its own width, or null where it is none.
+
+    Spark's parser also takes a type's letter at the end and hexadecimal
+    numbers; words and those go by the pattern.
+    """
+    last = _last(t)
+    fine = _first(t).between(43, 57) & (last.between(48, 57) | (last == 46)) & ~t.contains("x") & ~t.contains("X")
+    other = F.when(t.rlike(_FLOAT), F.regexp_replace(t, "^[+-](?i:nan)$", "NaN"))
+    return F.when(fine, t.try_cast(TYPES[data_type])).otherwise(other.try_cast(TYPES[data_type]))
 
 
 def scaled(value: Column, field: Field) -> Column:
@@ -61,21 +86,23 @@ def scaled(value: Column, field: Field) -> Column:
 
 
 def _raise(error: str, message: str, field: Field, raw: Column | None, keys: list[str], **facts) -> Column:
-    told = {"error": error, "message": message, "field": field.name, "path": field.xml_path} | facts
-    parts = [F.lit(v).alias(k) for k, v in told.items()]
-    if raw is not None:
-        parts.append(raw.alias("value"))
+    """An expression that raises; all that is known before is one constant."""
+    told = json.dumps({"error": error, "message": message, "field": field.name, "path": field.xml_path} | facts)
+    parts = [] if raw is None else [raw.alias("value")]
     parts += [F.col(f"`{k}`").cast("string").alias(f"document_{k}") for k in keys]
-    text = F.concat(F.lit(message + MARK), F.to_json(F.struct(*parts)))
-    return F.raise_error(text)
+    if not parts:
+        return F.raise_error(F.lit(message + MARK + told))
+    return F.raise_error(F.concat(F.lit(message + MARK + told[:-1] + ", "), F.substring(F.to_json(F.struct(*parts)), 2, 1 << 30)))
 
 
-def converted(field: Field, raw: Column, keys: list[str] | None = None) -> Column:
+def converted(field: Field, raw: Column, keys: list[str] | None = None, text: Column | None = None) -> Column:
     """The typed column of a field; wrong and missing values raise structured errors.
 
-    keys: columns that name the document in errors.
+    keys: columns that name the document in errors.  text: the trimmed raw
+    text as a column of an earlier projection, so that it is made once.
     """
     keys = keys or []
+    text = trimmed(raw) if text is None else text
     kind = TYPES[field.data_type]
     missing = F.lit(None).cast(kind)
     if field.data_type == "Utf8":
@@ -83,16 +110,16 @@ def converted(field: Field, raw: Column, keys: list[str] | None = None) -> Colum
     if not field.nullable:
         missing = _raise("MissingValue", f"Missing value for field {field.name!r} at {field.xml_path}", field, None, keys, kind="missing").cast(kind)
     if field.data_type == "Boolean":
-        value, what = to_boolean(raw), ("boolean", "holds no boolean")
+        value, what = to_boolean(text), ("boolean", "holds no boolean")
     elif field.data_type in FLOATS:
-        value, what = to_float(raw, field.data_type), ("number", f"holds no {field.data_type}")
+        value, what = to_float(text, field.data_type), ("number", f"holds no {field.data_type}")
     else:
-        value, what = to_integer(raw, field.data_type), ("number", f"holds no {field.data_type}, or one too large or too small")
+        value, what = to_integer(text, field.data_type), ("number", f"holds no {field.data_type}, or one too large or too small")
     wrong = _raise("ValueFault", f"Field {field.name!r} at {field.xml_path} {what[1]}", field, raw, keys, kind=what[0], data_type=field.data_type).cast(kind)
     checked = F.coalesce(value, wrong)
     if field.scale is not None or field.offset is not None:
         checked = scaled(checked, field)
-    out = F.when(raw.isNull() | (trimmed(raw) == ""), missing).otherwise(checked)
+    out = F.when(text.isNull() | (text == ""), missing).otherwise(checked)
     if field.nullable:
         return out
     default = False if isinstance(kind, T.BooleanType) else 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import EncodingFault, recovered
-from ..functions.convert import converted
+from ..functions.convert import converted, trimmed
 from ..plans.mapping import Mapping
 from ..plans.program import Program, compile_mapping
 from ..shipping import ensure
@@ -123,7 +123,8 @@ class Shredder:
         levels = [F.col(f"_l{i}").alias(f"<{plan.table.levels[i]}>") for i in range(plan.levels)]
         # Levels that no row can have stay empty columns: any row is an error before this.
         levels += [F.lit(0).cast("long").alias(f"<{x}>") for x in plan.table.levels[plan.levels :]]
-        fields = [converted(f, F.col(f"_f{i}"), keys).alias(f.name) for i, f in enumerate(plan.table.fields)]
+        fields = [converted(f, F.col(f"_f{i}"), keys, F.col(f"_t{i}")).alias(f.name) for i, f in enumerate(plan.table.fields)]
+        raw = raw.select("*", *[trimmed(F.col(f"_f{i}")).alias(f"_t{i}") for i, f in enumerate(plan.table.fields) if f.data_type != "Utf8"])
         return raw.select(*[F.col(f"`{k}`") for k in keys], *([F.col("_pos")] if position else []), *levels, *fields)
 
     def table(self, docs: DataFrame, name: str, *, content: str = "content", keys: list[str] | None = None, position: bool = False) -> DataFrame:

@@ -44,7 +44,7 @@ def test_schema_keeps_nullability(spark):
     assert {f.name: (f.dataType, f.nullable) for f in made.schema if not f.name.startswith("Utf8False")} == {f.name: (f.dataType, f.nullable) for f in engine.mapping.tables[0].schema() if not f.name.startswith("Utf8False")}
 
 
-RAW = [None, "", " ", " \t\n", "0", "1", "-1", "+7", "127", "128", "-128", "255", "256", "65535", "65536", "2147483647", "2147483648", "4294967296", "9223372036854775807", "9223372036854775808", "18446744073709551615", "18446744073709551616", "1.5", ".5", "5.", "1e3", "1E-400", "1e400", "inf", "-Infinity", "NaN", "1d", "0x10", "1e", "+", "-", "true", "OFF", "y", "maybe", "\x0b1", " 1 ", "00012", "٣", "on ", "1_000"]
+RAW = [None, "", " ", " \t\n", "0", "1", "-1", "+7", "127", "128", "-128", "255", "256", "65535", "65536", "2147483647", "2147483648", "4294967296", "9223372036854775807", "9223372036854775808", "18446744073709551615", "18446744073709551616", "1.5", ".5", "5.", "1e3", "1E-400", "1e400", "inf", "-Infinity", "NaN", "1d", "0x10", "1e", "+", "-", "true", "OFF", "y", "maybe", "\x0b1", " 1 ", "00012", "٣", "on ", "1_000", "\x7f1", "0X1P3", "1f", "-0", "--1", "1 1", ".", "-.5e-1"]
 
 
 @pytest.mark.parametrize("kind", list(TYPES))
