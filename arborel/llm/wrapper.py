@@ -6,7 +6,9 @@ the host's exemplar by simple tree matching; aligned slots share an identity.
 Over all pages of the host, slots are counted with their distinct texts: those
 that stay constant are template, those that vary are content.  A page's text
 is its varying slots, within the article where there is one, without parts
-that markup or names show to be menus, notices, forms and the like.
+that markup or names show to be menus, notices, forms and the like.  Slots of
+articles are counted as others are; only where all of an article is constant
+do the statistics not tell it from template, and markup decides for it.
 """
 
 from __future__ import annotations
@@ -266,7 +268,7 @@ def _observed(lookup):
                     where = slots(folded([b.path for b in found]), lookup(host, tree))
                     texts: dict[str, list[str]] = {}
                     for b in found:
-                        if not b.article and not b.dropped:
+                        if not b.dropped:
                             texts.setdefault(where[b.path], []).append(b.text)
                     for slot, said in texts.items():
                         for o, v in zip(out, (host, slot, "\n".join(said)), strict=True):
@@ -277,11 +279,13 @@ def _observed(lookup):
 
 
 def main_text(found: list[Block], template: frozenset[str], exemplar: Tree) -> str:
-    """Blocks of the article, or of the varying slots where there is no article."""
-    if any(b.article and not b.dropped for b in found):
-        return "\n".join(b.text for b in found if b.article and not b.dropped)
+    """Blocks of the varying slots: those of the article where there is one."""
     where = slots(folded([b.path for b in found]), exemplar)
-    kept = [b for b in found if not b.dropped and where[b.path] not in template and 2 * b.links <= len(b.text)]
+    article = [b for b in found if b.article and not b.dropped]
+    if article:
+        kept = [b for b in article if where[b.path] not in template] or article
+    else:
+        kept = [b for b in found if not b.dropped and where[b.path] not in template and 2 * b.links <= len(b.text)]
     return "\n".join(b.text for b in kept)
 
 
@@ -302,7 +306,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
 
     Statistics cover all pages of each host.  The exemplar is the page of the
     least id.  Tables of hosts are broadcast up to `most_broadcast` rows and
-    joined beyond.  A slot outside articles is template if at least
+    joined beyond.  A slot, in articles too, is template if at least
     `least_pages` pages have it and at most `most_distinct` of them differ in
     it.  Null html is an empty page with an empty text; pages without a host
     share the empty one; repeated rows each give a row.  Other columns are not

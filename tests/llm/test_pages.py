@@ -107,3 +107,11 @@ def test_constant_slots_are_template(spark, few):
     want = [(i, u, f"Story {i}\nWords {i * 7} here") for i, u, _ in rows[:40]] + [(100, "http://b.example/x", "Alone"), (101, None, ""), (102, "nonsense", ""), (0, "http://a.example/0", "Story 0\nWords 0 here")]
     assert [tuple(r) for r in got] == sorted([(i, u, t, len(t)) for i, u, t in want], key=lambda r: f"Row(page_id={r[0]!r}, url={r[1]!r}, text={r[2]!r}, n_chars={r[3]!r})")
     assert wrapper.extract(frame.where("false")).count() == 0
+
+
+def test_constant_slots_of_articles_are_template(spark):
+    """Statistics decide within articles too; an article that is constant as a whole stays."""
+    rows = [(i, f"http://a.example/{i}", f"<body><article><h1>Story {i}</h1><p>Words {i * 7} here</p><div class=x>Tell your friends</div></article><div>{i} seen</div></body>") for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><article><p>The only text</p></article><div>{i} seen</div></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\nWords {i * 7} here" for i in range(20)} | {100 + i: "The only text" for i in range(20)}
