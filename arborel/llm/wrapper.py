@@ -257,13 +257,13 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _observed(lookup):
-    """Per page and slot: host, slot, hash of the slot's text."""
+    """Per page and slot: host, slot, hash of the page, the slot's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                out: list[list] = [[], [], []]
-                for host, page, tree in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
+                out: list[list] = [[], [], [], []]
+                for host, page, hashed, tree in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
                     found = blocks(page or "")
                     where = slots(folded([b.path for b in found]), lookup(host, tree))
                     texts: dict[str, list[str]] = {}
@@ -271,9 +271,10 @@ def _observed(lookup):
                         if not b.dropped:
                             texts.setdefault(where[b.path], []).append(b.text)
                     for slot, said in texts.items():
-                        for o, v in zip(out, (host, slot, "\n".join(said)), strict=True):
+                        for o, v in zip(out, (host, slot, hashed, "\n".join(said)), strict=True):
                             o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.string()) for o in out], names=["host", "slot", "said"])
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["host", "slot", "page", "said"])
 
     return run
 
@@ -307,10 +308,10 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     Statistics cover all pages of each host.  The exemplar is the page of the
     least id.  Tables of hosts are broadcast up to `most_broadcast` rows and
     joined beyond.  A slot, in articles too, is template if at least
-    `least_pages` pages have it and at most `most_distinct` of them differ in
-    it.  Null html is an empty page with an empty text; pages without a host
-    share the empty one; repeated rows each give a row.  Other columns are not
-    read.
+    `least_pages` distinct pages have it and at most `most_distinct` of them
+    differ in it; copies of a page count once.  Null html is an empty page
+    with an empty text; pages without a host share the empty one; repeated rows
+    each give a row.  Other columns are not read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
@@ -327,8 +328,10 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     else:
         with_tree = rows.join(exemplars, "host", "left")
         lookup = lambda _, tree: decoded(tree) if tree else EMPTY
-    seen = with_tree.select("host", "html", "exemplar").mapInArrow(_observed(lookup), "host string, slot string, said string")
-    counts = seen.groupBy("host", "slot").agg(F.count("*").alias("pages"), F.approx_count_distinct("said").alias("kinds"))
+    seen = with_tree.select("host", "html", F.xxhash64("html").alias("page"), "exemplar").mapInArrow(_observed(lookup), "host string, slot string, page long, said string")
+    # Copies of a page say the same in every slot and count once.
+    once = seen.select("host", "slot", "page", F.xxhash64("said").alias("said")).distinct()
+    counts = once.groupBy("host", "slot").agg(F.count("*").alias("pages"), F.approx_count_distinct("said").alias("kinds"))
     template = written(counts.where((F.col("pages") >= least_pages) & (F.col("kinds") <= most_distinct * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("constant")), "template")
     if few:
         constant = spark.sparkContext.broadcast({h: frozenset(s) for h, s in map(tuple, template.collect())})

@@ -115,3 +115,11 @@ def test_constant_slots_of_articles_are_template(spark):
     rows += [(100 + i, f"http://b.example/{i}", f"<body><article><p>The only text</p></article><div>{i} seen</div></body>") for i in range(20)]
     got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Story {i}\nWords {i * 7} here" for i in range(20)} | {100 + i: "The only text" for i in range(20)}
+
+
+def test_copies_of_a_page_count_once(spark):
+    """Neither copies of one page nor a host of much copied pages make content look constant."""
+    rows = [(i, f"http://a.example/{i}", "<body><p>Copied</p></body>") for i in range(8)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><h2>Welcome</h2><p>Story {i // 6}</p></body>") for i in range(60)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Copied" for i in range(8)} | {100 + i: f"Story {i // 6}" for i in range(60)}
