@@ -32,10 +32,15 @@ ASIDE = frozenset("nav footer aside form menu button dialog head label input sea
 #: Names of headers: of what they hold, an article keeps headings.
 HEADERS = frozenset("header masthead".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that name parts which are no article text.
+#: Classes, ids and roles that name parts which are no article text, alone or in compounds with each other and COMPANIONS.
 NAMES = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar tooltip widget".split()
 )
+COMPANIONS = frozenset(
+    "area article articles aside bar block body bottom box btn button buttons container content entry form global group head icon icons inner item items left link links list main message module nav outer page panel post posts primary region right row secondary section site slot sticky top unit wrap wrapper".split()
+)
+#: Ids of sections within an article that name what readers added; other ids of sections and headings there are anchors.
+ADDED = frozenset("comments comment-list respond disqus disqus_thread".split())
 #: Starting one of these ends an open element of the others in the same list.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES |= {b: ("p",) for b in BLOCKS if b not in CLOSES and b not in ("html", "head", "body", "tbody", "thead", "tfoot", "caption")}
@@ -46,9 +51,15 @@ _NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"(
 _WORD = re.compile(r"[a-z]+")
 
 
+def _named(token: str, names: frozenset[str]) -> bool:
+    """Whether a whole class, id or role is one of the names, or a compound of them and companions."""
+    words = [w for w in _WORD.findall(token) if len(w) > 1]
+    return any(w in names for w in words) and all(w in NAMES or w in HEADERS or w in COMPANIONS for w in words)
+
+
 @lru_cache(50_000)
-def _label(tag: str, attributes: str) -> tuple[str, int]:
-    """(tag with its classes, 2 if tag or names show it to be no article text, 1 for a header)."""
+def _label(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
+    """(tag with its classes, 2 if tag or names show it to be no article text, 1 for a header); inside an article, ids of sections and headings are anchors."""
     drop, classes = 2 * (tag in ASIDE) or int(tag == "header"), ""
     if attributes:
         for kind, *values in _NAME.findall(attributes):
@@ -57,18 +68,20 @@ def _label(tag: str, attributes: str) -> tuple[str, int]:
                 drop = 2
             elif kind in ("class", "id", "role"):
                 classes += "." + ".".join(value.split()) if kind == "class" and value else ""
-                words = _WORD.findall(value) if tag not in ("html", "body", "article", "main") else ()
-                drop = max(drop, 2 * any(w in NAMES for w in words), any(w in HEADERS for w in words))
+                tokens = value.split() if tag not in ("html", "body", "article", "main") else []
+                if kind == "id" and inside and (tag == "section" or tag in HEADINGS):
+                    tokens = [t for t in tokens if tag == "section" and t in ADDED]
+                drop = max(drop, 2 * any(_named(t, NAMES) or t in ADDED for t in tokens), any(_named(t, HEADERS) for t in tokens))
     return tag + classes, drop
 
 
 class Block:
-    """A block of text: its folded path, what it says, characters in links, and where it stands."""
+    """A block of text: its folded path, what it says, and where it stands."""
 
-    __slots__ = ("path", "text", "links", "dropped", "article")
+    __slots__ = ("path", "text", "dropped", "article")
 
-    def __init__(self, path, text, links, dropped, article):
-        self.path, self.text, self.links, self.dropped, self.article = path, text, links, dropped, article
+    def __init__(self, path, text, dropped, article):
+        self.path, self.text, self.dropped, self.article = path, text, dropped, article
 
 
 def blocks(page: str) -> list[Block]:
@@ -76,11 +89,9 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, int, bool]] = []  # tag, label, how far dropped, in an article
     held: list[str] = []
-    links = 0
     opaque = ""
 
     def flush() -> None:
-        nonlocal links
         if held:
             text = " ".join(htmllib.unescape("".join(held)).split())
             held.clear()
@@ -88,8 +99,7 @@ def blocks(page: str) -> list[Block]:
                 # A heading in an article's header is the article's; the rest of the header is not.
                 worst = max((d for _, _, d, _ in stack), default=0)
                 drop = worst > 1 or worst == 1 and not (stack[-1][3] and any(t in HEADINGS for t, *_ in stack))
-                out.append(Block(tuple(x for t, x, _, _ in stack if t in BLOCKS), text, links, drop, bool(stack) and stack[-1][3]))
-        links = 0
+                out.append(Block(tuple(x for t, x, _, _ in stack if t in BLOCKS), text, drop, bool(stack) and stack[-1][3]))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -99,10 +109,7 @@ def blocks(page: str) -> list[Block]:
             opaque, at = "", m.end()
             continue
         if m.start() > at:
-            text = page[at : m.start()]
-            held.append(text)
-            if any(t == "a" for t, *_ in stack):
-                links += len(text)
+            held.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -140,8 +147,8 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        label, drop = _label(tag, m[3])
         inside = bool(stack) and stack[-1][3]
+        label, drop = _label(tag, m[3], inside)
         stack.append((tag, label, drop, inside or tag in ("article", "main")))
     if not opaque and at < len(page):
         held.append(page[at:])
@@ -286,7 +293,7 @@ def main_text(found: list[Block], template: frozenset[str], exemplar: Tree) -> s
     if article:
         kept = [b for b in article if where[b.path] not in template] or article
     else:
-        kept = [b for b in found if not b.dropped and where[b.path] not in template and 2 * b.links <= len(b.text)]
+        kept = [b for b in found if not b.dropped and where[b.path] not in template]
     return "\n".join(b.text for b in kept)
 
 

@@ -123,3 +123,12 @@ def test_copies_of_a_page_count_once(spark):
     rows += [(100 + i, f"http://b.example/{i}", f"<body><h2>Welcome</h2><p>Story {i // 6}</p></body>") for i in range(60)]
     got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "Copied" for i in range(8)} | {100 + i: f"Story {i // 6}" for i in range(60)}
+
+
+def test_links_and_like_names_are_text():
+    """Link paragraphs stay, and so do parts whose names only hold a word of the list."""
+    page = """<body><article><h2 id="related-work">Related</h2><section id="search-algorithms"><p>Search</p></section><section id="notice"><p>Note</p></section>
+<h3 id="share">Share</h3><div class="share-prices">Prices</div><div class="share-buttons">Tweet</div><div class="main social-links">Follow</div><div class="ad-300x250">Buy</div></article></body>"""
+    assert wrapper.main_text(wrapper.blocks(page), frozenset(), wrapper.EMPTY).split("\n") == ["Related", "Search", "Note", "Share", "Prices"]
+    page = '<body><h2><a href="/s">Story</a></h2><p>Said</p><ul><li><a href="/r">Reference one</a></ul><div id="comments">Nice</div></body>'
+    assert wrapper.main_text(wrapper.blocks(page), frozenset(), wrapper.EMPTY).split("\n") == ["Story", "Said", "Reference one"]
