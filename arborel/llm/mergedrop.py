@@ -3,13 +3,18 @@
 Merges go by score, the best candidate of a segment first, the leftmost of
 equals.  A candidate (two neighbours, where they begin) is skipped if a keyed
 hash of it falls below the dropout rate; a new candidate arises when a
-neighbour changes.  The key is the seed and the text's variant, so a text's
-segmentation is reproducible and other seeds and texts vary.  With rate 0 the
-result is the library's own.
+neighbour changes.  The key is the seed, a hash of the whole text and the
+segment's place in it, so a text's segmentation is reproducible, and other
+seeds, other texts and repeats within a text vary.  With rate 0 the result is
+the library's own.
 
 White space only ever begins a piece, so texts are cut before each run of
-spaces and around line ends, and every distinct segment is encoded once for
-its variant, all new segments of a batch at a time, in numpy rounds.
+spaces and around line ends.  What a segment becomes depends on which of its
+merges are skipped alone, so courses are kept: the merges of a segment without
+skips, and from each merge the course that is taken if that one is skipped.
+Every occurrence draws for its own merges and follows the courses to the one
+of which it skips nothing.  New courses of a batch, and segments too long to
+recur, are worked out in numpy rounds.
 """
 
 from __future__ import annotations
@@ -28,8 +33,12 @@ from .langid import Table
 
 MARK = "▁"
 NONE = np.int64(1) << 30
-#: Segments that a worker keeps for each variant; beyond it the memory starts anew.
-MEMO = 60_000
+#: Courses that a worker keeps; beyond it the memory starts anew.
+MEMO = 400_000
+#: Segments of more bytes are worked out at each occurrence.
+LONG = 40
+#: Occurrences that are drawn for at a time.
+DRAWN = 200_000
 _P, _Q = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -63,11 +72,21 @@ class Pieces:
         self.raw = [bytes([i - self.byte0]) if model.is_byte(i) else model.id_to_piece(i).replace(MARK, " ").encode() if scores[i] > -np.inf else b"" for i in range(n)]
 
     def segments(self, segments: list[bytes], key: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each segment)."""
+        """(all ids, number of ids of each segment), keyed by the segments' own bytes."""
+        data = np.frombuffer(b"".join(segments), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+        salt = span_hashes(data, np.concatenate([[0], ends[:-1]]), ends) ^ mix64(np.array([key], np.uint64))
+        return self.merged(segments, salt, rate)[:2]
+
+    def merged(self, segments: list[bytes], salt: np.ndarray, rate: float, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each segment, then of all merges in order: segment, and the candidate's two numbers).
+
+        Candidates are skipped by their `skips` under the segment's salt, or,
+        if `gone` is given, where that hash is among its sorted values.
+        """
         raw = b"".join(segments)
         data = np.frombuffer(raw, np.uint8)
         ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
-        salt = span_hashes(data, np.concatenate([[0], ends[:-1]]), ends) ^ mix64(np.array([key], np.uint64))
         chars = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[np.concatenate([[0], ends])]
         size = np.diff(heads)
@@ -86,15 +105,19 @@ class Pieces:
             pair = (sym[at] * self.n + sym[at + 1]).astype(np.uint64)
             found = self.table.find(mix64(pair))
             ok = found >= 0
-            if rate:
+            if rate or gone is not None:
                 h = mix64(salt[word[at]] + pair * _P ^ mix64(place[at].astype(np.uint64) * _Q))
-                ok &= (h >> np.uint64(32)) >= limit
+                if gone is None:
+                    ok &= (h >> np.uint64(32)) >= limit
+                elif len(gone):
+                    ok &= gone[np.minimum(np.searchsorted(gone, h), len(gone) - 1)] != h
             at, found = at[ok], found[ok]
             into[at] = self.table.values[found]
             rank[at] = self.rank[into[at]]
 
         weigh(np.arange(len(sym)))
         done_word, done_place, done_sym = [], [], []
+        merges: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
         while len(sym):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), first)
@@ -111,6 +134,8 @@ class Pieces:
                 at = best & 0xFFFFFFFF
             if not len(sym):
                 break
+            for m, v in zip(merges, (word[at], (sym[at] * self.n + sym[at + 1]).astype(np.uint64), place[at]), strict=True):
+                m.append(v)
             sym[at] = into[at]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
@@ -122,7 +147,7 @@ class Pieces:
             into[again], rank[again] = -1, NONE
             weigh(again)
         if not done_sym:
-            return np.zeros(0, np.int64), np.zeros(len(segments), np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(segments), np.int64), *(m[0] for m in merges)
         word, place, sym = np.concatenate(done_word), np.concatenate(done_place), np.concatenate(done_sym)
         order = np.lexsort((place, word))
         word, sym = word[order], sym[order]
@@ -133,26 +158,113 @@ class Pieces:
             copies[odd] = list(map(len, encoded))
             word, sym = np.repeat(word, copies), np.repeat(sym, copies)
             sym[sym < 0] = np.frombuffer(b"".join(encoded), np.uint8).astype(np.int64) + self.byte0
-        return sym, np.bincount(word, minlength=len(segments))
+        of, pair, where = map(np.concatenate, merges)
+        order = np.argsort(of, kind="stable")
+        return sym, np.bincount(word, minlength=len(segments)), of[order], pair[order] * _P, mix64(where[order].astype(np.uint64) * _Q)
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.zeros(self.size + 2 * len(values), self.data.dtype)])
+        self.data[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
+def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one after the other."""
+    heads = np.cumsum(sizes) - sizes
+    return np.repeat(begin - heads, sizes) + np.arange(int(sizes.sum()))
+
+
+class Courses:
+    """What segments become, by the merges that they skip."""
+
+    def __init__(self, pieces: Pieces, rate: float):
+        self.pieces, self.rate, self.limit = pieces, rate, np.uint64(int(rate * 2.0**32))
+        self.roots: dict[bytes, int] = {}
+        #: Of each course: its segment, and the numbers of the candidates it skips.
+        self.segment: list[bytes] = []
+        self.skipped: list[tuple[tuple[int, int], ...]] = []
+        #: How many merges it shares with its parent
+        self.depth = np.zeros(0, np.int64)
+        self.begin, self.length, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.int32)
+        #: Merges of a course beyond those of its parent, the two numbers of each, and the course if it is skipped.
+        self.first, self.merges = Grown(np.int64), Grown(np.int64)
+        self.a, self.b, self.child = Grown(np.uint64), Grown(np.uint64), Grown(np.int64)
+
+    def add(self, segments: list[bytes], skipped: list[tuple[tuple[int, int], ...]], known: np.ndarray) -> None:
+        """Work out courses; of the merges of each, the first `known` ones are shared with its parent."""
+        own = mix64(np.arange(1, len(segments) + 1).astype(np.uint64))
+        n_gone = list(map(len, skipped))
+        pairs = np.array([p for s in skipped for p in s], np.uint64).reshape(-1, 2)
+        gone = np.sort(mix64(np.repeat(own, n_gone) + pairs[:, 0] ^ pairs[:, 1]))
+        ids, sizes, of, a, b = self.pieces.merged(segments, own, 0.0, gone)
+        self.begin.add(self.ids.size + np.cumsum(sizes) - sizes), self.length.add(sizes), self.ids.add(ids)
+        n = np.bincount(of, minlength=len(segments))
+        new = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) >= np.repeat(known, n)
+        n = n - known
+        self.first.add(self.a.size + np.cumsum(n) - n), self.merges.add(n)
+        self.a.add(a[new]), self.b.add(b[new]), self.child.add(np.full(int(new.sum()), -1))
+        self.segment += segments
+        self.skipped += skipped
+        self.depth = np.concatenate([self.depth, known])
+
+    def of(self, segments: list[bytes], salt: np.ndarray) -> np.ndarray:
+        """The course of each occurrence."""
+        course = np.fromiter(map(self.roots.get, segments, itertools.repeat(-1)), np.int64, len(segments))
+        if (course < 0).any():
+            fresh = list(dict.fromkeys(segments[i] for i in np.flatnonzero(course < 0).tolist()))
+            self.roots.update(zip(fresh, range(len(self.segment), len(self.segment) + len(fresh)), strict=True))
+            self.add(fresh, [()] * len(fresh), np.zeros(len(fresh), np.int64))
+            course = np.fromiter(map(self.roots.__getitem__, segments), np.int64, len(segments))
+        left = np.arange(len(course)) if self.rate else np.zeros(0, np.int64)
+        while len(left):
+            left = left[self.merges.data[course[left]] > 0]
+            n = self.merges.data[course[left]]
+            at = _spread(self.first.data[course[left]], n)
+            h = mix64(np.repeat(salt[left], n) + self.a.data[at] ^ self.b.data[at])
+            hit = np.flatnonzero((h >> np.uint64(32)) < self.limit)
+            which, first = np.unique(np.repeat(np.arange(len(left)), n)[hit], return_index=True)
+            left, at = left[which], at[hit[first]]
+            open_ = self.child.data[at] < 0
+            if open_.any():
+                new, where = np.unique(at[open_], return_index=True)
+                parent = course[left[open_][where]]
+                known = self.depth[parent] + new - self.first.data[parent]
+                self.child.data[new] = np.arange(len(self.segment), len(self.segment) + len(new))
+                numbers = zip(self.a.data[new].tolist(), self.b.data[new].tolist(), strict=True)
+                self.add([self.segment[p] for p in parent.tolist()], [(*self.skipped[p], x) for p, x in zip(parent.tolist(), numbers, strict=True)], known)
+            course[left] = self.child.data[at]
+        return course
 
 
 class MergeDropout:
     """Encoder and decoder; loads its model once in each process."""
 
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, variants: int = 4):
-        self.path, self.rate, self.seed, self.variants = path, rate, seed, variants
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 0):
+        self.path, self.rate, self.seed = path, rate, seed
         self.pieces: Pieces | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("path", "rate", "seed", "variants")} | {"pieces": None}
+        return {k: v for k, v in self.__dict__.items() if k in ("path", "rate", "seed")} | {"pieces": None}
 
     def load(self) -> None:
         self.pieces = Pieces(self.path)
         self.raw = self.pieces.raw
-        self.known = [({}, [np.zeros(0, np.int64)], 0) for _ in range(self.variants)]
+        self.courses = Courses(self.pieces, self.rate)
 
-    def variant(self, text: bytes) -> int:
-        return zlib.crc32(text, self.seed & 0xFFFFFFFF) % self.variants
+    def salts(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Of each segment: seed, hash of its text, and its place there."""
+        key = str(self.seed).encode()
+        of_text = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=8, key=key).digest() for t in texts), "<u8")
+        place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        return mix64(np.repeat(of_text, counts) + place.astype(np.uint64) * _Q)
 
     def _cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """Segments of all texts, each with its leading space, and their number in each text."""
@@ -182,28 +294,37 @@ class MergeDropout:
             now += c
         return [*out, now]
 
-    def _ids(self, texts: list[bytes], variant: int) -> list[np.ndarray]:
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         segments, counts = self._cut(texts)
-        known, store, _ = self.known[variant]
-        if len(known) > MEMO:
-            self.known[variant] = known, store, _ = {}, [np.zeros(0, np.int64)], 0
-        which = np.fromiter(map(known.get, segments, itertools.repeat(-1)), np.int64, len(segments))
-        new = np.flatnonzero(which < 0).tolist()
-        if new:
-            fresh = list(dict.fromkeys(segments[i] for i in new))
-            ids, sizes = self.pieces.segments(fresh, self.seed * 1_000_003 + variant, self.rate)
-            base = len(known)
-            known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-            flat = store[0] if len(store) > 1 else np.zeros(0, np.int64)
-            begin, length = (store[1], store[2]) if len(store) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            begin = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes])
-            store[:] = [np.concatenate([flat, ids]), begin, np.concatenate([length, sizes])]
-            which[new] = np.fromiter((known[segments[i]] for i in new), np.int64, len(new))
-        flat, begin, length = store
-        sizes = length[which]
-        place = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(begin[which] - place[:-1], sizes) + np.arange(place[-1])].astype(np.int32)
-        return np.split(ids, place[np.cumsum(counts)][:-1])
+        salt = self.salts(texts, counts)
+        out = []
+        for a in range(0, len(segments), DRAWN):
+            out.append(self._drawn(segments[a : a + DRAWN], salt[a : a + DRAWN]))
+        sizes = np.concatenate([n for _, n in out])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        return np.split(np.concatenate([i for i, _ in out]), ends[:-1])
+
+    def _drawn(self, segments: list[bytes], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each segment)."""
+        if len(self.courses.segment) > MEMO:
+            self.courses = Courses(self.pieces, self.rate)
+        long = np.fromiter(map(len, segments), np.int64, len(segments)) > LONG
+        if not long.any():
+            course = self.courses.of(segments, salt)
+            sizes = self.courses.length.data[course]
+            return self.courses.ids.data[_spread(self.courses.begin.data[course], sizes)], sizes
+        parts = []
+        for some, ids_of in ((~long, self._drawn), (long, lambda s, k: self.pieces.merged(s, k, self.rate)[:2])):
+            at = np.flatnonzero(some)
+            parts.append((at, *(ids_of([segments[i] for i in at.tolist()], salt[at]) if len(at) else (np.zeros(0, np.int32), np.zeros(0, np.int64)))))
+        sizes = np.zeros(len(segments), np.int64)
+        for at, _, n in parts:
+            sizes[at] = n
+        begin = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), np.int32)
+        for at, found, n in parts:
+            ids[_spread(begin[at], n)] = found
+        return ids, sizes
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
@@ -211,12 +332,9 @@ class MergeDropout:
             self.load()
         raw = [(t or "").encode() for t in texts]
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raw)
-        groups: dict[int, list[int]] = {}
-        for i, t in enumerate(raw):
-            if t:
-                groups.setdefault(self.variant(t), []).append(i)
-        for variant, members in groups.items():
-            for i, ids in zip(members, self._ids([raw[i] for i in members], variant), strict=True):
+        some = [i for i, t in enumerate(raw) if t]
+        if some:
+            for i, ids in zip(some, self._ids([raw[i] for i in some]), strict=True):
                 out[i] = ids
         return out
 

@@ -367,6 +367,23 @@ def test_dropout_against_a_plain_agenda():
         assert [i for i, _ in symbols] == want.tolist()
 
 
+def test_every_occurrence_is_drawn_for():
+    """Repeats within a text vary, no two texts share their choices, and kept courses give what each draw alone gives."""
+    path = queries.vocabulary_file("piece_bpe_32k.model")
+    coder = mergedrop.MergeDropout(path, rate=0.2, seed=3)
+    rng = random.Random(8)
+    texts = ["unbelievably " * 400, *(f"{i} unbelievably said" for i in range(200)), " ".join("".join(rng.choice("abcdethion") for _ in range(rng.randrange(1, 60))) for _ in range(600)), "a\0b unbelievably"]
+    for _ in range(2):
+        got = coder.encode(texts)
+        assert all(coder.decode(ids) == t for ids, t in zip(got, texts, strict=True))
+        for t, ids in zip(texts, got, strict=True):
+            segments, counts = coder._cut([t.encode()])
+            assert coder.pieces.merged(segments, coder.salts([t.encode()], counts), 0.2)[0].tolist() == ids.tolist()
+    words = [tuple(i) for i in np.split(got[0], np.flatnonzero([coder.raw[k].startswith(b" ") for k in got[0]]))[1:]]
+    assert len(words) == 401 and len(set(words)) > 12
+    assert len({tuple(i.tolist()[-8:]) for i in got[1:201]}) > 12
+
+
 def test_fold_of_a_null_id(spark):
     one = spark.createDataFrame([(None,), (7,)], "doc_id long").select(F.coalesce(queries.fold("doc_id", 4) == 2, F.lit(False)).alias("x"))
     assert [r.x for r in one.collect()] == [False, zlib.crc32(b"7") % 4 == 2]
