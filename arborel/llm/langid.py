@@ -253,21 +253,31 @@ def train(texts: list[tuple[str, str]], order: int = 4, tolerance: float = 2.0)
 
 
 def sample(docs: DataFrame, most: int, most_bytes: int, most_all: int, languages: int) -> list[tuple[str, str]]:
-    """At most about `most` labelled texts a language and `most_all` in all, chosen by a hash of the text.
+    """The `most` distinct texts of least hash of each language, fewer where `most_all` in all would be passed.
 
-    Copies count once.  Texts are taken whole; those over `most_bytes` are left to the others of
-    their language.  The `languages` most frequent ones are learned: a model
-    holds a number for each n-gram and language.
+    Every language is learned.  A model holds a number for each n-gram and
+    language, so beyond `languages` of them the texts in all are lowered in
+    proportion, to one a language at least.  Texts are taken whole; those over
+    `most_bytes` are left to the others of their language, and begin it where
+    there are no others.
     """
-    # Empty and over-long texts teach nothing a bounded model can hold.
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    # Empty texts teach nothing, and over-long ones nothing that a bounded model can hold.
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = rows.withColumn("long", F.octet_length("text") > most_bytes).withColumn("text", F.when(F.col("long"), F.substring("text", 1, most_bytes // 4)).otherwise(F.col("text")))
+    found = rows.groupBy("lang", "long").agg(F.approx_count_distinct("text").alias("n")).collect()
+    n = {r["lang"]: r for r in sorted(found, key=lambda r: not r["long"])}  # the short ones last, so that they count
     if not n:
         return []
-    most = min(most, most_all // len(n) + 1)
-    share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, most / k))])
-    chosen = rows.where(F.element_at(share, F.col("lang")).isNotNull()).where((F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000))
-    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").distinct().collect())
+    most = max(1, min(most, min(most_all, most_all * languages // len(n)) // len(n) + (len(n) <= languages)))
+    # More than enough, as counts and hashes are estimates; the least hashes of those are the least of all.
+    enough = 1.2 * (most + 6 * most**0.5)
+    share = rows.sparkSession.createDataFrame([(x, r["long"], int(min(1.0, enough / max(1, r["n"])) * 1_000_000) + 1) for x, r in n.items()], "lang string, long boolean, share long")
+    hashed = F.xxhash64("text", F.lit(7))
+    chosen = rows.join(F.broadcast(share), ["lang", "long"]).where(F.pmod(hashed, F.lit(1_000_000)) < F.col("share"))
+    taken: dict[str, list] = {}
+    for lang, text, h in chosen.select("lang", "text", F.pmod(hashed, F.lit(1_000_000)).alias("h")).distinct().collect():
+        taken.setdefault(lang, []).append((h, text))
+    return sorted((lang, text) for lang, of in taken.items() for _, text in sorted(of)[:most])
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: int = 4, most: int = 500, most_bytes: int = 20_000, most_all: int = 10_000, languages: int = 100) -> Model | None:

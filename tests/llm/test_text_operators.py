@@ -203,6 +203,18 @@ def test_language(spark):
     assert langid.identify(docs, langid.fit(docs.where("false"))).where("rejected").count() == docs.count()
 
 
+def test_all_languages_are_sampled(spark):
+    """Neither many languages nor copies nor long texts keep a language from being learned."""
+    rows = [(f"own {i} text {k}", f"l{i}") for i in range(130) for k in range(3)]
+    rows += [("much copied", "copied")] * 3000 + [(f"other {i}", "copied") for i in range(200)] + [("few", "few")] * 2000 + [("long " * 5000, "long")]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string"), 500, 20_000, 10_000, 100)
+    assert {lang for lang, _ in got} == {lang for _, lang in rows} and len(got) == len(set(got))
+    got = langid.sample(spark.createDataFrame(rows[390:], "text string, lang string"), 500, 20_000, 10_000, 100)
+    assert sum(lang == "copied" for lang, _ in got) == 201 and ("few", "few") in [(t, x) for x, t in got]
+    wide = langid.sample(spark.createDataFrame([(f"t{i}", "x") for i in range(5000)], "text string, lang string"), 500, 20_000, 10_000, 100)
+    assert len(wide) == 500
+
+
 def test_models_are_distributions():
     """Probabilities of all next characters add up to one after any context."""
     model = langid.train([("x", "abracadabra abba cab " * 3), ("y", "the quick brown fox the lazy dog")], order=3)
