@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -22,12 +21,15 @@ _used: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir.
 
-    Driver and executors all see that folder on a cluster.  Where the setting
-    is absent (tests in local mode), a temporary folder of this machine serves.
+    Driver and executors all see that folder on a cluster, where the setting
+    must be there.  In local mode a temporary folder of this machine serves
+    without it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="arborel-"))
     path = f"{base.rstrip('/')}/arborel-{app}"
     if path not in _used:
@@ -66,17 +68,25 @@ def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting by which shuffle files go when the execution that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Remove at the end what `written` wrote, and let Spark drop shuffles that nothing refers to."""
+    """Within it, shuffle files go with each execution; at its end, what `written` wrote."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
     _scratch.append([])
     try:
         yield
     finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
         for path in _scratch.pop():
             remove(spark, path)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
 
 
 def whole_row(df: DataFrame, text: str) -> Column:
@@ -172,13 +182,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+#: Bytes that one prefix sum of span_hashes covers, but for a longer span.
+SUMMED = 1 << 22
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum over the run."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _BYTES.upto(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * _M2)
+    """A 64-bit hash of each byte span, from prefix sums over stretches of the run; starts ascend."""
+    n = len(starts)
+    out = np.empty(n, np.uint64)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SUMMED)))
+        base, top = int(starts[i]), int(ends[i:j].max())
+        up, down = _BYTES.upto(top - base + 1)
+        total = np.empty(top - base + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * up[: top - base], out=total[1:])
+        h = (total[ends[i:j] - base] - total[starts[i:j] - base]) * down[starts[i:j] - base]
+        out[i:j] = mix64(h + (ends[i:j] - starts[i:j]).astype(np.uint64) * _M2)
+        i = j
+    return out

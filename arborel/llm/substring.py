@@ -1,22 +1,28 @@
 """Substring dedup over a compacted De Bruijn graph of token k-mers.
 
-Windows of ``window`` consecutive words are the edges to compare.  A shorter
-k-mer, the smallest by hash within a window, is the node through which the
-window passes; neighbouring windows of a document mostly share their node, and
-such a run of windows is one compacted path, kept as one row: node, digest of
-the path's words, source coordinates.
-
-1. Nodes of a single document are dropped: no window through them repeats.
-2. Equal (node, path digest) means equal paths.  The least document of each is
-   its source; every other document's path is covered as a whole.
-3. A node with one path only does not branch and is done.  At a branching node
-   the windows of each path's source are compared one by one: a later source
-   may share windows, not its whole path, with an earlier one.
-4. Covered spans meet the texts once more and the words in them are removed.
+The graph's edges are the windows: k-mers of ``window`` words, each from the
+k-mer without its last word to the one without its first.  Edges are held as
+pieces: consecutive windows of a text that share their least inner k-mer of
+``k`` words by hash (their anchor) are one row with the anchor, a digest of the
+piece's words, its coordinates, and the pieces before and after it.
+
+1. Anchors of a single document are dropped: no window through them repeats.
+2. Equal digests are one piece; its source is its first occurrence by document
+   and place.  A piece joins the one after it where neither branches: all
+   occurrences of the one are followed by the other, which follows nothing
+   else.  A Spark join on these links, and a running mark along the source's
+   coordinates, compact chains of pieces to paths of any length.
+3. A path's words are read again at its source coordinates and digested to
+   128 bits.  Its occurrences in later documents are spans to remove, and each
+   goes only if its own words give that digest.
+4. At an anchor with several pieces, windows can repeat without their piece.
+   There the windows of the pieces' sources become single edges, equal if
+   128-bit digests of their words are.
+5. Spans meet the texts once more and the words in them are removed.
 
 Every step joins or sums by key with partial aggregation before the shuffle,
 so copies of any number cost one row each, and no group is ever in one task's
-memory.  A path that all copies share is compared through its source alone.
+memory.  A piece that all copies share is compared through its source alone.
 """
 
 from __future__ import annotations
@@ -26,15 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import Powers, mix64, pieces, scratch, span_hashes, whole_row, word_spans, written
 
 _NODES, _PATHS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
-_LOW = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0xE7037ED1A0B428DB)
-
-PATHS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("node", T.LongType()), T.StructField("path", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("windows", T.IntegerType())])
+#: Places within a stretch of k-mers ride in the low bits of their hashes.
+_BITS = 24
 
 
 class _Run:
@@ -55,26 +60,39 @@ class _Run:
         total, down = self.sums[which]
         return (total[end] - total[begin]) * down[begin]
 
-    def nodes(self, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Valid windows' first words, the place of each one's node, and all k-mer hashes."""
+    def anchors(self, window: int, k: int, bits: int = _BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Valid windows' first words, the place of each one's anchor, and all k-mer hashes.
+
+        Stretches of k-mers overlap, so that every window lies whole in one and
+        ties go to the leftmost in each, wherever it begins.
+        """
         begin = np.arange(max(0, self.n - k + 1))
         kmers = mix64(self.digest(0, begin, begin + k))
-        if self.n < window:
+        width = window - k + 1
+        total = self.n - window + 1
+        if total <= 0:
             return begin[:0], begin[:0], kmers
-        v = (kmers & ~_LOW) | begin.astype(np.uint64)  # ties: the leftmost, by place
-        width, have = window - k + 1, 1
-        while 2 * have <= width:
-            v = np.minimum(v[: len(v) - have], v[have:])
-            have *= 2
-        if have < width:
-            v = np.minimum(v[: len(v) - (width - have)], v[width - have :])
-        ends = np.repeat(self.rows[1:], np.diff(self.rows))[: len(v)]
-        valid = np.flatnonzero(np.arange(len(v)) + window <= ends)
-        return valid, (v[valid] & _LOW).astype(np.int64), kmers
-
-    def paths(self, window: int, k: int):
-        """Per path: row, node hash, path digest, first word in the row, windows."""
-        valid, place, kmers = self.nodes(window, k)
+        low = np.uint64((1 << bits) - 1)
+        place = np.empty(total, np.int64)
+        step = max(1, (1 << bits) - width)
+        for a in range(0, total, step):
+            b = min(a + step, total)
+            v = kmers[a : b + width - 1]
+            v = (v & ~low) | np.arange(len(v), dtype=np.uint64)
+            have = 1
+            while 2 * have <= width:
+                v = np.minimum(v[: len(v) - have], v[have:])
+                have *= 2
+            if have < width:
+                v = np.minimum(v[: len(v) - (width - have)], v[width - have :])
+            place[a:b] = a + (v & low).astype(np.int64)
+        ends = np.repeat(self.rows[1:], np.diff(self.rows))[:total]
+        valid = np.flatnonzero(np.arange(total) + window <= ends)
+        return valid, place[valid], kmers
+
+    def pieces(self, window: int, k: int):
+        """Per piece: row, anchor's hash, digest, first word in the row, windows, digests before and after (0: none)."""
+        valid, place, kmers = self.anchors(window, k)
         if not len(valid):
             return None
         cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(valid) != 1)) + 1
@@ -83,78 +101,122 @@ class _Run:
         first, where = valid[at], place[at]
         row = np.searchsorted(self.rows, first, side="right") - 1
         shape = (n.astype(np.uint64) << np.uint64(32)) | (where - first).astype(np.uint64)
-        path = mix64(self.digest(1, first, first + n + window - 1) ^ mix64(shape * _ODD))
-        return row, kmers[where], path, first - self.rows[row], n, where - self.rows[row]
+        piece = mix64(self.digest(1, first, first + n + window - 1) ^ mix64(shape * _ODD))
+        on = row[1:] == row[:-1]
+        before, after = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+        before[1:][on], after[:-1][on] = piece[:-1][on], piece[1:][on]
+        return row, kmers[where], piece, first - self.rows[row], n, before, after
 
 
-def _rows_of(batch: pa.RecordBatch, column: int, limit: int):
-    for a, b, data, offsets in pieces(batch, column, limit):
-        yield a, b, _Run(data, offsets)
+PIECES = "doc_id long, row long, anchor long, piece long, first int, windows int, before long, after long"
 
 
-def _paths(window: int, k: int, limit: int):
+def _pieces(window: int, k: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in _rows_of(batch, 2, limit):
-                found = words.paths(window, k)
+            for a, _, data, offsets in pieces(batch, 2, limit):
+                found = _Run(data, offsets).pieces(window, k)
                 if found is None:
                     continue
-                row, node, path, first, n, _ = found
+                row, anchor, piece, first, n, before, after = found
                 take = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(node.view(np.int64)), pa.array(path.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=PATHS.names)
+                longs = [pa.array(x.view(np.int64)) for x in (anchor, piece, before, after)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *longs[:2], pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), *longs[2:]], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return run
 
 
-WINDOWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("node", T.LongType()), T.StructField("edge", T.LongType()), T.StructField("first", T.IntegerType())])
+#: Digests of words at given places: of a span for a path, of each window of a span for edges.
+PROOFS = "doc_id long, row long, first int, windows int, path boolean, proof binary"
+
+
+class _Words:
+    """A text's words, joined by one space, with digests of spans."""
+
+    def __init__(self, text: str):
+        words = text.encode().split()
+        self.joined = memoryview(b" ".join(words))
+        self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]).tolist()
+
+    def proof(self, first: int, end: int) -> bytes:
+        return hashlib.blake2b(self.joined[self.at[first] : self.at[end] - 1], digest_size=16).digest()
 
 
-def _windows(window: int, k: int, limit: int):
-    """Single windows of the paths listed (flat: first, windows) for each document."""
+def _proofs(window: int):
+    """What is asked for of each text: flat lists of first words, windows, and whether as one path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in _rows_of(batch, 2, limit):
-                found = words.paths(window, k)
-                if found is None:
-                    continue
-                row, node, _, first, n, where = found
-                lists = batch.column(3).slice(a, b - a)
-                wanted_row = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
-                wanted = np.unique((wanted_row.astype(np.int64) << 32) | lists.flatten().to_numpy())
-                keep = np.isin((row.astype(np.int64) << 32) | first, wanted)
-                row, node, first, n, where = (x[keep] for x in (row, node, first, n, where))
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                r, at = np.repeat(row, n), np.repeat(first, n) + step
-                begin = words.rows[r] + at
-                edge = mix64(words.digest(1, begin, begin + window) ^ mix64((np.repeat(where, n) - at).astype(np.uint64) * _ODD))
-                take = pa.array(r + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(node, n).view(np.int64)), pa.array(edge.view(np.int64)), pa.array(at.astype(np.int32))], names=WINDOWS.names)
+            for i in range(batch.num_rows):
+                key, row, text, firsts, sizes, paths = (c[i].as_py() for c in batch.columns)
+                words, first, size, path, proof = _Words(text), [], [], [], []
+                for f, n, whole in sorted(set(zip(firsts, sizes, paths, strict=True))):
+                    at = [f] if whole else range(f, f + n)
+                    span = (n if whole else 1) + window - 1
+                    first += at
+                    size += [n if whole else 1] * len(at)
+                    path += [whole] * len(at)
+                    proof += [words.proof(x, x + span) for x in at]
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, row)), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(path, pa.bool_()), pa.array(proof, pa.binary())], names=[x.split()[0] for x in PROOFS.split(", ")])
 
     return run
 
 
+def compacted(known: DataFrame) -> DataFrame:
+    """Paths of pieces that never part: head (the first piece), doc_id, row, first (of the source), windows, pieces.
+
+    known has, per piece: piece, at (doc_id, row, first of its source),
+    windows, and before and after, null where occurrences differ in them.
+    """
+    links = known.select(F.col("piece").alias("before"), F.col("after").alias("follower")).where("follower IS NOT NULL")
+    # All of a piece's occurrences follow `before`, and all of that one's come before it.
+    glued = written(known.join(links, "before", "left").select("piece", "at.*", "windows", F.coalesce(F.col("follower") == F.col("piece"), F.lit(False)).alias("glued")), "glued")
+    along = Window.partitionBy("doc_id", "row").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    chained = glued.withColumn("start", F.last(F.when(~F.col("glued"), F.col("first")), ignorenulls=True).over(along))
+    return chained.groupBy("doc_id", "row", "start").agg(F.max(F.when(~F.col("glued"), F.col("piece"))).alias("head"), F.sum("windows").cast("int").alias("windows"), F.count("*").alias("pieces")).withColumnRenamed("start", "first")
+
+
 def repeated_spans(docs: DataFrame, *, window: int = 50, k: int = 16, limit: int = 1 << 20) -> DataFrame:
     """Spans of (doc_id, row, text) rows that earlier documents hold.
 
-    Returns doc_id, row, first (word), windows, source: every window of the
-    span also starts in document `source`, whose id is smaller (for spans of
-    several windows all of them in that document).
+    Returns doc_id, row, first (word), windows, source, source_row,
+    source_first, proof: every window of the span also starts in document
+    `source`, whose id is smaller, from that word on; proof is the digest of
+    the source's words, null for spans of single windows, which were compared
+    by such digests before.
     """
-    seen = written(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_paths(window, k, limit), PATHS), "paths")
+    seen = written(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_pieces(window, k, limit), PIECES), "pieces")
     # Sums are written before they are joined: then both sides are plain shuffles, and hot keys are split.
-    nodes = written(seen.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node"), "nodes")
-    shared = written(seen.join(nodes, "node", "left_semi"), "shared")
-    sources = written(shared.groupBy("node", "path").agg(F.min("doc_id").alias("source")), "sources")
-    branching = written(sources.groupBy("node").agg(F.count("*").alias("ways")).where("ways > 1").select("node", F.lit(True).alias("branches")), "branching")
-    sources = written(sources.join(branching, "node", "left"), "ways")
-    placed = written(shared.join(sources, ["node", "path"]).where("doc_id > source OR branches").select("doc_id", "row", "first", "windows", "source"), "placed")
-    whole = placed.where("doc_id > source")
-    lists = placed.where("doc_id = source").groupBy("doc_id", "row").agg(F.collect_list(F.col("first").cast("long")).alias("firsts"))
-    single = written(docs.join(lists.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "firsts").mapInArrow(_windows(window, k, limit), WINDOWS), "windows")
-    edges = written(single.groupBy("node", "edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"), "edges")
-    part = single.join(edges, ["node", "edge"]).where("doc_id > source").select("doc_id", "row", "first", F.lit(1).alias("windows"), "source")
-    return whole.unionByName(part)
+    anchors = written(seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
+    shared = written(seen.join(anchors, "anchor", "left_semi"), "shared")
+    single = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)
+    known = shared.groupBy("piece").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor"), F.min("windows").alias("windows"), single("before"), single("after"))
+    known = written(known, "known")
+    branching = written(known.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1").select("anchor"), "branching")
+    # Pieces of one document only lie in no path: all pieces of a path are of the same documents.
+    paths = written(compacted(known.where(F.col("at.doc_id") < F.col("last"))), "paths")
+    parted = written(known.join(branching, "anchor", "left_semi").select("piece", F.col("at.doc_id").alias("source")), "parted")
+    asked = shared.select("piece", "doc_id", "row", "first", "windows").join(parted, "piece").where("doc_id = source").select("doc_id", "row", "first", "windows", F.lit(False).alias("path"))
+    asked = asked.unionByName(paths.select("doc_id", "row", "first", "windows", F.lit(True).alias("path")))
+    lists = written(asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "windows", "path")).alias("x")), "asked")
+    read = docs.join(lists.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "x.first", "x.windows", "x.path")
+    proofs = written(read.mapInArrow(_proofs(window), PROOFS), "proofs")
+
+    proven = proofs.where("path").groupBy("doc_id", "row", "first").agg(F.min("proof").alias("proof"))
+    proven = written(paths.join(proven, ["doc_id", "row", "first"]).select(F.col("head").alias("piece"), F.col("windows").alias("length"), F.struct("doc_id", "row", "first").alias("at"), "proof"), "proven")
+    whole = shared.select("piece", "doc_id", "row", "first").join(proven, "piece").where(F.col("doc_id") > F.col("at.doc_id"))
+    whole = whole.select("doc_id", "row", "first", F.col("length").alias("windows"), F.col("at.doc_id").alias("source"), F.col("at.row").alias("source_row"), F.col("at.first").alias("source_first"), "proof")
+
+    edges = proofs.where("NOT path").select("doc_id", "row", "first", "proof")
+    twice = written(edges.groupBy("proof").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").drop("last"), "edges")
+    part = edges.join(twice, "proof").where(F.col("doc_id") > F.col("at.doc_id"))
+    part = part.select("doc_id", "row", "first", F.col("at.doc_id").alias("source"), F.col("at.row").alias("source_row"), F.col("at.first").alias("source_first")).distinct()
+    # Windows one after the other in both texts are one span.
+    diagonal = ["doc_id", "row", "source", "source_row", (F.col("first") - F.col("source_first")).alias("shift")]
+    part = part.select("*", diagonal[-1]).withColumn("island", F.col("first") - F.row_number().over(Window.partitionBy("doc_id", "row", "source", "source_row", "shift").orderBy("first")))
+    part = part.groupBy("doc_id", "row", "source", "source_row", "shift", "island").agg(F.min("first").alias("first"), F.count("*").cast("int").alias("windows"), F.min("source_first").alias("source_first"))
+    return whole.unionByName(part.select("doc_id", "row", "first", "windows", "source", "source_row", "source_first", F.lit(None).cast("binary").alias("proof")))
 
 
 def _kept(window: int, texts: bool, schema: T.StructType):
@@ -163,23 +225,26 @@ def _kept(window: int, texts: bool, schema: T.StructType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for start, end, _, _ in pieces(batch, 1):
+                part = batch.slice(start, end - start)
                 out: list[list] = [[] for _ in kinds]
-                for key, text, firsts, runs in zip(*(c.to_pylist() for c in part.columns[:4]), strict=True):
+                for key, text, firsts, runs, proofs in zip(*(c.to_pylist() for c in part.columns[:5]), strict=True):
                     words = [] if text is None else text.encode().split()
                     n = len(words)
                     if firsts:
+                        own = _Words(text)
                         change = np.zeros(n + 1, np.int32)
-                        a = np.array(firsts)
-                        np.add.at(change, a, 1)
-                        np.add.at(change, a + np.array(runs) + window - 1, -1)
+                        for first, run_, proof in zip(firsts, runs, proofs, strict=True):
+                            stop = first + run_ + window - 1
+                            if proof is None or own.proof(first, stop) == proof:
+                                change[first] += 1
+                                change[stop] -= 1
                         keep = np.flatnonzero(np.cumsum(change[:-1]) == 0)
                         words = [words[i] for i in keep.tolist()]
                     kept = b" ".join(words)
                     for o, v in zip(out, (key, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else "", text), strict=False):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(o, f.type) for o, f in zip(out, kinds, strict=True)), *part.columns[4:]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(o, f.type) for o, f in zip(out, kinds, strict=True)), *part.columns[5:]], names=schema.names)
 
     return run
 
@@ -194,16 +259,17 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     document with a smaller id; windows are judged on the input.  Null and
     empty texts have no words and keep an empty text; texts shorter than a
     window keep all.  Rows with equal ids do not act on each other; rows with
-    a null id neither remove nor lose words.  Other columns are not read.
+    a null id neither remove nor lose words.  Texts of any number of words
+    are read whole, one text at a time in memory.  Other columns are not read.
     """
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and window")
     body = F.col(text).cast("string")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"))
     with scratch(docs.sparkSession):
-        found = repeated_spans(source, window=window, k=k, limit=limit).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+        found = repeated_spans(source, window=window, k=k, limit=limit).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "windows", "proof")).alias("spans"))
         spans = written(found, "spans", keep=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), body.alias("text"), whole_row(docs, text)) if carry else source
-    joined = rows.join(spans.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", F.col("spans.first").alias("firsts"), F.col("spans.windows").alias("runs"), *(["whole"] if carry else []))
-    schema = T.StructType([*T._parse_datatype_string(KEPT + ", kept string, original string" * texts).fields, *joined.schema.fields[4:]])
+    joined = rows.join(spans.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", F.col("spans.first").alias("firsts"), F.col("spans.windows").alias("runs"), F.col("spans.proof").alias("proofs"), *(["whole"] if carry else []))
+    schema = T.StructType([*T._parse_datatype_string(KEPT + ", kept string, original string" * texts).fields, *joined.schema.fields[5:]])
     return joined.mapInArrow(_kept(window, texts, schema), schema)

@@ -76,6 +76,40 @@ def test_repeats_carry_and_empty(spark):
     assert substring.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_stretches_do_not_show():
+    """Prefix sums and anchors worked out in stretches, as for very long texts, are those of the whole."""
+    from arborel.llm import common
+
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.integers(32, 40, 150_000), np.resize([97, 32], 50_000)]).astype(np.uint8)
+    offsets = np.array([0, 1000, 1000, 120_000, 200_000])
+    starts, ends, _ = common.word_spans(data, offsets)
+    whole, words = common.span_hashes(data, starts, ends), substring._Run(data, offsets)
+    summed, common.SUMMED = common.SUMMED, 777
+    try:
+        assert (common.span_hashes(data, starts, ends) == whole).all()
+    finally:
+        common.SUMMED = summed
+    for bits in (6, 8, 13):
+        assert all((x == y).all() for x, y in zip(words.anchors(50, 16), words.anchors(50, 16, bits), strict=True))
+
+
+def test_long_repeats_are_one_path(spark):
+    """Pieces that never part compact to one path, and a span goes only if the source's words are its own."""
+    rng = random.Random(9)
+    passage = prose(rng, 900)
+    rows = [(i, " ".join(prose(rng, 70) + passage + prose(rng, 70))) for i in range(5)]
+    source = frame(spark, rows).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    spans = substring.repeated_spans(source).collect()
+    # Pieces at the passage's ends differ between documents; their windows are compared one by one.
+    assert sorted({r.doc_id for r in spans}) == [1, 2, 3, 4] and len(spans) <= 12 and {r.source for r in spans} == {0}
+    for i in range(1, 5):
+        assert sum(r.windows for r in spans if r.doc_id == i) == 900 - 49
+        assert max(r.windows for r in spans if r.doc_id == i and r.proof is not None) > 750
+    words = substring._Words(rows[0][1])
+    assert all(words.proof(r.source_first, r.source_first + r.windows + 49) == r.proof for r in spans if r.proof is not None)
+
+
 def brute_links(rows, size, percent):
     sets = {}
     for i, t in rows:
