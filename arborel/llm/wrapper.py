@@ -3,25 +3,31 @@
 A page's tree is folded: siblings with one label become one node, so that its
 paths form a small ordered tree of slots.  Trees of a host are aligned with
 the host's exemplar by simple tree matching; aligned slots share an identity.
-Over all pages of the host, slots are counted with their distinct texts: those
-that stay constant are template, those that vary are content.  A page's text
-is its varying slots, within the article where there is one, without parts
-that markup or names show to be menus, notices, forms and the like.  Slots of
-articles are counted as others are; only where all of an article is constant
-do the statistics not tell it from template, and markup decides for it.
+Over all distinct pages of the host two things are template: slots whose text
+hardly differs, and single nodes of a slot that almost all pages repeat.  The
+rest varies and is content.  A page's text is its varying nodes, within the
+article where there is one, without parts that markup or names show to be
+menus, notices, forms and the like.  Articles are counted as the rest is; only
+where all of an article is constant do the statistics not tell it from
+template, and markup decides for it.
+
+Pages are read in linear time and in one loop, however deep or broken they
+are.  An unclosed tag, comment or script runs to the page's end, as browsers
+have it.  Slots are told apart by their outermost LEVELS blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import pieces, written
 
 #: Elements without content, elements whose content is no text, and elements that make blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +52,14 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 CLOSES |= {b: ("p",) for b in BLOCKS if b not in CLOSES and b not in ("html", "head", "body", "tbody", "thead", "tfoot", "caption")}
 #: An element of the list above is not ended across these.
 FENCES = frozenset("ul ol dl table article section div aside nav footer header main body form td th blockquote".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags; what is not closed runs to the end, a quote without its twin is a character.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
+#: Ends of elements whose content is no text.
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I) for tag in OPAQUE}
+#: Blocks of a path beyond these share the slot of the last one.
+LEVELS = 100
+#: Nodes with more pairs of children than this align equal labels in order, without weighing them.
+WIDE = 100_000
 _NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -84,12 +97,23 @@ class Block:
         self.path, self.text, self.dropped, self.article = path, text, dropped, article
 
 
+class Open:
+    """An open element, with what it takes from those around it."""
+
+    __slots__ = ("tag", "path", "drop", "article", "heading")
+
+    def __init__(self, tag, path, drop, article, heading):
+        self.tag, self.path, self.drop, self.article, self.heading = tag, path, drop, article, heading
+
+
 def blocks(page: str) -> list[Block]:
     """All blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, label, how far dropped, in an article
+    top = Open("", (), 0, False, False)
+    stack: list[Open] = [top]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    fences: list[int] = [0]
     held: list[str] = []
-    opaque = ""
 
     def flush() -> None:
         if held:
@@ -97,60 +121,53 @@ def blocks(page: str) -> list[Block]:
             held.clear()
             if text:
                 # A heading in an article's header is the article's; the rest of the header is not.
-                worst = max((d for _, _, d, _ in stack), default=0)
-                drop = worst > 1 or worst == 1 and not (stack[-1][3] and any(t in HEADINGS for t, *_ in stack))
-                out.append(Block(tuple(x for t, x, _, _ in stack if t in BLOCKS), text, drop, bool(stack) and stack[-1][3]))
+                now = stack[-1]
+                out.append(Block(now.path, text, now.drop > 1 or now.drop == 1 and not (now.article and now.heading), now.article))
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in FENCES:
+                fences.pop()
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if opaque:
-            if m[1] != "/" or (m[2] or "").lower() != opaque:
-                continue
-            opaque, at = "", m.end()
-            continue
+    while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[2] is None:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES and tag not in BLOCKS:
-                    break
+            if (own := places.get(tag)) and (tag in BLOCKS or own[-1] >= fences[-1]):
+                cut(own[-1])
             continue
         if tag in OPAQUE:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                opaque, at = tag, at
-                if end is None:
-                    at = len(page)
-                    break
+                end = _ENDS[tag].search(page, at)
+                at = len(page) if end is None else end.end()
             continue
         if tag == "br":
             held.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-            ends = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES:
-                    break
+            ended = max((places[t][-1] for t in CLOSES.get(tag, ()) if places.get(t)), default=-1)
+            if ended >= fences[-1] and ended > 0:
+                cut(ended)
         if tag in VOID:
             continue
-        inside = bool(stack) and stack[-1][3]
-        label, drop = _label(tag, m[3], inside)
-        stack.append((tag, label, drop, inside or tag in ("article", "main")))
-    if not opaque and at < len(page):
+        around = stack[-1]
+        label, drop = _label(tag, m[3], around.article)
+        path = (*around.path, label) if tag in BLOCKS and len(around.path) < LEVELS else around.path
+        if tag in FENCES:
+            fences.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Open(tag, path, max(around.drop, drop), around.article or tag in ("article", "main"), around.heading or tag in HEADINGS))
+    if at < len(page):
         held.append(page[at:])
     flush()
     return out
@@ -162,7 +179,7 @@ Tree = tuple  # (label, (child, ...))
 
 
 def folded(paths: list[tuple[str, ...]]) -> Tree:
-    """The ordered tree of distinct paths."""
+    """The ordered tree of distinct paths, at most LEVELS deep."""
     root: dict = {}
     for path in paths:
         node = root
@@ -188,6 +205,8 @@ def matched(a: Tree, b: Tree) -> tuple[int, tuple]:
     if _tag(a[0]) != _tag(b[0]):
         return 0, ()
     x, y = a[1], b[1]
+    if len(x) * len(y) > WIDE:
+        return _in_order(a, b)
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     weight = [[matched(p, q)[0] for q in y] for p in x]
     for i in range(len(x)):
@@ -205,6 +224,18 @@ def matched(a: Tree, b: Tree) -> tuple[int, tuple]:
     return best[-1][-1] + 1 + (a[0] == b[0]), tuple(reversed(pairs))
 
 
+def _in_order(a: Tree, b: Tree) -> tuple[int, tuple]:
+    """As matched, for many children: equal labels are paired from the left, in linear time."""
+    at = {child[0]: j for j, child in reversed(list(enumerate(b[1])))}
+    pairs, last, weight = [], -1, 1 + (a[0] == b[0])
+    for i, child in enumerate(a[1]):
+        j = at.get(child[0], -1)
+        if j > last:
+            pairs.append((i, j))
+            last, weight = j, weight + matched(child, b[1][j])[0]
+    return weight, tuple(pairs)
+
+
 @lru_cache(20_000)
 def slots(page: Tree, exemplar: Tree) -> dict[tuple[str, ...], str]:
     """Path in the page -> slot: the exemplar's path where aligned, else its own."""
@@ -263,14 +294,25 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(trees, pa.string())], names=["host", "exemplar"])
 
 
+def _id(*parts: str) -> int:
+    """A number for a slot of a host, a node of a slot, or a text."""
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+@lru_cache(100_000)
+def _slot_id(host: str, slot: str) -> int:
+    return _id(host, slot)
+
+
 def _observed(lookup):
-    """Per page and slot: host, slot, hash of the page, the slot's text."""
+    """Per page, each slot with its text, and each node of it with its slot."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                out: list[list] = [[], [], [], []]
-                for host, page, hashed, tree in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
+            for start, end, _, _ in pieces(batch, 1):
+                out: list[list] = [[] for _ in kinds]
+                for host, page, hashed, tree in zip(*(c.to_pylist() for c in batch.slice(start, end - start).columns), strict=True):
                     found = blocks(page or "")
                     where = slots(folded([b.path for b in found]), lookup(host, tree))
                     texts: dict[str, list[str]] = {}
@@ -278,74 +320,77 @@ def _observed(lookup):
                         if not b.dropped:
                             texts.setdefault(where[b.path], []).append(b.text)
                     for slot, said in texts.items():
-                        for o, v in zip(out, (host, slot, hashed, "\n".join(said)), strict=True):
-                            o.append(v)
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["host", "slot", "page", "said"])
+                        own = _slot_id(host, slot)
+                        rows = [(host, own, None, hashed, _id("\n".join(said))), *((host, _id(host, slot, t), own, hashed, None) for t in set(said))]
+                        for o, v in zip(out, zip(*rows, strict=True), strict=True):
+                            o += v
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["host", "id", "of", "page", "said"])
 
     return run
 
 
-def main_text(found: list[Block], template: frozenset[str], exemplar: Tree) -> str:
-    """Blocks of the varying slots: those of the article where there is one."""
+def main_text(found: list[Block], host: str, template: Container[int], exemplar: Tree) -> str:
+    """Nodes that vary: those of the article where there is one."""
     where = slots(folded([b.path for b in found]), exemplar)
+    varies = lambda b: _slot_id(host, where[b.path]) not in template and _id(host, where[b.path], b.text) not in template
     article = [b for b in found if b.article and not b.dropped]
     if article:
-        kept = [b for b in article if where[b.path] not in template] or article
+        kept = [b for b in article if varies(b)] or article
     else:
-        kept = [b for b in found if not b.dropped and where[b.path] not in template]
+        kept = [b for b in found if not b.dropped and varies(b)]
     return "\n".join(b.text for b in kept)
 
 
 def _extracted(lookup, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start, end, _, _ in pieces(batch, 3):
+                part = batch.slice(start, end - start)
                 key, url, host, page, tree, constant = (c.to_pylist() for c in part.columns)
-                texts = [main_text(blocks(p or ""), known(h, k), lookup(h, t)) for h, p, t, k in zip(host, page, tree, constant, strict=True)]
+                texts = [main_text(blocks(p or ""), h, known(h, k), lookup(h, t)) for h, p, t, k in zip(host, page, tree, constant, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = 8, most_distinct: float = 0.25, most_broadcast: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = 10, most_distinct: float = 0.1, least_repeated: float = 0.9, most_broadcast: int = 32 << 20) -> DataFrame:
     """Per page row: page_id, url, text, n_chars.
 
     Statistics cover all pages of each host.  The exemplar is the page of the
-    least id.  Tables of hosts are broadcast up to `most_broadcast` rows and
+    least id.  Tables of hosts are broadcast up to `most_broadcast` bytes and
     joined beyond.  A slot, in articles too, is template if at least
     `least_pages` distinct pages have it and at most `most_distinct` of them
-    differ in it; copies of a page count once.  Null html is an empty page
-    with an empty text; pages without a host share the empty one; repeated rows
-    each give a row.  Other columns are not read.
+    differ in it; a node is, if as many pages have it and they are at least
+    `least_repeated` of those with its slot.  Copies of a page count once.
+    Null html is an empty page with an empty text; pages without a host share
+    the empty one; repeated rows each give a row.  Other columns are not read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
-    first = rows.where("html IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("page_id"))
-    first = written(first, "first")
-    n_hosts = first.count()
-    few = n_hosts <= most_broadcast
-    chosen = rows.join(F.broadcast(first) if few else first, ["host", "page_id"]).select("host", "html")
+    first = written(rows.where("html IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("page_id")), "first")
+    small = lambda df, size: (df.agg(F.sum(size)).first()[0] or 0) <= most_broadcast
+    chosen = rows.join(F.broadcast(first) if small(first, F.octet_length("host") + 24) else first, ["host", "page_id"]).select("host", "html")
     exemplars = written(chosen.mapInArrow(_skeletons, "host string, exemplar string").groupBy("host").agg(F.min("exemplar").alias("exemplar")), "exemplars")
-    if few:
+    if small(exemplars, F.octet_length("host") + F.octet_length("exemplar")):
         sent = spark.sparkContext.broadcast(dict(map(tuple, exemplars.collect())))
         with_tree = rows.withColumn("exemplar", F.lit(None).cast("string"))
         lookup = lambda host, _: decoded(sent.value[host]) if host in sent.value else EMPTY
     else:
         with_tree = rows.join(exemplars, "host", "left")
         lookup = lambda _, tree: decoded(tree) if tree else EMPTY
-    seen = with_tree.select("host", "html", F.xxhash64("html").alias("page"), "exemplar").mapInArrow(_observed(lookup), "host string, slot string, page long, said string")
+    seen = with_tree.select("host", "html", F.xxhash64("html").alias("page"), "exemplar").mapInArrow(_observed(lookup), "host string, id long, of long, page long, said long")
     # Copies of a page say the same in every slot and count once.
-    once = seen.select("host", "slot", "page", F.xxhash64("said").alias("said")).distinct()
-    counts = once.groupBy("host", "slot").agg(F.count("*").alias("pages"), F.approx_count_distinct("said").alias("kinds"))
-    template = written(counts.where((F.col("pages") >= least_pages) & (F.col("kinds") <= most_distinct * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("constant")), "template")
-    if few:
+    counts = seen.distinct().groupBy("host", "id", "of").agg(F.count("*").alias("pages"), F.approx_count_distinct("said").alias("kinds")).where(F.col("pages") >= least_pages)
+    counts = written(counts, "counts")
+    of_slots = counts.where("of IS NULL")
+    nodes = counts.where("of IS NOT NULL").join(of_slots.select("host", F.col("id").alias("of"), F.col("pages").alias("all")), ["host", "of"]).where(F.col("pages") >= least_repeated * F.col("all"))
+    template = of_slots.where(F.col("kinds") <= F.greatest(F.lit(1), most_distinct * F.col("pages"))).select("host", "id").unionAll(nodes.select("host", "id"))
+    template = written(template.groupBy("host").agg(F.collect_set("id").alias("constant")), "template")
+    if small(template, F.octet_length("host") + 8 * F.size("constant")):
         constant = spark.sparkContext.broadcast({h: frozenset(s) for h, s in map(tuple, template.collect())})
-        all_rows = with_tree.withColumn("constant", F.lit(None).cast("array<string>"))
+        all_rows = with_tree.withColumn("constant", F.lit(None).cast("array<long>"))
         known = lambda host, _: constant.value.get(host, frozenset())
     else:
         all_rows = with_tree.join(template, "host", "left")
-        known = lambda _, slots_: frozenset(slots_ or ())
+        known = lambda _, ids: frozenset(ids or ())
     return all_rows.select("page_id", "url", "host", "html", "exemplar", "constant").mapInArrow(_extracted(lookup, known), FOUND)
-

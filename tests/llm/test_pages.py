@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import uuid
 
 import pytest
@@ -78,13 +79,13 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 
 def test_article():
     found = wrapper.blocks(PAGE)
-    text = wrapper.main_text(found, frozenset(), wrapper.EMPTY)
+    text = wrapper.main_text(found, "", frozenset(), wrapper.EMPTY)
     assert text.split("\n") == ["Title & more", "First line. Second", "Third link <b> é", "one", "two", "cell", "next"]
 
 
 @pytest.mark.parametrize("page", ["", "plain", "<p>", "<p", "<script>x", "</div></p>", "<article>", "<a<b>c", "<p>a</b>c</p>"])
 def test_broken_pages(page):
-    assert isinstance(wrapper.main_text(wrapper.blocks(page), frozenset(), wrapper.EMPTY), str)
+    assert isinstance(wrapper.main_text(wrapper.blocks(page), "", frozenset(), wrapper.EMPTY), str)
 
 
 def test_tree_matching():
@@ -97,7 +98,7 @@ def test_tree_matching():
     assert wrapper.decoded(wrapper.encoded(a)) == a
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
+@pytest.mark.parametrize("few", [32 << 20, 0])
 def test_constant_slots_are_template(spark, few):
     """Without an article or telling names, what repeats over a host's pages goes."""
     rows = [(i, f"http://a.example/{i}", f"<body><div><p>Welcome to the site</p></div><div class=main><h2>Story {i}</h2><p>Words {i * 7} here</p></div><div><p>All rights reserved</p></div></body>") for i in range(40)]
@@ -129,6 +130,57 @@ def test_links_and_like_names_are_text():
     """Link paragraphs stay, and so do parts whose names only hold a word of the list."""
     page = """<body><article><h2 id="related-work">Related</h2><section id="search-algorithms"><p>Search</p></section><section id="notice"><p>Note</p></section>
 <h3 id="share">Share</h3><div class="share-prices">Prices</div><div class="share-buttons">Tweet</div><div class="main social-links">Follow</div><div class="ad-300x250">Buy</div></article></body>"""
-    assert wrapper.main_text(wrapper.blocks(page), frozenset(), wrapper.EMPTY).split("\n") == ["Related", "Search", "Note", "Share", "Prices"]
+    assert wrapper.main_text(wrapper.blocks(page), "", frozenset(), wrapper.EMPTY).split("\n") == ["Related", "Search", "Note", "Share", "Prices"]
     page = '<body><h2><a href="/s">Story</a></h2><p>Said</p><ul><li><a href="/r">Reference one</a></ul><div id="comments">Nice</div></body>'
-    assert wrapper.main_text(wrapper.blocks(page), frozenset(), wrapper.EMPTY).split("\n") == ["Story", "Said", "Reference one"]
+    assert wrapper.main_text(wrapper.blocks(page), "", frozenset(), wrapper.EMPTY).split("\n") == ["Story", "Said", "Reference one"]
+
+
+def test_induction_against_brute_force(spark):
+    """200 pages of ten hosts: what every page of a host repeats in one place is template, inside articles too, and all else is text."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta".split()) + str(rng.randrange(10_000)) for _ in range(n))
+    rows, want = [], {}
+    for h in range(10):
+        lead, share, foot, inside, wrap = words(6), words(4), words(5), h % 2 == 0, rng.choice(["div", "section"])
+        tag = rng.choice(["article", "main", "div"])
+        for k in range(20):
+            title, body = words(3), [words(rng.randrange(3, 30)) for _ in range(rng.randrange(1, 6))]
+            own = [title, *body]
+            parts = [f"<p>{b}</p>" for b in body]
+            if inside:  # constant paragraphs among the article's own, in the same slot
+                parts.insert(rng.randrange(len(parts) + 1), f"<p>{share}</p>")
+            page = f"<html><body><div class=x{k}><p>{lead}</p></div><{wrap} class='c{k % 3}'><{tag}><h2>{title}</h2>{''.join(parts)}</{tag}></{wrap}><div><span>{foot}</span></div></body></html>"
+            rows.append((h * 100 + k, f"https://host{h}.example/{k}", page))
+            want[h * 100 + k] = "\n".join(own)
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after", "deep\nafter"),
+        ("<b><div>" * 20_000 + "deep", "deep"),
+        ("said <a " * 100_000, "said"),
+        ("x" + "<i>" * 100_000 + "</b>" * 100_000 + "y", "xy"),
+        ("<p>x" + "<!" * 300_000, "x"),
+        ("<p>x" + "<a \"x>y\" b='" * 50_000 + "\"", "x"),
+        ("<p>x<script>" + "</script " * 100_000, "x"),
+        ("<p>x<svg>" * 50_000, "x"),
+        ("<p>a<i title='>'>b</i> <b title=\"it's\">c</b><u title='\">d</u>'>e", "ab ce"),
+        ("".join(f"<p class=c{i}>w{i}</p>" for i in range(3000)), "\n".join(f"w{i}" for i in range(3000))),
+    ],
+    ids=["deep", "deep fences", "unclosed tags", "unmatched ends", "declarations", "quotes", "script", "svg", "quoted", "wide"],
+)
+def test_hard_pages_are_read_in_seconds(page, text):
+    began = time.time()
+    found = wrapper.blocks(page)
+    tree = wrapper.folded([b.path for b in found])
+    twin = wrapper.decoded(wrapper.encoded(wrapper.folded([b.path for b in wrapper.blocks(page + "<h1>x</h1>")])))
+    assert wrapper.main_text(found, "h", frozenset(), twin) == text
+    assert wrapper.matched(tree, twin)[0] > 0 and time.time() - began < 10
+
+
+def test_outer_blocks_tell_slots_apart():
+    found = wrapper.blocks("<div>" * (wrapper.LEVELS + 5) + "<p>a</p><h2>b</h2>")
+    assert len(found) == 2 and found[0].path == found[1].path and len(found[0].path) == wrapper.LEVELS
