@@ -5,13 +5,16 @@ case, everything else one space, repeated spaces one.  Models of all languages
 share sorted hash arrays: for each order, the sorted hashes of all n-grams
 that any language has seen, and beside each hash the log probability of its
 last character in every language; likewise the back-off weights of contexts.
-A text gets the language of the lowest cross-entropy per character.  Texts
-whose best cross-entropy lies beyond what training texts show are rejected.
+A text gets the language of the lowest cross-entropy per character.  What is
+rejected is calibrated on held-out texts: models of two parts of the training
+texts each judge the third, and the limit is what a stated share of those held
+out exceeds.
 """
 
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,7 +127,8 @@ class Model:
     probs: list[Table]
     weights: list[Table]
     floor: np.ndarray
-    limit: float = np.inf
+    #: The largest cross-entropy that is not rejected, by LENGTHS
+    limit: np.ndarray | None = None
     spread: float = 1.0
 
     def surprise(self, chars: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,15 +178,61 @@ class Model:
         und = letters == 0
         score = np.where(und, 0.0, 1 / odds)
         names = [UNKNOWN if u else self.languages[k] for u, k in zip(und, best, strict=True)]
-        return names, score, np.where(und, np.nan, least), und | (least > self.limit)
+        beyond = np.zeros(len(least), bool) if self.limit is None else least > np.append(self.limit, np.inf)[np.searchsorted(LENGTHS, n, side="right") - 1]
+        return names, score, np.where(und, np.nan, least), und | beyond
 
 
-def train(texts: list[tuple[str, str]], order: int = 4, tolerance: float = 2.0) -> Model:
-    """Fit interpolated Kneser-Ney models to (language, text) rows.
+#: Characters from which a text's cross-entropy is held against the limit for texts of its length or more.
+LENGTHS = (1, 5, 10, 20, 40, 80, 160, 320)
 
-    The rejection limit is calibrated on the training texts: `tolerance` times
-    the largest cross-entropy of any of at least 20 characters.
+
+def calibrated(texts: list[tuple[str, str]], order: int, rejects: float, folds: int = 3) -> np.ndarray:
+    """For each of LENGTHS, the cross-entropy that at most a share `rejects` of held-out texts of that length exceeds.
+
+    A text belongs to the part that a hash of it names; those left out are
+    judged by models of the others, whole and by their first characters, as
+    many as LENGTHS has.  Of n texts the limit is beyond all where n * rejects
+    is below one: then the excess of the largest over the median is added once
+    more.  Without held-out texts nothing is rejected.
     """
+    part = [zlib.crc32(t.encode()) % folds for _, t in texts]
+    found: list[list[float]] = [[] for _ in LENGTHS]
+    for k in range(folds):
+        own, held = [x for x, p in zip(texts, part, strict=True) if p != k], [t for (_, t), p in zip(texts, part, strict=True) if p == k]
+        if not own or not held:
+            continue
+        model = fitted(own, order)
+        for a in range(0, len(held), 200):
+            raw = [t.encode() for t in held[a : a + 200]]
+            chars, rows = folded(b"".join(raw), np.cumsum([0] + [len(t) for t in raw]))
+            for j, length in enumerate(LENGTHS):
+                size = np.diff(rows) - 1
+                take = np.flatnonzero(size >= length)
+                if not len(take):
+                    continue
+                # The first `length` characters of each, and for the last of LENGTHS the whole.
+                stop = rows[take] + 1 + (size[take] if j == len(LENGTHS) - 1 else length)
+                at = np.concatenate([np.arange(x, y) for x, y in zip(rows[take], stop, strict=True)])
+                bits, n = model.surprise(chars[at], np.concatenate([[0], np.cumsum(stop - rows[take])]))
+                found[j] += bits.min(1).tolist()
+    limit = np.full(len(LENGTHS), np.inf)
+    for j, seen in enumerate(found):
+        if seen:
+            x = np.sort(seen)
+            gone = int(len(x) * rejects)
+            limit[j] = x[-1 - gone] if gone else 2 * x[-1] - np.median(x)
+    return limit
+
+
+def train(texts: list[tuple[str, str]], order: int = 4, rejects: float = 0.0001) -> Model:
+    """Interpolated Kneser-Ney models of (language, text) rows, with limits that reject a share of held-out texts."""
+    model = fitted(texts, order)
+    model.limit = calibrated(texts, order, rejects)
+    return model
+
+
+def fitted(texts: list[tuple[str, str]], order: int = 4) -> Model:
+    """Fit interpolated Kneser-Ney models to (language, text) rows."""
     languages = sorted({lang for lang, _ in texts})
     per: list[list[tuple]] = []
     for lang in languages:
@@ -240,16 +290,7 @@ def train(texts: list[tuple[str, str]], order: int = 4, tolerance: float = 2.0)
             weights.append(Table(contexts, back.astype(np.float32)))
         else:
             floor = (back[0] - np.log(letters)).astype(np.float32)
-    model = Model(languages, order, probs, weights, floor)
-    bits = []
-    for a in range(0, len(texts), 500):
-        own = [t.encode() for _, t in texts[a : a + 500]]
-        chars, rows = folded(b"".join(own), np.cumsum([0] + [len(t) for t in own]))
-        b, n = model.surprise(chars, rows)
-        bits.append(b.min(1)[n >= 20])
-    seen = np.concatenate(bits) if bits else np.zeros(0)
-    model.limit = float(seen.max() * tolerance) if len(seen) else np.inf
-    return model
+    return Model(languages, order, probs, weights, floor)
 
 
 def sample(docs: DataFrame, most: int, most_bytes: int, most_all: int, languages: int) -> list[tuple[str, str]]:

@@ -249,26 +249,66 @@ def test_all_languages_are_sampled(spark):
     assert len(wide) == 500
 
 
-def test_models_are_distributions():
-    """Probabilities of all next characters add up to one after any context."""
-    model = langid.train([("x", "abracadabra abba cab " * 3), ("y", "the quick brown fox the lazy dog")], order=3)
-    letters = sorted({c for c in "abrcd thequickbrownfxlazydg "})
-    for context in ("", "a", "ab", "th", "zz"):
-        total = np.zeros(2)
-        for c in letters:
-            data = (context + c).encode()
-            chars, rows = langid.folded(data, np.array([0, len(data)]))
-            if len(chars) < 2:
-                continue
-            one, _ = model.surprise(chars, rows)
-            base = np.zeros((1, 2))
-            if context:
-                data = context.encode()
-                chars, rows = langid.folded(data, np.array([0, len(data)]))
-                base, n = model.surprise(chars, rows)
-                base = base * n[0]
-            total += np.exp(-(one * (len(context) + 1) - base))[0]
-        assert (total < 1.05).all()
+def plain_kneser_ney(texts, order, letters):
+    """log P of the last character of a string after the others, by dictionaries of one language's texts."""
+    count = [{} for _ in range(order + 1)]
+    for t in texts:
+        for end in range(1, len(t)):
+            for n in range(1, order + 1):
+                if end - n + 1 >= 0:
+                    gram = t[end - n + 1 : end + 1]
+                    count[n][gram] = count[n].get(gram, 0) + 1
+    for n in range(1, order):  # different left extensions, one for what only begins a text
+        count[n] = {g: max(1, sum(h[1:] == g for h in count[n + 1])) for g in count[n]}
+    discount = []
+    for n in range(1, order + 1):
+        ones, twos = (sum(c == k for c in count[n].values()) for k in (1, 2))
+        discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(gram):
+        n = len(gram)
+        lower = p(gram[1:]) if n > 1 else 1 / letters
+        after = {g: c for g, c in count[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return lower
+        d, total = discount[n - 1], sum(after.values())
+        return max(after.get(gram, 0) - d, 0) / total + d * len(after) / total * lower
+
+    return lambda text: sum(np.log(p(text[max(0, k - order + 1) : k + 1])) for k in range(1, len(text)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_models_against_plain_dictionaries(order):
+    """Cross-entropies are those of interpolated Kneser-Ney, and probabilities of all next characters add up to one."""
+    made = {"x": ["abracadabra abba cab", "a cab abba"], "y": ["the quick brown fox", "the lazy dog the fox", "q"]}
+    model = langid.train([(x, t) for x, own in made.items() for t in own], order=order)
+    seen = sorted({c for own in made.values() for t in own for c in " " + t})
+    plain = [plain_kneser_ney([" " + t for t in made[x]], order, len(seen) + 1) for x in model.languages]
+
+    def total(text):  # log P of a text, which begins with a space, in each language
+        data = text[1:].encode()
+        chars, rows = langid.folded(data, np.array([0, len(data)]))
+        bits, n = model.surprise(chars, rows)
+        return -bits[0] * n[0]
+
+    for text in ("abba", "the cab", "quux dog", "ζ a", "zzz", "b"):
+        assert np.allclose(total(" " + text), [p(" " + text) for p in plain], atol=1e-5)
+    for context in ("a", "ab", "th", "zz", "the q", "ζ"):
+        after = np.array([total(" " + context + c) - total(" " + context) for c in [*seen[1:], "ω"]])
+        space = np.array([p(" " + context + " ") - p(" " + context) for p in plain])
+        assert np.allclose(np.exp(after).sum(0) + np.exp(space), 1, atol=1e-4)
+
+
+def test_rejection_is_calibrated_on_held_out_texts():
+    """Of texts like the training texts about the stated share is rejected, and other languages are."""
+    rng = random.Random(6)
+    sampled = lambda seed, n: " ".join("".join(random.Random(f"{seed}{rng.randrange(300)}").choices("abcdefghijklm" if seed == "x" else "hijklmnopqrst", k=5)) for _ in range(n))
+    model = langid.train([(x, sampled(x, rng.randrange(2, 80))) for x in "xy" for _ in range(400)], rejects=0.02)
+    rejected = lambda texts: model.predict("".join(texts).encode(), np.cumsum([0] + [len(t.encode()) for t in texts]))[3].mean()
+    for n in (2, 5, 20, 70):
+        assert rejected([sampled("x" if k % 2 else "y", n) for k in range(1000)]) < 0.06
+    assert rejected(["".join(rng.choices("nopqrstuvwxyz абвг", k=100)) for _ in range(200)]) > 0.95
+    assert langid.train([("x", "alone")]).limit.tolist() == [np.inf] * len(langid.LENGTHS)
 
 
 TEXTS = ["", None, "a", "Hello, world. It's", "...,. a. b.. c.,d.", "É. é日本語。 ok", "x<|endoftext|>y", "123a4,5.", "w " * 3000, "İstanbul ΑΣ. ΑΣ", "\x1c\x85 q", "same", "same"]
