@@ -89,6 +89,42 @@ def scratch(spark: SparkSession):
             remove(spark, path)
 
 
+def shards_for(df: DataFrame, each: int = 256 << 20) -> int:
+    """Shards to write a table in: as many as shuffles have, more where its files hold more than `each` bytes a shard."""
+    spark = df.sparkSession
+    hadoop, size = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for file in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(hadoop).getFileStatus(path).getLen()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+#: Stretches of ids of which rows are counted before a table is dealt to shards.
+STRETCHES = 1 << 16
+
+
+def ranged(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """The table with rows of ascending keys in partitions 0 to shards - 1, each dealt by counts of all keys.
+
+    The bounds follow from the keys alone, so that every run cuts alike.  Keys
+    are counted by stretches of equal width, of which at most 65,538 arrive at
+    the driver; a stretch is not cut, nor are rows with one key.  Null keys
+    are in the first partition.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return df.repartitionById(shards, F.lit(0))
+    stretch = F.floor(F.col(key) / F.lit(float(max(1, (high - low) // STRETCHES)))).alias("_stretch")
+    counts = sorted(map(tuple, df.where(F.col(key).isNotNull()).groupBy(stretch).agg(F.count("*")).collect()))
+    total, before, to = sum(n for _, n in counts), 0, []
+    for k, n in counts:
+        to.append((k, before * shards // total))
+        before += n
+    places = df.sparkSession.createDataFrame(to, "_stretch long, _shard int")
+    dealt = df.select("*", stretch).join(F.broadcast(places), "_stretch", "left").withColumn("_shard", F.coalesce("_shard", F.lit(0)))
+    return dealt.repartitionById(shards, "_shard").drop("_stretch", "_shard")
+
+
 def whole_row(df: DataFrame, text: str) -> Column:
     """All columns of df but the text as one struct, to go along through a pass in Python."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("whole")

@@ -6,12 +6,13 @@ offsets, so that any span of ids is read by unpacking its blocks only.
 Shards hold ascending ranges of document ids; a manifest, written last, lists
 them and gives each its place in the whole sequence of ids.
 
-Shard layout, little-endian::
+Shard layout, little-endian; a file is written in one go, so its figures end it::
 
-    magic "TKPK" | u32 bits | u32 ids in a block | u64 ids | u64 documents
     blocks: block i begins at its offset; ids are packed from the low bit up
-    documents: i64 doc_id, u64 first id within the shard (one more as end)
-    block offsets: u64 each (one more as end)
+    documents: i64 doc_id, u64 first id within the shard
+    null ids: a bit for each document, from the low bit up
+    block offsets: u64 each, and the end of the last block
+    head: magic "TKPK", u32 bits, u32 ids in a block, u64 ids, u64 documents
     footer: u64 place of documents, u64 place of block offsets
 """
 
@@ -31,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.columns import name_hashes
-from .common import LOWER, SPACE, new_path
+from .common import LOWER, SPACE, new_path, pieces, ranged, shards_for
 
 MAGIC = b"TKPK"
 HEAD = struct.Struct("<4sIIQQ")
@@ -73,8 +74,7 @@ class ShardWriter:
         self.out, self.bits, self.block = self.fs.open_output_stream(self.temporary), bits, block
         self.rest, self.held = [], 0
         self.docs: list[int | None] = []
-        self.firsts, self.offsets, self.n, self.at = [0], [HEAD.size], 0, HEAD.size
-        self.out.write(b"\0" * HEAD.size)
+        self.firsts, self.offsets, self.n, self.at = [0], [0], 0, 0
 
     def add(self, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> None:
         self.docs += doc_ids
@@ -96,15 +96,15 @@ class ShardWriter:
         self.rest, self.held = [ids[whole:]], len(ids) - whole
 
     def close(self) -> dict:
-        """The head's figures are also in the footer's reach, so files need no seek back."""
         self.flush(True)
         docs = np.empty((len(self.docs), 2), "<i8")
-        docs[:, 0] = [-(1 << 63) if d is None else d for d in self.docs]
+        docs[:, 0] = [0 if d is None else d for d in self.docs]
         docs[:, 1] = self.firsts[:-1]
-        self.out.write(docs.tobytes())
+        nulls = np.packbits(np.array([d is None for d in self.docs], bool), bitorder="little")
+        self.out.write(docs.tobytes() + nulls.tobytes())
         self.out.write(np.array(self.offsets, "<u8").tobytes())
         self.out.write(HEAD.pack(MAGIC, self.bits, self.block, self.n, len(self.docs)))
-        self.out.write(FOOT.pack(self.at, self.at + docs.nbytes))
+        self.out.write(FOOT.pack(self.at, self.at + docs.nbytes + nulls.nbytes))
         self.out.close()
         self.fs.move(self.temporary, self.path)
         return {"path": self.path, "docs": len(self.docs), "ids": self.n}
@@ -122,7 +122,10 @@ class ShardReader:
         if magic != MAGIC:
             raise ValueError(f"{uri} is no shard")
         at, blocks = FOOT.unpack_from(tail, HEAD.size)
-        docs = np.frombuffer(self.file.read_at(blocks - at, at), "<i8").reshape(n_docs, 2)
+        listed = self.file.read_at(blocks - at, at)
+        docs = np.frombuffer(listed, "<i8", 2 * n_docs).reshape(n_docs, 2)
+        #: Which ids are null; theirs reads as 0
+        self.null = np.unpackbits(np.frombuffer(listed, np.uint8, offset=docs.nbytes), count=n_docs, bitorder="little").astype(bool)
         self.doc_ids, self.firsts = docs[:, 0], np.append(docs[:, 1], self.n)
         self.offsets = np.frombuffer(self.file.read_at(size - HEAD.size - FOOT.size - blocks, blocks), "<u8").astype(np.int64)
 
@@ -307,18 +310,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
     """Encode and write all documents, ids ascending; return the manifest.
 
     Null and empty texts give the end id alone; rows with equal ids follow in
-    the order of their texts and null ids come first (as -2**63 in the file);
-    an empty table gives a manifest without shards.  Other columns are not
-    read.  A lost task is done again: it writes under a new temporary name and
-    renames over the same shard name with the same bytes.
+    the order of their texts and null ids come first; an empty table gives a
+    manifest without shards.  Other columns are not read.  Shards are cut by
+    counts of all ids, alike in every run; rows with one id are in one.  A
+    lost task is done again: it writes under a new temporary name and renames
+    over the same shard name with the same bytes.  Texts of any length are
+    encoded whole, one batch of about 2 MB or one text at a time.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     vocabulary = vocabulary or Tokenizer.from_file(tokenizer).get_vocab_size()
     bits, encoder = bits_for(max(vocabulary, end_id + 1)), Encoder(tokenizer)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    ordered = ranged(rows, "doc_id", shards or shards_for(docs)).sortWithinPartitions("doc_id", "text")
     make_folder(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +334,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a, b, _, _ in pieces(batch, 1, 1 << 21):
+                part = batch.slice(a, b - a)
                 writer = writer or ShardWriter(f"{path}/shard-{shard:06d}.tkpk", bits, block)
                 writer.add(part.column(0).to_pylist(), *encoder.encode(part.column(1).to_pylist(), end_id))
         if writer:
@@ -367,14 +372,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for uri, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = ShardReader(uri)
-                step = 5000
-                for a in range(0, len(shard.doc_ids), step):
-                    keys = shard.doc_ids[a : a + step]
-                    firsts = shard.firsts[a : a + step + 1]
+                a = 0
+                while a < len(shard.doc_ids):  # documents of some 500,000 ids, or one
+                    b = max(a + 1, min(a + 5000, int(np.searchsorted(shard.firsts, shard.firsts[a] + 500_000, side="right")) - 1))
+                    keys, null, firsts = shard.doc_ids[a:b], shard.null[a:b], shard.firsts[a : b + 1]
+                    a = b
                     ids = memoryview(shard.ids(int(firsts[0]), int(firsts[-1])).astype("<u4").tobytes())
                     at = ((firsts - firsts[0]) * 4).tolist()
                     crc = [zlib.crc32(ids[x:y]) for x, y in zip(at, at[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=keys == -(1 << 63)), pa.array(firsts[:-1] + start), pa.array(np.diff(firsts)), pa.array(crc, pa.int64())], names=READ.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=null), pa.array(firsts[:-1] + start), pa.array(np.diff(firsts)), pa.array(crc, pa.int64())], names=READ.names)
                 shard.close()
 
     return listed.mapInArrow(read, READ)
