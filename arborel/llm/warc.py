@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import new_path, written
+from .common import new_path, pieces, ranged, shards_for, written
 from .tokenbin import make_folder, store
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,10 +102,10 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     payload; null ids come first and revisit like smaller ids, but are
     responses where no equal payload has an id.  Rows with one id and payload
     each give a record, all of the same type.  An empty table gives a manifest
-    without files.  Other columns are not read.
+    without files.  Other columns are not read.  Shards are cut by counts of
+    all ids, so that the same pages give the same files in every run.
     """
     spark = pages.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body")).withColumns({"digest": F.sha1("body"), "size": F.octet_length("body").cast("long")})
     newest = written(rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "newest"), "newest")
@@ -113,7 +113,7 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     marked = rows.join(F.broadcast(newest) if small else newest, "digest", "left")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     marked = marked.select("page_id", "url", "size", "digest", F.when(revisit, F.col("newest")).alias("newest"), F.when(~revisit, F.col("body")).alias("body"))
-    ordered = marked.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "digest", "url")
+    ordered = ranged(marked, "page_id", shards or shards_for(pages)).sortWithinPartitions("page_id", "digest", "url")
     make_folder(path)
     files = pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
@@ -122,8 +122,8 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
 
         roller = Roller(path, TaskContext.get().partitionId(), roll, date)
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                for r in zip(*(c.to_pylist() for c in batch.slice(a, 200).columns), strict=True):
+            for a, b, _, _ in pieces(batch, 5):
+                for r in zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True):
                     roller.add(r[0], record(*r, date))
         roller.close()
         if roller.files:
