@@ -151,19 +151,23 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in pieces(batch, 1):
             s = statistics(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, s.shape[1], dtype=np.int32)), pa.array(s.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["label", "statistics"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists], names=["label", "rank", "statistics"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = 20_000, **options) -> Forest | None:
-    """A forest from at most `most` labelled rows, those of the least hashes of the id.
+    """A forest from at most `most` labelled texts, those of the least hashes of the id.
 
     Null labels and ids teach nothing; several labels of one document all
-    count.  Without labelled rows the result is None.
+    count, and so do several texts with one id, up to `most` in all: of the
+    pairs of a label and a text those of the least hashes.  Without labelled
+    rows the result is None.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("key", F.lit(11)), "key", "label").limit(most)
     texts = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     # At most `most` pairs of integers are broadcast.
-    rows = texts.join(F.broadcast(chosen), "key").select("label", "text").mapInArrow(_statistics, "label int, statistics array<float>").toPandas()
+    pairs = texts.join(F.broadcast(chosen), "key").select("label", "text", F.xxhash64("key", "text", F.lit(11)).alias("rank"))
+    # Ids that repeat give more pairs than labels, so the bound holds once more for what is collected.
+    rows = pairs.mapInArrow(_statistics, "label int, rank long, statistics array<float>").orderBy("rank", "label").limit(most).toPandas()
     if not len(rows):
         return None
     x, y = np.stack(rows["statistics"].to_numpy()).astype(np.float32), (rows["label"].to_numpy() == 1).astype(float)
