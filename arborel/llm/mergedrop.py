@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, span_hashes
+from .common import mix64, pieces, span_hashes
 from .langid import Table
 
 MARK = "▁"
@@ -357,8 +357,8 @@ def encode(docs: DataFrame, coder: MergeDropout, *, doc_id: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, b, _, _ in pieces(batch, 1):
+                part = batch.slice(a, b - a)
                 ids = coder.encode(part.column(1).to_pylist())
                 offsets = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
@@ -391,8 +391,8 @@ def round_trip(docs: DataFrame, coder: MergeDropout, *, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, b, _, _ in pieces(batch, 1):
+                part = batch.slice(a, b - a)
                 texts = part.column(1).to_pylist()
                 out: list[list] = [[], [], [], []]
                 for t, ids in zip(texts, coder.encode(texts), strict=True):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborel.llm import components, decontam, langid, mediats, mergedrop, neardup, quality, queries, substring, tokenbin
+from arborel.llm import common, components, decontam, langid, mediats, mergedrop, neardup, quality, queries, substring, tokenbin
 
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "doc_id long, text string, lang string, source string, row long, node long, spans string"
@@ -330,6 +330,28 @@ def test_token_files(spark):
             assert tuple(r) == (i, at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
     assert tokenbin.token_file(docs.where("false"), path).count() == 0
+    # The least id there is is no null; null ids come first, wherever the table is cut.
+    odd = spark.createDataFrame([(-(1 << 63), "a b"), (None, "c"), ((1 << 63) - 1, "d"), (None, None)], "doc_id long, text string").repartition(3)
+    got = sorted(tokenbin.token_file(odd, path, shards=2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), (1 << 63) - 1]
+
+
+def test_ranges_follow_from_the_keys(spark):
+    rng = random.Random(4)
+    keys = [rng.choice([rng.randrange(100), rng.randrange(10**12)]) for _ in range(3000)] + [None] * 5
+    made = []
+    for parts in (1, 7):
+        frame = spark.createDataFrame([(k,) for k in keys], "k long").repartition(parts)
+        made.append([sorted((-1 if r.k is None else r.k) for r in part) for part in common.ranged(frame, "k", 6).rdd.glom().collect()])
+    assert made[0] == made[1] and sum(made[0], []) == sorted(-1 if k is None else k for k in keys) and len(made[0]) == 6
+
+
+def test_long_and_short_texts_in_token_files(spark):
+    """Batches are cut by bytes, so a text of any length is encoded whole."""
+    path = queries.vocabulary_file("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b"] * 50 + ["word " * 600_000, "x" * 50_000, ""])], "doc_id long, text string").coalesce(1)
+    got = sorted(tokenbin.token_file(docs, path).collect())
+    assert [r.n_tokens for r in got[:50]] == [3] * 50 and got[50].n_tokens == 600_001 and got[52].n_tokens == 1
 
 
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 20, 32])
@@ -346,7 +368,7 @@ def test_random_access(tmp_path):
     reader = tokenbin.ShardReader(f"file://{tmp_path}/s.tkpk")
     for a, b in ((0, 1000), (63, 65), (64, 64), (999, 1000), (100, 700)):
         assert (reader.ids(a, b) == ids[a:b]).all()
-    assert reader.doc_ids.tolist() == [1, -(1 << 63)] and [p.name for p in tmp_path.iterdir()] == ["s.tkpk"]
+    assert reader.doc_ids.tolist() == [1, 0] and reader.null.tolist() == [False, True] and [p.name for p in tmp_path.iterdir()] == ["s.tkpk"]
 
 
 def test_media(spark):
@@ -429,6 +451,17 @@ def test_quality(spark):
     assert quality.score(docs, quality.fit(docs, labels.where("false"))).where("score = 0.5").count() == 302
 
 
+def test_repeated_ids_keep_the_bound_of_the_fit(spark, monkeypatch):
+    """One label on an id of many rows teaches no more rows than the bound."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "JUNK!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "boost", lambda x, y, **_: seen.append(len(y)))
+    quality.fit(docs, labels, most=500)
+    quality.fit(docs, labels)
+    assert seen == [500, 3001]
+
+
 def test_statistics_are_per_text():
     texts = [b"", b"One two.", "É é é".encode(), b"a\n\nb\nb\n", b"x " * 2000]
     alone = np.vstack([quality.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts])
