@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import EncodingFault, recovered
 from ..functions.convert import converted, trimmed
-from ..plans.mapping import Mapping
+from ..functions.quick import quick
+from ..plans.mapping import TYPES, Field, Mapping
 from ..plans.program import Program, compile_mapping
 from ..shipping import ensure
 from .columns import Columns
@@ -24,14 +25,24 @@ BATCH = 8192
 PIECE = 1 << 20
 
 
-def _texts(raw: pa.Array, utf8: bool, name: str) -> pa.Array:
-    """A binary column as text; bytes that are no UTF-8 are a fault in a text column only."""
+def _texts(raw: pa.Array, field: Field) -> tuple[pa.Array, bool]:
+    """A binary column as text, and whether it is exactly that; bytes that are no UTF-8 are a fault in a text column only."""
     try:
-        return raw.cast(pa.string())
+        return raw.cast(pa.string()), True
     except pa.ArrowInvalid:
-        if utf8:
-            raise EncodingFault(f"Field {name!r} holds bytes that are no UTF-8", field=name) from None
-        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
+        if field.data_type == "Utf8":
+            raise EncodingFault(f"Field {field.name!r} holds bytes that are no UTF-8", field=field.name) from None
+        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string()), False
+
+
+def _values(raw: pa.Array, field: Field) -> list[pa.Array]:
+    """The columns of a field: of a text itself; else typed values, and the texts without one."""
+    texts, exact = _texts(raw, field)
+    if field.data_type == "Utf8":
+        return [texts]
+    if exact:
+        return list(quick(field, texts))
+    return [pa.nulls(len(texts), quick(field, texts.slice(0, 0))[0].type), texts]
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -54,9 +65,10 @@ class Shredder:
 
     Documents are rows with a string or binary column; other columns chosen as
     keys go along with every row.  Parsing is one narrow pass in Python on the
-    executors, plain documents many at a time and others by the fold; all
-    conversions are Catalyst expressions over the raw text, so what is not
-    selected is not converted.
+    executors, plain documents many at a time and others by the fold.  Usual
+    spellings are converted there, a column at a time; all other texts are
+    converted, or raise, by Catalyst expressions over the raw text, so what is
+    not selected is no error.
     """
 
     def __init__(self, mapping: Mapping | str):
@@ -78,22 +90,26 @@ class Shredder:
         return docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{content}`").cast("binary").alias("_content"))
 
     def raw(self, docs: DataFrame, name: str, *, content: str = "content", keys: list[str] | None = None) -> DataFrame:
-        """Rows of one table before conversion: keys, _pos, _l0.., _f0.. (text or null)."""
+        """Rows of one table before conversion: keys, _pos, _l0.., _f0.. (text or null).
+
+        Fields other than text have two columns: _v0.. with the value of a
+        usual spelling, and _f0.. with the raw text of any other.
+        """
         keys = list(keys or [])
         source = self._source(docs, content, keys)
         program = self.program
         plan = next(p for p in program.plans if p.table.name == name)
         fields = plan.table.fields
-        schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType(), False), *[T.StructField(f"_l{i}", T.LongType(), False) for i in range(plan.levels)], *[T.StructField(f"_f{i}", T.StringType()) for i in range(len(fields))]])
+        schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType(), False), *[T.StructField(f"_l{i}", T.LongType(), False) for i in range(plan.levels)], *[x for i, f in enumerate(fields) for x in ([T.StructField(f"_v{i}", TYPES[f.data_type])] if f.data_type != "Utf8" else []) + [T.StructField(f"_f{i}", T.StringType())]]])
         columns = [f.name for f in schema.fields]
 
-        quick = Columns(program, [plan])
+        at_once = Columns(program, [plan])
 
         def made(batch, whose, pos, levels, cells) -> pa.RecordBatch:
             take = pa.array(whose, pa.int32())
             arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(pos, pa.int64())]
             arrays += [pa.array(c, pa.int64()) for c in levels]
-            arrays += [_texts(c, f.data_type == "Utf8", f.name) for c, f in zip(cells, fields, strict=True)]
+            arrays += [x for c, f in zip(cells, fields, strict=True) for x in _values(c, f)]
             return pa.RecordBatch.from_arrays(arrays, names=columns)
 
         def folded(batch, i: int, data: bytes) -> Iterator[pa.RecordBatch]:
@@ -108,7 +124,7 @@ class Shredder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, data, offsets in _pieces(batch.column(batch.num_columns - 1)):
-                    found, left = quick.run(data, offsets)
+                    found, left = at_once.run(data, offsets)
                     for rows in found.values():
                         yield made(batch, rows.doc + first, rows.position, rows.levels, rows.cells)
                     for i in np.flatnonzero(left).tolist():
@@ -123,7 +139,11 @@ class Shredder:
         levels = [F.col(f"_l{i}").alias(f"<{plan.table.levels[i]}>") for i in range(plan.levels)]
         # Levels that no row can have stay empty columns: any row is an error before this.
         levels += [F.lit(0).cast("long").alias(f"<{x}>") for x in plan.table.levels[plan.levels :]]
-        fields = [converted(f, F.col(f"_f{i}"), keys, F.col(f"_t{i}")).alias(f.name) for i, f in enumerate(plan.table.fields)]
+        done = set(raw.columns)
+        fields = []
+        for i, f in enumerate(plan.table.fields):
+            value = converted(f, F.col(f"_f{i}"), keys, F.col(f"_t{i}"))
+            fields.append((F.coalesce(F.col(f"_v{i}"), value) if f"_v{i}" in done else value).alias(f.name))
         raw = raw.select("*", *[trimmed(F.col(f"_f{i}")).alias(f"_t{i}") for i, f in enumerate(plan.table.fields) if f.data_type != "Utf8"])
         return raw.select(*[F.col(f"`{k}`") for k in keys], *([F.col("_pos")] if position else []), *levels, *fields)
 
@@ -151,7 +171,7 @@ class Shredder:
         plans = [p for p in program.plans if p.end > p.first]
         schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string("_pos long, _levels array<long>, _cells array<string>, _table int").fields])
         names = [f.name for f in schema.fields]
-        quick = Columns(program, plans)
+        at_once = Columns(program, plans)
 
         def listed(columns: list[pa.Array], kind: pa.DataType, n: int) -> pa.Array:
             k = len(columns)
@@ -162,13 +182,13 @@ class Shredder:
             n, take, plan = len(pos), pa.array(whose, pa.int32()), program.plans[table]
             arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(pos, pa.int64())]
             arrays.append(listed([pa.array(c, pa.int64()) for c in levels], pa.int64(), n))
-            arrays.append(listed([_texts(c, f.data_type == "Utf8", f.name) for c, f in zip(cells, plan.table.fields, strict=True)], pa.string(), n))
+            arrays.append(listed([_texts(c, f)[0] for c, f in zip(cells, plan.table.fields, strict=True)], pa.string(), n))
             return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, table), pa.int32())], names=names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, data, offsets in _pieces(batch.column(batch.num_columns - 1)):
-                    found, left = quick.run(data, offsets)
+                    found, left = at_once.run(data, offsets)
                     for table, rows in found.items():
                         yield made(batch, table, rows.doc + first, rows.position, rows.levels, rows.cells)
                     for i in np.flatnonzero(left).tolist():

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
@@ -10,6 +11,7 @@ from arborel import Field, Mapping, Shredder, Table, relinked, shred_files, shre
 from arborel.errors import EncodingFault, MissingValue, ShredError, ValueFault, recovered
 from arborel.functions.convert import converted
 from arborel.functions.plain import convert
+from arborel.functions.quick import quick
 from arborel.plans.mapping import TYPES
 
 from .shredding import number, shred, text
@@ -67,6 +69,21 @@ def test_conversions_agree(spark, kind, nullable):
         assert type(found) is error and found.field == "v"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([k for k in TYPES if k != "Utf8"]), st.lists(st.one_of(st.sampled_from(RAW), st.integers(-300, 70_000).map(str), st.floats().map(str), st.text(" +-.0123456789eExXinfa(", max_size=6)), max_size=8))
+def test_usual_spellings_agree(kind, texts):
+    """What is converted a column at a time has the value that the plain conversion gives; all else is left as it is."""
+    field = Field("v", "/v", kind, True, 0.5 if kind.startswith("Float") else None, 1.0 if kind.startswith("Float") else None)
+    values, rest = (x.to_pylist() for x in quick(field, pa.array(texts, pa.string())))
+    for raw, value, left in zip(texts, values, rest, strict=True):
+        if value is None:
+            assert left == raw
+        else:
+            assert left is None and str(convert(field, raw)) == str(value)
+    plain = [t for t in texts if t is not None and t.isascii() and t.isdigit() and len(t) < 3]
+    assert quick(field, pa.array(plain, pa.string()))[0].null_count == 0 or kind == "Boolean"
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.sampled_from("abx"), st.text("ab& <\n", max_size=4)), max_size=5), max_size=4))
 def test_random_documents_against_a_tree(spark, groups):
