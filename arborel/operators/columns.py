@@ -9,13 +9,16 @@ closed rows before a place give rows and levels:
 * a value at place p goes to the row number (closes of its table before p);
 * a level is (closes of that table before p) - (those before its last opening).
 
-A document with anything else (comments, CDATA, single quotes, repeated
-values, faults of any kind) is left to the fold, which has the last word.
+A document with comments, CDATA, instructions or single quotes is rewritten to
+plain form first, where that is sure to mean the same.  A document with
+anything else (repeated values, mixed content, faults of any kind) is left to
+the fold, which has the last word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 
 from ..errors import ShredError
 from ..plans.program import Node, Plan, Program
-from .fold import _ENTITIES, _REFERENCE, _attribute_value, _character
+from .fold import _BLANK, _ENTITIES, _REFERENCE, _attribute_value, _character
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -33,6 +36,12 @@ _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 #: Names up to this length are hashed by words of eight bytes, longer ones one by one.
 _NAME = 32
+_SOLID = np.ones(256, bool)
+_SOLID[list(_BLANK)] = False
+#: What plain documents do not have: comments, CDATA, instructions, short document types.
+_SPECIAL = re.compile(rb"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<\?.*?\?>|<!DOCTYPE[^<>\[]*>", re.S)
+#: A tag with single quotes.
+_SINGLE = re.compile(rb"""<[^<>!?/'"][^<>'"]*'[^<>"]*>""")
 #: A longer document goes to the fold, which needs less memory.
 LONGEST = 16 << 20
 
@@ -93,14 +102,14 @@ class Shape:
     table: np.ndarray
     attributed: np.ndarray
     slotted: np.ndarray
+    stops: np.ndarray
     guarded: list[tuple[int, int]]  # node, its table
     places: dict[int, list[tuple[int, bool]]]  # cell -> nodes (number, is an attribute)
 
 
 def shape_of(program: Program) -> Shape | None:
     """None for mappings that only the fold can run."""
-    o = program.mapping.parser_options
-    if o.trim_text or o.stop_at_paths or program.root.slots or any(len(p.table.levels) > len(p.chain) for p in program.plans):
+    if program.root.slots or any(len(p.table.levels) > len(p.chain) for p in program.plans):
         return None
     nodes: list[Node] = [program.root]
     elements, attributes, is_attribute = [], [], {0: False}
@@ -124,24 +133,24 @@ def shape_of(program: Program) -> Shape | None:
         np.array([n.table for n in nodes] + [-1]),
         np.array([bool(n.attributes) and program.attributes for n in nodes] + [False]),
         np.array([bool(n.slots) for n in nodes] + [False]),
+        np.array([n.stop for n in nodes] + [False]),
         [(i, owner[n.guard[0]]) for i, n in enumerate(nodes) if n.guard],
         places,
     )
 
 
-def _resolved(raw: bytes) -> bytes | None:
-    """Text with its references resolved, or None where the fold must decide."""
-
-    def one(m) -> bytes:
-        if m[1][:1] == b"#":
-            return _character(m[1])
-        return _ENTITIES[m[1]]
-
+def _resolved(raw: bytes, trim: bool) -> bytes | None:
+    """Text with its references resolved, or None where the fold must decide; with trim, texts between them are trimmed."""
+    parts = _REFERENCE.split(raw)
     try:
-        out = _REFERENCE.sub(one, raw)
+        parts[1::2] = [_character(name) if name[:1] == b"#" else _ENTITIES[name] for name in parts[1::2]]
     except (KeyError, ShredError):
         return None
-    return None if b"&" in _REFERENCE.sub(b"", raw) else out
+    if any(b"&" in p for p in parts[::2]):
+        return None
+    if trim:
+        parts[::2] = [p.strip(_BLANK) for p in parts[::2]]
+    return b"".join(parts)
 
 
 def _normalised(raw: bytes) -> bytes | None:
@@ -152,6 +161,36 @@ def _normalised(raw: bytes) -> bytes | None:
         return None
 
 
+def simplified(document: bytes, trim: bool) -> bytes | None:
+    """The document in plain form; None where it is plain, or where only the fold can tell what it means.
+
+    Comments, instructions and short document types go, CDATA becomes text
+    with references, and single quotes around attributes become double ones.
+    With trim, texts on both sides of a comment are trimmed apart, so that
+    such documents are the fold's.
+    """
+    out = document
+    if b"<!" in out or b"<?" in out:
+        if trim and (b"<!--" in out or b"<![CDATA[" in out or out.count(b"<?") > 1):
+            return None
+        parts, at = [], 0
+        for m in _SPECIAL.finditer(out):
+            head = out[at : m.start()]
+            # It must stand between whole tags, and not within a reference.
+            last = head.rfind(b"<")
+            tag, closed, _ = head[last + 1 :].partition(b">") if last >= 0 else (b"", b">", b"")
+            if not closed or tag.count(b'"') & 1 or tag.count(b"'") & 1 or head.rfind(b"&") > head.rfind(b";") or m[1] == b"":
+                return None
+            parts.append(head)
+            if m[1] is not None:
+                parts.append(m[1].replace(b"&", b"&amp;").replace(b"<", b"&lt;").replace(b">", b"&gt;"))
+            at = m.end()
+        out = b"".join(parts) + out[at:]
+    if b"'" in out:
+        out = _SINGLE.sub(lambda m: m[0].replace(b"'", b'"'), out)
+    return None if out is document or out == document else out
+
+
 class Rows:
     """Rows of one table: row i belongs to document doc[i]."""
 
@@ -165,7 +204,7 @@ class Columns:
     def __init__(self, program: Program, plans: list[Plan]):
         self.program, self.plans, self.shape = program, plans, shape_of(program)
         o = program.mapping.parser_options
-        self.strip, self.twice = o.strip_namespaces, o.validate_attributes
+        self.strip, self.twice, self.trim = o.strip_namespaces, o.validate_attributes, o.trim_text
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[dict[int, Rows], np.ndarray]:
         """Rows by table of the documents that could be done here, and which could not (mask)."""
@@ -263,6 +302,14 @@ class Columns:
             if not (node[above] >= 0).any():
                 break
         node, parent = node[start_of], parent[start_of]
+        halts = np.flatnonzero(shape.stops[node] & ~opens) if shape.stops.any() else ()
+        if len(halts):  # nothing after the first end of a stop path is known
+            whose, at = np.unique(doc[halts], return_index=True)
+            halt = np.full(n_docs, n)
+            halt[whose] = halts[at]
+            parent[halts[at]] = -1
+            late = np.arange(n) > halt[doc]
+            node[late] = parent[late] = -1
 
         # Places in order: at each token it opens, has attributes, closes a row; then comes text.
         keys = np.arange(n) * 4
@@ -312,8 +359,14 @@ class Columns:
             loose = (tag < 0) | (amp >= b[tag]) | ~shape.slotted[owner[tag]]
             bad[doc_of(amp[loose])] = True
         filled = np.flatnonzero((a < b) & shape.slotted[owner])
+        if self.trim and len(filled):
+            solid = np.append(np.flatnonzero(_SOLID[data[:size]]), size)
+            at, until_ = np.searchsorted(solid, a[filled]), np.searchsorted(solid, b[filled])
+            filled, at, until_ = (x[until_ > at] for x in (filled, at, until_))
+            a, b = a.copy(), b.copy()
+            a[filled], b[filled] = solid[at], solid[until_ - 1] + 1
         refs = np.searchsorted(amp, b[filled]) - np.searchsorted(amp, a[filled]) if len(amp) else np.zeros(len(filled), int)
-        fa, fb = replaced(a[filled], b[filled], np.flatnonzero((refs > 0) & ~bad[doc[filled]]), _resolved)
+        fa, fb = replaced(a[filled], b[filled], np.flatnonzero((refs > 0) & ~bad[doc[filled]]), lambda raw: _resolved(raw, self.trim))
         mine = {c: p for p in self.plans for c in range(p.first, p.end)}
         for cell in mine:
             for at, is_attribute in shape.places.get(cell, ()):

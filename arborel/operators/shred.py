@@ -7,14 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import EncodingFault, recovered
 from ..functions.convert import converted, trimmed
 from ..functions.quick import quick
 from ..plans.mapping import TYPES, Field, Mapping
-from ..plans.program import Program, compile_mapping
+from ..plans.program import Plan, Program, compile_mapping
 from ..shipping import ensure
-from .columns import Columns
+from .columns import Columns, simplified
 from .fold import Fold
 
 #: Rows that one batch to the JVM holds.
@@ -60,6 +61,46 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = end
 
 
+#: Rows of a table: its number, their documents' numbers, positions, levels and raw cells.
+Found = tuple[int, np.ndarray, np.ndarray, list[np.ndarray], list[pa.Array]]
+
+
+class Reader:
+    """Rows of the tables of some plans, from runs of documents."""
+
+    def __init__(self, program: Program, plans: list[Plan]):
+        self.program, self.wanted = program, {p.index for p in plans}
+        self.at_once = Columns(program, plans)
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Found]:
+        """Plain documents at once, then those that could be made plain, and one by one the fold's."""
+        found, left = self.at_once.run(data, offsets)
+        for table, rows in found.items():
+            yield table, rows.doc, rows.position, rows.levels, rows.cells
+        odd = np.flatnonzero(left).tolist()
+        if not odd:
+            return
+        documents = {i: data[offsets[i] : offsets[i + 1]].tobytes() for i in odd}
+        plain = {i: p for i, d in documents.items() if self.at_once.shape is not None and (p := simplified(d, self.at_once.trim)) is not None}
+        if plain:
+            which = np.array(list(plain))
+            found, left = self.at_once.run(np.frombuffer(b"".join(plain.values()), np.uint8), np.cumsum([0, *map(len, plain.values())]))
+            for table, rows in found.items():
+                yield table, which[rows.doc], rows.position, rows.levels, rows.cells
+            odd = sorted({*odd} - {*which[~left].tolist()})
+        for i in odd:
+            yield from self.folded(i, documents[i])
+
+    def folded(self, i: int, document: bytes) -> Iterator[Found]:
+        """One document by the fold; its rows leave once it is read: a fault gives none."""
+        rows: dict[int, list[tuple]] = {}
+        Fold(self.program, self.wanted, lambda table, *row: rows.setdefault(table, []).append(row)).run(document)
+        for table, own in rows.items():
+            for a in range(0, len(own), BATCH):
+                pos, levels, cells = zip(*own[a : a + BATCH], strict=True)
+                yield table, np.full(len(pos), i), np.array(pos), [np.array(x) for x in zip(*levels, strict=True)], [pa.array(c, pa.binary()) for c in zip(*cells, strict=True)]
+
+
 class Shredder:
     """A checked and compiled mapping, used for any number of DataFrames.
 
@@ -89,54 +130,54 @@ class Shredder:
         ensure(docs.sparkSession)
         return docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{content}`").cast("binary").alias("_content"))
 
-    def raw(self, docs: DataFrame, name: str, *, content: str = "content", keys: list[str] | None = None) -> DataFrame:
-        """Rows of one table before conversion: keys, _pos, _l0.., _f0.. (text or null).
+    def _fields(self, plan: Plan, prefix: str = "") -> list[T.StructField]:
+        """Columns of raw rows: _l0.. (levels), and for each field _f0.. (text or null), with _v0.. before it if it is no text."""
+        fields = [T.StructField(f"{prefix}_l{i}", T.LongType()) for i in range(plan.levels)]
+        for i, f in enumerate(plan.table.fields):
+            fields += [T.StructField(f"{prefix}_v{i}", TYPES[f.data_type])] * (f.data_type != "Utf8") + [T.StructField(f"{prefix}_f{i}", T.StringType())]
+        return fields
 
-        Fields other than text have two columns: _v0.. with the value of a
-        usual spelling, and _f0.. with the raw text of any other.
-        """
-        keys = list(keys or [])
+    def _rows(self, docs: DataFrame, plans: list[Plan], content: str, keys: list[str], together: bool) -> DataFrame:
+        """keys, _pos and raw columns of the plans' tables; together: _table, and each table's columns under its number."""
         source = self._source(docs, content, keys)
-        program = self.program
-        plan = next(p for p in program.plans if p.table.name == name)
-        fields = plan.table.fields
-        schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType(), False), *[T.StructField(f"_l{i}", T.LongType(), False) for i in range(plan.levels)], *[x for i, f in enumerate(fields) for x in ([T.StructField(f"_v{i}", TYPES[f.data_type])] if f.data_type != "Utf8" else []) + [T.StructField(f"_f{i}", T.StringType())]]])
-        columns = [f.name for f in schema.fields]
-
-        at_once = Columns(program, [plan])
-
-        def made(batch, whose, pos, levels, cells) -> pa.RecordBatch:
-            take = pa.array(whose, pa.int32())
-            arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(pos, pa.int64())]
-            arrays += [pa.array(c, pa.int64()) for c in levels]
-            arrays += [x for c, f in zip(cells, fields, strict=True) for x in _values(c, f)]
-            return pa.RecordBatch.from_arrays(arrays, names=columns)
-
-        def folded(batch, i: int, data: bytes) -> Iterator[pa.RecordBatch]:
-            """One document by the fold; its rows leave once it is read: a fault gives none."""
-            rows: list[tuple] = []
-            Fold(program, {plan.index}, lambda _t, pos, levels, cells: rows.append((pos, levels, cells))).run(data)
-            for a in range(0, len(rows), BATCH):
-                part = rows[a : a + BATCH]
-                pos, levels, cells = zip(*part, strict=True)
-                yield made(batch, [i] * len(part), pos, list(zip(*levels, strict=True)), [pa.array(c, pa.binary()) for c in zip(*cells, strict=True)])
+        program, named = self.program, lambda p: f"_{p.index}" if together else ""
+        own = {p.index: self._fields(p, named(p)) for p in plans}
+        schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType()), *[x for fields in own.values() for x in fields], *([T.StructField("_table", T.IntegerType())] if together else [])])
+        kinds = to_arrow_schema(schema)
+        reader = Reader(program, plans)
+
+        def made(batch: pa.RecordBatch, first: int, found: Found) -> pa.RecordBatch:
+            table, whose, pos, levels, cells = found
+            take, fields = pa.array(whose + first, pa.int32()), program.plans[table].table.fields
+            columns = {"_pos": pa.array(pos, pa.int64()), "_table": pa.array(np.full(len(pos), table, np.int32))}
+            values = [pa.array(x, pa.int64()) for x in levels] + [x for c, f in zip(cells, fields, strict=True) for x in _values(c, f)]
+            columns |= zip((f.name for f in own[table]), values, strict=True)
+            arrays = [batch.column(i).take(take) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays(arrays + [columns[f.name] if f.name in columns else pa.nulls(len(pos), f.type) for f in list(kinds)[len(keys) :]], names=kinds.names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, data, offsets in _pieces(batch.column(batch.num_columns - 1)):
-                    found, left = at_once.run(data, offsets)
-                    for rows in found.values():
-                        yield made(batch, rows.doc + first, rows.position, rows.levels, rows.cells)
-                    for i in np.flatnonzero(left).tolist():
-                        yield from folded(batch, first + i, data[offsets[i] : offsets[i + 1]].tobytes())
+                    for found in reader.rows(data, offsets):
+                        yield made(batch, first, found)
 
         return source.mapInArrow(run, schema)
 
+    def raw(self, docs: DataFrame, name: str, *, content: str = "content", keys: list[str] | None = None) -> DataFrame:
+        """Rows of one table before conversion: keys, _pos, _l0.., _f0.. (text or null).
+
+        Fields other than text have two columns: _v0.. with the value of a
+        usual spelling, and _f0.. with the raw text of any other.
+        """
+        plan = next(p for p in self.program.plans if p.table.name == name)
+        return self._rows(docs, [plan], content, list(keys or []), False)
+
     def typed(self, raw: DataFrame, name: str, *, keys: list[str] | None = None, position: bool = False) -> DataFrame:
         """Level columns and converted fields of raw rows."""
         keys = list(keys or [])
         plan = next(p for p in self.program.plans if p.table.name == name)
-        levels = [F.col(f"_l{i}").alias(f"<{plan.table.levels[i]}>") for i in range(plan.levels)]
+        level = lambda i: F.coalesce(F.col(f"_l{i}"), F.lit(0).cast("long"))  # noqa: E731  never null; this tells Spark so
+        levels = [level(i).alias(f"<{plan.table.levels[i]}>") for i in range(plan.levels)]
         # Levels that no row can have stay empty columns: any row is an error before this.
         levels += [F.lit(0).cast("long").alias(f"<{x}>") for x in plan.table.levels[plan.levels :]]
         done = set(raw.columns)
@@ -166,44 +207,12 @@ class Shredder:
         Documents are parsed once however many tables there are.
         """
         keys = list(keys or [])
-        source = self._source(docs, content, keys)
-        program = self.program
-        plans = [p for p in program.plans if p.end > p.first]
-        schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string("_pos long, _levels array<long>, _cells array<string>, _table int").fields])
-        names = [f.name for f in schema.fields]
-        at_once = Columns(program, plans)
-
-        def listed(columns: list[pa.Array], kind: pa.DataType, n: int) -> pa.Array:
-            k = len(columns)
-            flat = pa.concat_arrays(columns).take(pa.array(np.arange(k * n).reshape(k, n).T.ravel())) if k and n else pa.array([], kind)
-            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), flat)
-
-        def made(batch, table: int, whose, pos, levels, cells) -> pa.RecordBatch:
-            n, take, plan = len(pos), pa.array(whose, pa.int32()), program.plans[table]
-            arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(pos, pa.int64())]
-            arrays.append(listed([pa.array(c, pa.int64()) for c in levels], pa.int64(), n))
-            arrays.append(listed([_texts(c, f)[0] for c, f in zip(cells, plan.table.fields, strict=True)], pa.string(), n))
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, table), pa.int32())], names=names)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, data, offsets in _pieces(batch.column(batch.num_columns - 1)):
-                    found, left = at_once.run(data, offsets)
-                    for table, rows in found.items():
-                        yield made(batch, table, rows.doc + first, rows.position, rows.levels, rows.cells)
-                    for i in np.flatnonzero(left).tolist():
-                        rows: dict[int, list[tuple]] = {}
-                        Fold(program, {p.index for p in plans}, lambda t, *row, rows=rows: rows.setdefault(t, []).append(row)).run(data[offsets[i] : offsets[i + 1]].tobytes())
-                        for table, own in rows.items():
-                            for a in range(0, len(own), BATCH):
-                                pos, levels, cells = zip(*own[a : a + BATCH], strict=True)
-                                yield made(batch, table, [first + i] * len(pos), pos, list(zip(*levels, strict=True)), [pa.array(c, pa.binary()) for c in zip(*cells, strict=True)])
-
-        source.mapInArrow(run, schema).write.partitionBy("_table").parquet(path)
-        return self.stored(docs.sparkSession, path, keys=keys, schema=schema)
+        rows = self._rows(docs, [p for p in self.program.plans if p.end > p.first], content, keys, True)
+        rows.write.partitionBy("_table").parquet(path)
+        return self.stored(docs.sparkSession, path, keys=keys, schema=rows.schema)
 
     def stored(self, spark: SparkSession, path: str, *, keys: list[str] | None = None, position: bool = False, schema: T.StructType | None = None) -> dict[str, DataFrame]:
-        """Typed tables of what `write_raw` wrote; each reads its own partition only.
+        """Typed tables of what `write_raw` wrote; each reads its own partition and columns only.
 
         schema, of the raw rows, is needed only where no document gave any row.
         """
@@ -211,9 +220,9 @@ class Shredder:
         out = {}
         for name in self.names:
             plan = next(p for p in self.program.plans if p.table.name == name)
-            whole = raw.parquet(path).where(F.col("_table") == plan.index)
-            flat = whole.select(*[F.col(f"`{k}`") for k in keys or []], "_pos", *[F.get("_levels", F.lit(i)).alias(f"_l{i}") for i in range(plan.levels)], *[F.get("_cells", F.lit(i)).alias(f"_f{i}") for i in range(len(plan.table.fields))])
-            out[name] = self.typed(flat, name, keys=keys, position=position)
+            own = raw.parquet(path).where(F.col("_table") == plan.index)
+            columns = [F.col(f.name).alias(f.name.removeprefix(f"_{plan.index}")) for f in self._fields(plan, f"_{plan.index}")]
+            out[name] = self.typed(own.select(*[F.col(f"`{k}`") for k in keys or []], "_pos", *columns), name, keys=keys, position=position)
         return out
 
     def check(self, docs: DataFrame, *, content: str = "content", keys: list[str] | None = None) -> None:

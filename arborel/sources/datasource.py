@@ -10,14 +10,16 @@ import fnmatch
 import posixpath
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.plain import convert
-from ..operators.fold import Fold
-from ..plans.mapping import Mapping
+from ..operators.shred import BATCH, Reader, _values
+from ..plans.mapping import Field, Mapping
 from ..plans.program import compile_mapping
 from ..shipping import ensure
 
@@ -75,7 +77,7 @@ class XmlReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [OneFile(p, self.path) for p in listed(self.path, self.extension)]
 
-    def read(self, partition: OneFile) -> Iterator[tuple]:
+    def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
         program = compile_mapping(self.mapping)
         plan = next(p for p in program.plans if p.table.name == self.table)
         head = partition.uri
@@ -83,11 +85,24 @@ class XmlReader(DataSourceReader):
             head = posixpath.dirname(head)
         filesystem, _ = _open(head)
         with filesystem.open_input_stream(partition.path) as file:
-            data = file.read()
-        rows: list[tuple] = []
-        Fold(program, {plan.index}, lambda _t, _p, levels, cells: rows.append((levels, cells))).run(data)
-        for levels, cells in rows:
-            yield (*levels, *(convert(f, None if c is None else c.decode("utf-8")) for f, c in zip(plan.table.fields, cells, strict=True)))
+            data = np.frombuffer(file.read(), np.uint8)
+        names = [f.name for f in plan.table.schema()]
+        for _, whose, _, levels, cells in Reader(program, [plan]).rows(data, np.array([0, len(data)])):
+            levels = [*levels, *[np.zeros(len(whose), np.int64)] * (len(plan.table.levels) - plan.levels)]
+            for a in range(0, len(whose), BATCH):
+                part = [pa.array(x[a : a + BATCH], pa.int64()) for x in levels] + [typed(f, c.slice(a, BATCH)) for c, f in zip(cells, plan.table.fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(part, names=names)
+
+
+def typed(field: Field, raw: pa.Array) -> pa.Array:
+    """The typed column of raw cells: usual spellings at once, others one by one."""
+    *found, rest = _values(raw, field)
+    if not found:
+        return rest if field.nullable else rest.fill_null("")
+    values = found[0]
+    if not values.null_count:
+        return values
+    return pa.array([convert(field, r) if v is None else v for v, r in zip(values.to_pylist(), rest.to_pylist(), strict=True)], values.type)
 
 
 def register(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 from arborel import Field, Mapping, Options, Table
 from arborel.errors import ShredError
-from arborel.operators.columns import Columns
+from arborel.operators.columns import Columns, simplified
 from arborel.operators.fold import Fold
 from arborel.plans.program import compile_mapping
 
@@ -43,9 +43,11 @@ def by_columns(mapping, table, documents):
     return list(zip(rows.doc.tolist(), rows.position.tolist(), levels, cells, strict=True)), set(np.flatnonzero(left).tolist())
 
 
+MAPPINGS += [Mapping(MAPPINGS[1].tables, o) for o in (Options(trim_text=True), Options(stop_at_paths=["/d/g/r", "/d/b"]), Options(trim_text=True, stop_at_paths=["/d/g"], validate_attributes=False))]
+
 names = st.sampled_from(["d", "g", "r", "a", "b", "x:a", "x:d", "an_element_name_beyond_thirty_two_bytes"])
-texts = st.sampled_from(["", "", "t", " ", "a &amp; b", "&#65;", "&nope;", "é", "<!-- c -->", "<![CDATA[x]]>", ">", "'", '"', "\n", "x:y", "a=b"])
-values = st.sampled_from(["", "v", " ", "a>b", "&lt;", "\t", "it's", "é", "a=b", "&bad;"])
+texts = st.sampled_from(["", "", "t", " ", "a &amp; b", "&#65;", "&nope;", "é", "<!-- c -->", "<!--<a>&-->", "<![CDATA[x]]>", "<![CDATA[<&>]]>", "<![CDATA[]]>", "<?p i?>", "&", "amp;", " x ", " &lt; y ", ">", "'", '"', "\n", "x:y", "a=b"])
+values = st.sampled_from(["", "v", " ", "a>b", "&lt;", "\t", "it's", "é", "a=b", "&bad;", "<!-- c -->", "x>y<!-- c -->"])
 attributes = st.lists(st.tuples(st.sampled_from(["k", "b", "x:k", "long_attribute_name_here"]), values, st.sampled_from(['"', '"', '"', "'"]), st.sampled_from([" ", " ", " ", "  ", "\n"])), max_size=3)
 
 
@@ -84,10 +86,29 @@ def test_plain_documents_do_not_need_the_fold():
     assert got == by_fold(MAPPINGS[0], 1, docs)[0]
 
 
-@pytest.mark.parametrize("options", [Options(trim_text=True), Options(stop_at_paths=["/d"])])
-def test_some_mappings_are_the_folds(options):
+@settings(max_examples=600, deadline=None)
+@given(documents, st.sampled_from(range(len(MAPPINGS))), st.integers(0, 1))
+def test_plain_forms_mean_the_same(docs, which, table):
+    """Documents that are rewritten to plain form give the rows that the fold gives the original."""
+    mapping = MAPPINGS[which]
+    plans = [p for p in compile_mapping(mapping).plans if p.end > p.first]
+    table = plans[table % len(plans)].index
+    for raw in (d.encode() for d in docs):
+        plain = simplified(raw, mapping.parser_options.trim_text)
+        if plain is not None:
+            got, left = by_columns(mapping, table, [plain])
+            want, faults = by_fold(mapping, table, [raw])
+            assert left or not faults and got == want
+
+
+@pytest.mark.parametrize("options", [Options(), Options(trim_text=True), Options(stop_at_paths=["/d/g"])])
+def test_usual_documents_do_not_need_the_fold(options):
     mapping = Mapping(MAPPINGS[0].tables, options)
-    assert by_columns(mapping, 1, [b"<d/>"]) == ([], {0})
+    rows = "".join(f"<r k='{i}' b=\"2\"><a b='x'> a{i} </a></r>" for i in range(5)).replace('"', "'")
+    odd = [] if options.trim_text else [f"<!DOCTYPE d><d><!-- <g> --><g>{rows}<?go on?><r><a><![CDATA[1 < 2 & 3]]></a></r></g></d>", "<d><g><r><a>x<!-- y -->z</a></r></g></d>"]
+    docs = [d.encode() for d in (f"<?xml version='1.0'?><d><g>{rows}</g></d>", f"<d>\n <g>{rows}</g> <g>{rows}</g></d>", *odd)]
+    got, left = by_columns(mapping, 1, [simplified(d, options.trim_text) or d for d in docs])
+    assert not left and got == by_fold(mapping, 1, docs)[0]
 
 
 @settings(max_examples=60, deadline=None)
