@@ -7,15 +7,17 @@ the plan.  SQL gives for each query what the relation must be.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .errors import ShredError, recovered
-from .operators.shred import Shredder, relinked
-from .plans.mapping import Field, Mapping, Options, Table
-from .sources.xmlgen import element, escaped, leaf, nested
+from .operators.shred import Shredder, relinked, shred_files, shred_text
+from .plans.mapping import Field, FieldBuilder, Mapping, Options, Table
+from .shared import new_path
+from .sources.datasource import register
+from .sources.xmlgen import element, escaped, leaf, nested, number
 from .streaming.stream import read_stream, shred_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +93,7 @@ def attrs_customer(spark, sf_dir):
 # -- nesting and levels -------------------------------------------------------
 
 def _item() -> Column:
-    return element("item", leaf("part", c("l_partkey")), leaf("qty", c("l_quantity")))
+    return element("item", number("part", c("l_partkey")), number("qty", c("l_quantity")))
 
 
 _ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -101,7 +103,7 @@ def orders_with_items(spark, sf_dir, extra: Column | None = None) -> DataFrame:
     """One document a customer: <customer><orders><order id=".."><total/><items>..</items></order>..."""
     items = nested(load(spark, sf_dir, "lineitem"), ["l_orderkey"], _ITEM_ORDER, _item(), "items")
     rows = load(spark, sf_dir, "orders").join(items, c("o_orderkey") == c("l_orderkey"), "left")
-    order = element("order", leaf("total", c("o_totalprice")), element("items", F.coalesce("items", F.lit(""))), *([extra] if extra is not None else []), attributes={"id": c("o_orderkey")})
+    order = element("order", number("total", c("o_totalprice")), element("items", F.coalesce("items", F.lit(""))), *([extra] if extra is not None else []), attributes={"id": c("o_orderkey")})
     return nested(rows, ["o_custkey"], ["o_orderkey"], order, "_x").select(c("o_custkey").alias("custkey"), element("customer", element("orders", c("_x"))).alias("content"))
 
 
@@ -124,7 +126,7 @@ def nested_orders_items(spark, sf_dir):
 @query(_SQL_ITEMS + "SELECT o_custkey AS custkey, o_orderkey, o_totalprice, order_no, item_no, l_partkey, l_quantity FROM o JOIN i ON o_orderkey = l_orderkey")
 def join_back_on_level(spark, sf_dir):
     docs = orders_with_items(spark, sf_dir)
-    made = Shredder(Mapping([ORDERS, ITEMS])).tables(docs, keys=["custkey"])
+    made = Shredder(Mapping([ORDERS, ITEMS])).tables(docs, keys=["custkey"], once=True)
     both = relinked(made["items"], made["orders"], ["order"], ["custkey"])
     return plain(both, custkey="custkey", o_orderkey="o_orderkey", o_totalprice="o_totalprice", order_no="<order>", item_no="<item>", l_partkey="l_partkey", l_quantity="l_quantity")
 
@@ -153,7 +155,7 @@ UNION ALL SELECT 'note', o_custkey, order_no, 0, o_orderstatus FROM o UNION ALL
 def sibling_tables_shared_parent(spark, sf_dir):
     notes = element("notes", leaf("note", c("o_orderstatus")), leaf("note", c("o_orderpriority")))
     table = Table("notes", f"{_ORDER}/notes", ["order", "note"], [Field("said", f"{_ORDER}/notes/note", "Utf8")])
-    made = Shredder(Mapping([ORDERS, ITEMS, table])).tables(orders_with_items(spark, sf_dir, notes), keys=["custkey"])
+    made = Shredder(Mapping([ORDERS, ITEMS, table])).tables(orders_with_items(spark, sf_dir, notes), keys=["custkey"], once=True)
     items = made["items"].select(F.lit("item").alias("kind"), "custkey", c("`<order>`").alias("order_no"), c("`<item>`").alias("no"), c("l_partkey").cast("string").alias("said"))
     return items.unionByName(made["notes"].select(F.lit("note").alias("kind"), "custkey", c("`<order>`").alias("order_no"), c("`<note>`").alias("no"), "said"))
 
@@ -183,7 +185,7 @@ SELECT n_regionkey AS doc, CAST(0 AS BIGINT) AS region_no, nation_no, customer_n
 FROM orders JOIN cu ON o_custkey = c_custkey JOIN n ON c_nationkey = n_nationkey
 """)
 def four_level_nesting(spark, sf_dir):
-    orders = nested(load(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], leaf("order", c("o_orderkey")), "ox")
+    orders = nested(load(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], number("order", c("o_orderkey")), "ox")
     customers = load(spark, sf_dir, "customer").join(orders, c("c_custkey") == c("o_custkey"), "left")
     customers = nested(customers, ["c_nationkey"], ["c_custkey"], element("customer", F.coalesce("ox", F.lit(""))), "cx")
     nations = load(spark, sf_dir, "nation").join(customers, c("n_nationkey") == c("c_nationkey"), "left")
@@ -229,7 +231,7 @@ def empty_table(spark, sf_dir):
 
 def _typed(spark, sf_dir, **columns: tuple[str, Column]) -> DataFrame:
     """A document of leaves for each event; columns name=(type, value)."""
-    docs = single(load(spark, sf_dir, "events"), element("data", element("row", *[leaf(n, v) for n, (_, v) in columns.items()])), "event_id")
+    docs = single(load(spark, sf_dir, "events"), element("data", element("row", *[(leaf if t in ("Utf8", "Boolean") else number)(n, v) for n, (t, v) in columns.items()])), "event_id")
     return flat(*fields("/data/row", **{n: t for n, (t, _) in columns.items()})).table(docs, "rows", keys=["event_id"])
 
 
@@ -261,7 +263,7 @@ def types_bool_vocab(spark, sf_dir):
 
 
 def _scaled(spark, sf_dir, kind: str) -> DataFrame:
-    docs = documents(load(spark, sf_dir, "lineitem"), c("l_orderkey"), _ITEM_ORDER, element("row", leaf("q", c("l_quantity")), leaf("p", c("l_extendedprice"))))
+    docs = documents(load(spark, sf_dir, "lineitem"), c("l_orderkey"), _ITEM_ORDER, element("row", number("q", c("l_quantity")), number("p", c("l_extendedprice"))))
     return flat(Field("q", "/data/row/q", kind, scale=0.1, offset=10.0), Field("p", "/data/row/p", kind, offset=-0.5)).table(docs, "rows", keys=["doc"])
 
 
@@ -373,21 +375,16 @@ def stop_at_header(spark, sf_dir):
     return made["head"].unionByName(made["body"].select("doc", c("v").cast("string").alias("title")))
 
 
-_TITLED = '<!DOCTYPE html><html lang=%><head><meta charset="utf-8"><title>%'
-
-
-@query(f"""
-WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS raw FROM pages WHERE html LIKE '{_TITLED}')
-SELECT page_id, replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS title
-FROM t WHERE NOT contains(regexp_replace(raw, '&(amp|lt|gt|quot|apos);', '', 'g'), '&')
+@query("""
+WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS raw FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS title FROM t
 """)
 def pages_title_stop(spark, sf_dir):
-    """Pages that are XML up to the end of their title; some cut a reference off there."""
+    """Titles of all pages, which are XML up to there but for a & that begins no reference: that one is escaped."""
     title = "/html/head/meta/title"
-    rest = F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), "&(amp|lt|gt|quot|apos);", "")
-    pages = load(spark, sf_dir, "pages").where(c("html").like(_TITLED) & ~rest.contains("&"))
+    html = F.regexp_replace("html", "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
     engine = flat(Field("title", title), path="/html/head/meta", options=Options(stop_at_paths=[title]))
-    return engine.table(pages, "rows", content="html", keys=["page_id"])
+    return engine.table(load(spark, sf_dir, "pages").withColumn("html", html), "rows", content="html", keys=["page_id"])
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS item_no, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
@@ -421,7 +418,17 @@ _INVALID = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{'UnsupportedTransform' if x in ('scale', 'offset') else 'InvalidMapping'}', '{x}')" for x in _INVALID) + ") AS v(what, error, issue)")
+@query("""SELECT * FROM (VALUES
+('empty table name', 'InvalidMapping', 'empty table name'),
+('duplicate table name', 'InvalidMapping', 'duplicate table name'),
+('empty table path', 'InvalidMapping', 'empty table path'),
+('duplicate table path', 'InvalidMapping', 'duplicate table path'),
+('empty field name', 'InvalidMapping', 'empty field name'),
+('duplicate field name', 'InvalidMapping', 'duplicate field name'),
+('empty field path', 'InvalidMapping', 'empty field path'),
+('field path not under table', 'InvalidMapping', 'field path not under table'),
+('scale', 'UnsupportedTransform', 'scale'),
+('offset', 'UnsupportedTransform', 'offset')) AS v(what, error, issue)""")
 def validation_errors(spark, sf_dir):
     rows = []
     for what, tables in _INVALID.items():
@@ -433,27 +440,30 @@ def validation_errors(spark, sf_dir):
     return spark.createDataFrame(rows, "what string, error string, issue string")
 
 
-#: case: (document, expected error, expected kind or "")
 _BROKEN = {
-    "not a number": ("<d><r><n>3x</n></r></d>", "ValueFault", "number"),
-    "fraction": ("<d><r><n>1.5</n></r></d>", "ValueFault", "number"),
-    "too large": ("<d><r><n>2147483648</n></r></d>", "ValueFault", "number"),
-    "not a boolean": ("<d><r><n>1</n><b>maybe</b></r></d>", "ValueFault", "boolean"),
-    "missing": ("<d><r/></d>", "MissingValue", "missing"),
-    "twice": ("<d><r><n>1</n><n>2</n></r></d>", "ValueFault", "duplicate value"),
-    "entity": ("<d><r><n>&nbsp;</n></r></d>", "ValueFault", "unresolved entity"),
-    "reference": ("<d><r><n>&#xZZ;</n></r></d>", "SyntaxFault", ""),
-    "closing tag": ("<d><r><n>1</m></r></d>", "SyntaxFault", ""),
-    "attribute twice": ('<d><r a="1" a="2"><n>1</n></r></d>', "SyntaxFault", ""),
-    "fine": ("<d><r><n> 42 </n><b>on</b></r></d>", "none", ""),
+    "not a number": "<d><r><n>3x</n></r></d>",
+    "fraction": "<d><r><n>1.5</n></r></d>",
+    "too large": "<d><r><n>2147483648</n></r></d>",
+    "not a boolean": "<d><r><n>1</n><b>maybe</b></r></d>",
+    "missing": "<d><r/></d>",
+    "twice": "<d><r><n>1</n><n>2</n></r></d>",
+    "entity": "<d><r><n>&nbsp;</n></r></d>",
+    "reference": "<d><r><n>&#xZZ;</n></r></d>",
+    "closing tag": "<d><r><n>1</m></r></d>",
+    "attribute twice": '<d><r a="1" a="2"><n>1</n></r></d>',
+    "fine": "<d><r><n> 42 </n><b>on</b></r></d>",
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{e}', '{w}')" for k, (_, e, w) in _BROKEN.items()) + ") AS v(what, error, kind)")
+@query("""SELECT * FROM (VALUES
+('not a number', 'ValueFault', 'number'), ('fraction', 'ValueFault', 'number'), ('too large', 'ValueFault', 'number'),
+('not a boolean', 'ValueFault', 'boolean'), ('missing', 'MissingValue', 'missing'), ('twice', 'ValueFault', 'duplicate value'),
+('entity', 'ValueFault', 'unresolved entity'), ('reference', 'SyntaxFault', ''), ('closing tag', 'SyntaxFault', ''),
+('attribute twice', 'SyntaxFault', ''), ('fine', 'none', '')) AS v(what, error, kind)""")
 def parse_errors(spark, sf_dir):
     engine = flat(Field("n", "/d/r/n", "Int32"), Field("b", "/d/r/b", "Boolean", True), Field("a", "/d/r/@a", "Utf8", True), path="/d")
     rows = []
-    for what, (document, _, _) in _BROKEN.items():
+    for what, document in _BROKEN.items():
         try:
             engine.check(spark.createDataFrame([(document,)], "content string"))
             rows.append((what, "none", ""))
@@ -463,6 +473,99 @@ def parse_errors(spark, sf_dir):
     return spark.createDataFrame(rows, "what string, error string, kind string")
 
 
+# -- mappings in YAML, files, one pass for all tables ----------------------------
+
+
+_YAML = """
+tables:
+  - name: suppliers
+    xml_path: /data
+    levels: [supplier]
+    fields:
+      - {name: s_suppkey, xml_path: /data/row/@key, data_type: Int64}
+      - {name: s_name, xml_path: /data/row/name, data_type: Utf8}
+      - {name: s_acctbal, xml_path: /data/row/balance, data_type: Float64, nullable: true, scale: 2.0, offset: 1.0}
+"""
+
+
+def supplier_documents(spark, sf_dir) -> DataFrame:
+    """<data><row key=".."><name/><balance/></row>...</data> for each nation that has suppliers."""
+    row = element("row", leaf("name", c("s_name")), leaf("balance", c("s_acctbal")), attributes={"key": c("s_suppkey")})
+    return documents(load(spark, sf_dir, "supplier"), c("s_nationkey"), ["s_suppkey"], row)
+
+
+def as_files(docs: DataFrame, name: str) -> str:
+    """A folder below spark.checkpoint.dir with a file for each document; doc=<number>/ tells which."""
+    path = new_path(docs.sparkSession, name)
+    docs.select("doc", "content").write.partitionBy("doc").option("lineSep", "\n").text(path)
+    return path
+
+
+_SQL_SUPPLIERS = "SELECT s_nationkey AS doc, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS supplier_no, s_suppkey, s_name, s_acctbal * CAST(2 AS DOUBLE) + CAST(1 AS DOUBLE) AS s_acctbal FROM supplier"
+
+
+def _suppliers(made: DataFrame) -> DataFrame:
+    return plain(made, doc="doc", supplier_no="<supplier>", s_suppkey="s_suppkey", s_name="s_name", s_acctbal="s_acctbal")
+
+
+@query(_SQL_SUPPLIERS)
+def yaml_mapping_file(spark, sf_dir):
+    """A mapping is read from YAML, written to a file, read again, and used."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver alone reads mappings
+        Mapping.from_yaml_text(_YAML).to_yaml_file(Path(folder) / "mapping.yaml")
+        mapping = Mapping.from_yaml_file(Path(folder) / "mapping.yaml")
+    assert mapping == Mapping.from_yaml_text(mapping.to_yaml_text())
+    return _suppliers(Shredder(mapping).table(supplier_documents(spark, sf_dir), "suppliers", keys=["doc"]))
+
+
+@query(_SQL_SUPPLIERS)
+def fluent_mapping(spark, sf_dir):
+    """The same mapping by the field builder."""
+    balance = FieldBuilder("s_acctbal", "/data/row/balance", "Float64").nullable().scaled(2).shifted(1).build()
+    table = Table("suppliers", "/data", ["supplier"], [FieldBuilder("s_suppkey", "/data/row/@key", "Int64").build(), FieldBuilder("s_name", "/data/row/name").build(), balance])
+    assert Mapping([table]) == Mapping.from_yaml_text(_YAML)
+    return _suppliers(Shredder(Mapping([table])).table(supplier_documents(spark, sf_dir), "suppliers", keys=["doc"]))
+
+
+@query(_SQL_SUPPLIERS)
+def files_binary(spark, sf_dir):
+    """Documents are files, read whole as bytes; the path says which."""
+    path = as_files(supplier_documents(spark, sf_dir), "files")
+    made = shred_files(spark, f"{path}/*/*.txt", _YAML)["suppliers"]
+    return _suppliers(made.withColumn("doc", F.regexp_extract("path", "doc=([0-9]+)/", 1).cast("int")))
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal * CAST(2 AS DOUBLE) + CAST(1 AS DOUBLE) AS s_acctbal FROM supplier")
+def files_data_source(spark, sf_dir):
+    """The same files through the data source of this package."""
+    path = as_files(supplier_documents(spark, sf_dir), "source")
+    register(spark)
+    made = spark.read.format("arborel_xml").option("mapping", _YAML).option("extension", ".txt").load(path)
+    return made.select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation WHERE n_regionkey = 1")
+def document_in_memory(spark, sf_dir):
+    """One document as a string of the driver."""
+    rows = load(spark, sf_dir, "nation").where("n_regionkey = 1")
+    docs = documents(rows, c("n_regionkey"), ["n_nationkey"], element("row", *[leaf(x, c(x)) for x in ("n_nationkey", "n_name")]))
+    xml = docs.first()["content"]  # of one region's nations
+    made = shred_text(spark, xml, Mapping([Table("rows", "/data", [], fields("/data/row", n_nationkey="Int32", n_name="Utf8"))]))
+    return made["rows"].withColumn("n_regionkey", F.lit(1).cast("long"))
+
+
+@query(_SQL_ITEMS + """SELECT 'order' AS kind, o_custkey AS custkey, order_no, CAST(0 AS BIGINT) AS item_no, o_orderkey AS key, o_totalprice AS amount FROM o
+UNION ALL SELECT 'item', o_custkey, order_no, item_no, l_partkey, l_quantity FROM o JOIN i ON o_orderkey = l_orderkey""")
+def one_pass_all_tables(spark, sf_dir):
+    """Documents are parsed once; raw rows of all tables are kept, and typed tables read over them."""
+    engine = Shredder(Mapping([ORDERS, ITEMS]))
+    path = new_path(spark, "raw")
+    engine.write_raw(orders_with_items(spark, sf_dir), path, keys=["custkey"])
+    made = engine.stored(spark, path, keys=["custkey"])
+    orders = made["orders"].select(F.lit("order").alias("kind"), "custkey", c("`<order>`").alias("order_no"), F.lit(0).cast("long").alias("item_no"), c("o_orderkey").alias("key"), c("o_totalprice").alias("amount"))
+    return orders.unionByName(made["items"].select(F.lit("item").alias("kind"), "custkey", c("`<order>`").alias("order_no"), c("`<item>`").alias("item_no"), c("l_partkey").alias("key"), c("l_quantity").alias("amount")))
+
+
 # -- what Spark adds on top ---------------------------------------------------
 
 
@@ -482,17 +585,14 @@ def window_over_shredded(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def stream_shred(spark, sf_dir):
-    """Documents arrive as files; a stream shreds each once, into a table in memory."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/") + f"/arborel-stream-{uuid.uuid4().hex[:12]}"
+    """Documents arrive as files; a stream shreds each once and writes its rows to Parquet."""
     docs = documents(load(spark, sf_dir, "nation"), c("n_regionkey"), ["n_nationkey"], element("row", leaf("n_nationkey", c("n_nationkey")), leaf("n_name", c("n_name"))))
-    docs.select("content").repartition(4).write.text(f"{base}/in")
+    arriving, out = as_files(docs, "arriving"), new_path(spark, "stream")
     engine = flat(*fields("/data/row", n_nationkey="Int32", n_name="Utf8"))
-    name = f"arborel_{uuid.uuid4().hex[:12]}"
-    # A text file can hold several documents' lines; here each line is a document.
-    arriving = spark.readStream.format("text").load(f"{base}/in")
-    started = shred_stream(arriving, engine, "rows").writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").start()
+    made = shred_stream(read_stream(spark, f"{arriving}/*", files_per_trigger=2), engine, "rows")
+    started = made.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{out}-state").start(out)
     started.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(made.schema).parquet(out)
 
 
-__all__ = ["QUERIES", "SQL", "read_stream"]
+__all__ = ["QUERIES", "SQL"]

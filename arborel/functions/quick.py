@@ -1,7 +1,7 @@
-"""Usual spellings of numbers and booleans, converted a whole column at a time.
+"""Raw text to typed columns, a column of a batch at a time.
 
-What is not of a usual spelling is left as raw text to the Catalyst
-expressions of `convert`, which know all rules and raise the errors.
+Usual spellings of numbers and booleans go through Arrow's parsers; the rest
+is converted one by one, by the rules of `plain`, which raise the errors.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..errors import ShredError
 from ..plans.mapping import FLOATS, Field
 from .convert import BLANK, BOUNDS, FALSE, TRUE
+from .plain import convert
 
 #: The Arrow type of each type's Spark column.
 ARROW = {"Boolean": pa.bool_(), "Float32": pa.float32(), "Float64": pa.float64(), "UInt64": pa.decimal128(20, 0)}
@@ -74,7 +76,7 @@ def _real(texts: pa.Array, field: Field) -> pa.Array:
 
 
 def quick(field: Field, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """(typed values, raw texts where there is one without a value)."""
+    """(values of usual spellings, raw texts where there is one without a value)."""
     if field.data_type == "Boolean":
         at = pc.index_in(pc.ascii_lower(pc.utf8_trim(texts, BLANK)), _SPELLED)
         found = pc.less(at, len(TRUE))
@@ -85,3 +87,23 @@ def quick(field: Field, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     if found.null_count == texts.null_count:
         return found, pa.nulls(len(texts), pa.string())
     return found, pc.if_else(found.is_null(), texts, pa.scalar(None, pa.string()))
+
+
+def typed(field: Field, texts: pa.Array) -> pa.Array:
+    """The column of a field; null where that may be.  A wrong or missing value raises, with its row as fact `row`."""
+    if field.data_type == "Utf8":
+        return texts if field.nullable else texts.fill_null("")
+    found, rest = quick(field, texts)
+    if not found.null_count or field.nullable and rest.null_count == len(rest):
+        return found
+    values, known = found.to_pylist(), {}
+    for i in np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False)).tolist():
+        raw = rest[i].as_py()
+        if raw not in known:
+            try:
+                known[raw] = convert(field, raw)
+            except ShredError as e:
+                e.facts["row"] = i
+                raise
+        values[i] = known[raw]
+    return pa.array(values, found.type)

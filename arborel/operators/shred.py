@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..errors import EncodingFault, recovered
-from ..functions.convert import converted, trimmed
-from ..functions.quick import quick
+from ..errors import EncodingFault, ShredError, recovered
+from ..functions.quick import typed
 from ..plans.mapping import TYPES, Field, Mapping
 from ..plans.program import Plan, Program, compile_mapping
+from ..shared import new_path
 from ..shipping import ensure
 from .columns import Columns, simplified
 from .fold import Fold
@@ -26,24 +26,14 @@ BATCH = 8192
 PIECE = 1 << 20
 
 
-def _texts(raw: pa.Array, field: Field) -> tuple[pa.Array, bool]:
-    """A binary column as text, and whether it is exactly that; bytes that are no UTF-8 are a fault in a text column only."""
+def texts_of(raw: pa.Array, field: Field) -> pa.Array:
+    """A binary column as text; bytes that are no UTF-8 are a fault in a text column only."""
     try:
-        return raw.cast(pa.string()), True
+        return raw.cast(pa.string())
     except pa.ArrowInvalid:
         if field.data_type == "Utf8":
             raise EncodingFault(f"Field {field.name!r} holds bytes that are no UTF-8", field=field.name) from None
-        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string()), False
-
-
-def _values(raw: pa.Array, field: Field) -> list[pa.Array]:
-    """The columns of a field: of a text itself; else typed values, and the texts without one."""
-    texts, exact = _texts(raw, field)
-    if field.data_type == "Utf8":
-        return [texts]
-    if exact:
-        return list(quick(field, texts))
-    return [pa.nulls(len(texts), quick(field, texts.slice(0, 0))[0].type), texts]
+        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -106,10 +96,9 @@ class Shredder:
 
     Documents are rows with a string or binary column; other columns chosen as
     keys go along with every row.  Parsing is one narrow pass in Python on the
-    executors, plain documents many at a time and others by the fold.  Usual
-    spellings are converted there, a column at a time; all other texts are
-    converted, or raise, by Catalyst expressions over the raw text, so what is
-    not selected is no error.
+    executors, plain documents many at a time and others by the fold, and
+    values are converted there a column at a time.  A wrong or missing value
+    of a table is an error when that table is evaluated.
     """
 
     def __init__(self, mapping: Mapping | str):
@@ -131,18 +120,16 @@ class Shredder:
         return docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{content}`").cast("binary").alias("_content"))
 
     def _fields(self, plan: Plan, prefix: str = "") -> list[T.StructField]:
-        """Columns of raw rows: _l0.. (levels), and for each field _f0.. (text or null), with _v0.. before it if it is no text."""
-        fields = [T.StructField(f"{prefix}_l{i}", T.LongType()) for i in range(plan.levels)]
-        for i, f in enumerate(plan.table.fields):
-            fields += [T.StructField(f"{prefix}_v{i}", TYPES[f.data_type])] * (f.data_type != "Utf8") + [T.StructField(f"{prefix}_f{i}", T.StringType())]
-        return fields
+        """Columns of rows: _l0.. (levels), _f0.. (fields); with a prefix, beside those of other tables, they can be null."""
+        never = not prefix
+        return [T.StructField(f"{prefix}_l{i}", T.LongType(), not never) for i in range(plan.levels)] + [T.StructField(f"{prefix}_f{i}", TYPES[f.data_type], f.nullable or not never) for i, f in enumerate(plan.table.fields)]
 
     def _rows(self, docs: DataFrame, plans: list[Plan], content: str, keys: list[str], together: bool) -> DataFrame:
-        """keys, _pos and raw columns of the plans' tables; together: _table, and each table's columns under its number."""
+        """keys, _pos and columns of the plans' tables; together: _table, and each table's columns under its number."""
         source = self._source(docs, content, keys)
         program, named = self.program, lambda p: f"_{p.index}" if together else ""
         own = {p.index: self._fields(p, named(p)) for p in plans}
-        schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType()), *[x for fields in own.values() for x in fields], *([T.StructField("_table", T.IntegerType())] if together else [])])
+        schema = T.StructType([*source.schema.fields[:-1], T.StructField("_pos", T.LongType(), False), *[x for fields in own.values() for x in fields], *([T.StructField("_table", T.IntegerType())] if together else [])])
         kinds = to_arrow_schema(schema)
         reader = Reader(program, plans)
 
@@ -150,7 +137,13 @@ class Shredder:
             table, whose, pos, levels, cells = found
             take, fields = pa.array(whose + first, pa.int32()), program.plans[table].table.fields
             columns = {"_pos": pa.array(pos, pa.int64()), "_table": pa.array(np.full(len(pos), table, np.int32))}
-            values = [pa.array(x, pa.int64()) for x in levels] + [x for c, f in zip(cells, fields, strict=True) for x in _values(c, f)]
+            try:
+                values = [pa.array(x, pa.int64()) for x in levels] + [typed(f, texts_of(c, f)) for c, f in zip(cells, fields, strict=True)]
+            except ShredError as e:  # the keys tell which document it is
+                row = e.facts.pop("row", None)
+                if row is not None:
+                    e.facts |= {f"document_{k}": str(v) for i, k in enumerate(keys) if (v := batch.column(i)[int(whose[row]) + first].as_py()) is not None}
+                raise
             columns |= zip((f.name for f in own[table]), values, strict=True)
             arrays = [batch.column(i).take(take) for i in range(len(keys))]
             return pa.RecordBatch.from_arrays(arrays + [columns[f.name] if f.name in columns else pa.nulls(len(pos), f.type) for f in list(kinds)[len(keys) :]], names=kinds.names)
@@ -163,30 +156,16 @@ class Shredder:
 
         return source.mapInArrow(run, schema)
 
-    def raw(self, docs: DataFrame, name: str, *, content: str = "content", keys: list[str] | None = None) -> DataFrame:
-        """Rows of one table before conversion: keys, _pos, _l0.., _f0.. (text or null).
-
-        Fields other than text have two columns: _v0.. with the value of a
-        usual spelling, and _f0.. with the raw text of any other.
-        """
-        plan = next(p for p in self.program.plans if p.table.name == name)
-        return self._rows(docs, [plan], content, list(keys or []), False)
-
-    def typed(self, raw: DataFrame, name: str, *, keys: list[str] | None = None, position: bool = False) -> DataFrame:
-        """Level columns and converted fields of raw rows."""
-        keys = list(keys or [])
-        plan = next(p for p in self.program.plans if p.table.name == name)
-        level = lambda i: F.coalesce(F.col(f"_l{i}"), F.lit(0).cast("long"))  # noqa: E731  never null; this tells Spark so
-        levels = [level(i).alias(f"<{plan.table.levels[i]}>") for i in range(plan.levels)]
+    def _named(self, rows: DataFrame, plan: Plan, keys: list[str], position: bool) -> DataFrame:
+        """Keys, level columns and fields under their names."""
+        table = plan.table
+        levels = [F.col(f"_l{i}").alias(f"<{table.levels[i]}>") for i in range(plan.levels)]
         # Levels that no row can have stay empty columns: any row is an error before this.
-        levels += [F.lit(0).cast("long").alias(f"<{x}>") for x in plan.table.levels[plan.levels :]]
-        done = set(raw.columns)
-        fields = []
-        for i, f in enumerate(plan.table.fields):
-            value = converted(f, F.col(f"_f{i}"), keys, F.col(f"_t{i}"))
-            fields.append((F.coalesce(F.col(f"_v{i}"), value) if f"_v{i}" in done else value).alias(f.name))
-        raw = raw.select("*", *[trimmed(F.col(f"_f{i}")).alias(f"_t{i}") for i, f in enumerate(plan.table.fields) if f.data_type != "Utf8"])
-        return raw.select(*[F.col(f"`{k}`") for k in keys], *([F.col("_pos")] if position else []), *levels, *fields)
+        levels += [F.lit(0).cast("long").alias(f"<{x}>") for x in table.levels[plan.levels :]]
+        return rows.select(*[F.col(f"`{k}`") for k in keys], *([F.col("_pos")] if position else []), *levels, *[F.col(f"_f{i}").alias(f.name) for i, f in enumerate(table.fields)])
+
+    def _plan(self, name: str) -> Plan:
+        return next(p for p in self.program.plans if p.table.name == name)
 
     def table(self, docs: DataFrame, name: str, *, content: str = "content", keys: list[str] | None = None, position: bool = False) -> DataFrame:
         """One typed table.  keys identify documents across tables; position orders rows in one.
@@ -194,35 +173,53 @@ class Shredder:
         Null contents give no rows, empty documents neither.  The result has
         no order of rows; sort by keys and _pos where that matters.
         """
-        return self.typed(self.raw(docs, name, content=content, keys=keys), name, keys=keys, position=position)
+        plan, keys = self._plan(name), list(keys or [])
+        return self._named(self._rows(docs, [plan], content, keys, False), plan, keys, position)
+
+    def tables(self, docs: DataFrame, *, content: str = "content", keys: list[str] | None = None, position: bool = False, once: bool = False) -> dict[str, DataFrame]:
+        """All tables with columns, in the mapping's order.
 
-    def tables(self, docs: DataFrame, *, content: str = "content", keys: list[str] | None = None, position: bool = False) -> dict[str, DataFrame]:
-        """All tables with columns, in the mapping's order, each evaluated by itself."""
+        Each is a plan of its own, that parses what it needs when it runs.
+        With once, documents are parsed now, for all tables together, and kept
+        below spark.checkpoint.dir as `write_raw` keeps them.
+        """
+        if once:
+            path = new_path(ensure(docs.sparkSession), "tables")
+            schema = self._write(docs, path, content, list(keys or []))
+            return self.stored(docs.sparkSession, path, keys=keys, position=position, schema=schema)
         return {n: self.table(docs, n, content=content, keys=keys, position=position) for n in self.names}
 
+    def _write(self, docs: DataFrame, path: str, content: str, keys: list[str]) -> T.StructType:
+        rows = self._rows(docs, [p for p in self.program.plans if p.end > p.first], content, keys, True)
+        rows.write.partitionBy("_table").parquet(path)
+        return rows.schema
+
     def write_raw(self, docs: DataFrame, path: str, *, content: str = "content", keys: list[str] | None = None) -> dict[str, DataFrame]:
-        """All tables from one pass: raw rows go to Parquet below path, partitioned by table.
+        """All tables from one pass: rows go to Parquet below path, partitioned by table.
 
         Returns the typed tables over it, which `stored` gives again later.
         Documents are parsed once however many tables there are.
         """
-        keys = list(keys or [])
-        rows = self._rows(docs, [p for p in self.program.plans if p.end > p.first], content, keys, True)
-        rows.write.partitionBy("_table").parquet(path)
-        return self.stored(docs.sparkSession, path, keys=keys, schema=rows.schema)
+        schema = self._write(docs, path, content, list(keys or []))
+        return self.stored(docs.sparkSession, path, keys=keys, schema=schema)
 
     def stored(self, spark: SparkSession, path: str, *, keys: list[str] | None = None, position: bool = False, schema: T.StructType | None = None) -> dict[str, DataFrame]:
         """Typed tables of what `write_raw` wrote; each reads its own partition and columns only.
 
-        schema, of the raw rows, is needed only where no document gave any row.
+        schema, of the written rows, is needed only where no document gave any row.
         """
         raw = spark.read.schema(schema) if schema is not None else spark.read
         out = {}
         for name in self.names:
-            plan = next(p for p in self.program.plans if p.table.name == name)
+            plan = self._plan(name)
             own = raw.parquet(path).where(F.col("_table") == plan.index)
-            columns = [F.col(f.name).alias(f.name.removeprefix(f"_{plan.index}")) for f in self._fields(plan, f"_{plan.index}")]
-            out[name] = self.typed(own.select(*[F.col(f"`{k}`") for k in keys or []], "_pos", *columns), name, keys=keys, position=position)
+            columns = []
+            for f in self._fields(plan):
+                value = F.col(f"_{plan.index}{f.name}")
+                # Never null in the table's own rows; this tells Spark so.
+                default = {T.StringType(): F.lit(""), T.BooleanType(): F.lit(False)}.get(f.dataType, F.lit(0).cast(f.dataType))
+                columns.append((value if f.nullable else F.coalesce(value, default)).alias(f.name))
+            out[name] = self._named(own.select(*[F.col(f"`{k}`") for k in keys or []], "_pos", *columns), plan, list(keys or []), position)
         return out
 
     def check(self, docs: DataFrame, *, content: str = "content", keys: list[str] | None = None) -> None:

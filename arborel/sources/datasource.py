@@ -17,24 +17,28 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..functions.plain import convert
-from ..operators.shred import BATCH, Reader, _values
-from ..plans.mapping import Field, Mapping
+from ..functions.quick import typed
+from ..operators.shred import BATCH, Reader, texts_of
+from ..plans.mapping import Mapping
 from ..plans.program import compile_mapping
 from ..shipping import ensure
 
 
-class OneFile(InputPartition):
-    def __init__(self, path: str, uri: str):
-        self.path, self.uri = path, uri
+#: Bytes of the files that one partition reads, but for a larger file.
+TOGETHER = 8 << 20
+
+
+class Files(InputPartition):
+    def __init__(self, paths: list[str], uri: str):
+        self.paths, self.uri = paths, uri
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else posixpath.abspath(uri))
 
 
-def listed(uri: str, extension: str) -> list[str]:
-    """Files of a folder (recursively, by extension), of a glob, or the file itself."""
+def listed(uri: str, extension: str) -> list[tuple[str, int]]:
+    """Files, with their sizes, of a folder (recursively, by extension), of a glob, or the file itself."""
     head = uri
     while any(c in head for c in "*?["):
         head = posixpath.dirname(head)
@@ -42,16 +46,16 @@ def listed(uri: str, extension: str) -> list[str]:
     if head != uri:
         _, pattern = _open(head.rstrip("/") + "/")[0], base.rstrip("/") + uri[len(head) :]
         found = filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
-        return sorted(f.path for f in found if f.type == pafs.FileType.File and fnmatch.fnmatch(f.path, pattern))
+        return sorted((f.path, f.size or 0) for f in found if f.type == pafs.FileType.File and fnmatch.fnmatch(f.path, pattern))
     info = filesystem.get_file_info(base)
     if info.type == pafs.FileType.File:
-        return [base]
+        return [(base, info.size or 0)]
     found = filesystem.get_file_info(pafs.FileSelector(base, recursive=True))
-    return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(extension))
+    return sorted((f.path, f.size or 0) for f in found if f.type == pafs.FileType.File and f.path.endswith(extension))
 
 
 class XmlSource(DataSource):
-    """The data source; one file is one partition."""
+    """The data source; a file is read whole, small ones together in one partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -75,35 +79,34 @@ class XmlReader(DataSourceReader):
         self.mapping, self.table, self.path, self.extension = mapping, table, path, extension
 
     def partitions(self) -> list[InputPartition]:
-        return [OneFile(p, self.path) for p in listed(self.path, self.extension)]
-
-    def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
+        groups, held = [], TOGETHER
+        for path, size in listed(self.path, self.extension):
+            if held + size > TOGETHER:
+                groups.append([])
+                held = 0
+            groups[-1].append(path)
+            held += size
+        return [Files(g, self.path) for g in groups]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         program = compile_mapping(self.mapping)
         plan = next(p for p in program.plans if p.table.name == self.table)
         head = partition.uri
         while any(c in head for c in "*?["):
             head = posixpath.dirname(head)
         filesystem, _ = _open(head)
-        with filesystem.open_input_stream(partition.path) as file:
-            data = np.frombuffer(file.read(), np.uint8)
+        documents = []
+        for path in partition.paths:
+            with filesystem.open_input_stream(path) as file:
+                documents.append(file.read())
+        data, offsets = np.frombuffer(b"".join(documents), np.uint8), np.cumsum([0, *map(len, documents)])
         names = [f.name for f in plan.table.schema()]
-        for _, whose, _, levels, cells in Reader(program, [plan]).rows(data, np.array([0, len(data)])):
+        for _, whose, _, levels, cells in Reader(program, [plan]).rows(data, offsets):
             levels = [*levels, *[np.zeros(len(whose), np.int64)] * (len(plan.table.levels) - plan.levels)]
             for a in range(0, len(whose), BATCH):
-                part = [pa.array(x[a : a + BATCH], pa.int64()) for x in levels] + [typed(f, c.slice(a, BATCH)) for c, f in zip(cells, plan.table.fields, strict=True)]
+                part = [pa.array(x[a : a + BATCH], pa.int64()) for x in levels] + [typed(f, texts_of(c.slice(a, BATCH), f)) for c, f in zip(cells, plan.table.fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(part, names=names)
 
 
-def typed(field: Field, raw: pa.Array) -> pa.Array:
-    """The typed column of raw cells: usual spellings at once, others one by one."""
-    *found, rest = _values(raw, field)
-    if not found:
-        return rest if field.nullable else rest.fill_null("")
-    values = found[0]
-    if not values.null_count:
-        return values
-    return pa.array([convert(field, r) if v is None else v for v, r in zip(values.to_pylist(), rest.to_pylist(), strict=True)], values.type)
-
-
 def register(spark: SparkSession) -> None:
     ensure(spark).dataSource.register(XmlSource)

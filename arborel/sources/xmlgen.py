@@ -27,6 +27,11 @@ def leaf(name: str, value: Column, *, optional: bool = False) -> Column:
     return F.when(value.isNotNull(), made).otherwise("") if optional else made
 
 
+def number(name: str, value: Column) -> Column:
+    """An element with a number, which has nothing to escape; null is empty."""
+    return element(name, F.coalesce(value.cast("string"), F.lit("")))
+
+
 def nested(rows: DataFrame, keys: list[str], order: list[str], xml: Column, name: str) -> DataFrame:
     """One row for each key with the fragments of its rows in order, as column `name`.
 

@@ -11,7 +11,7 @@ from arborel import Field, Mapping, Shredder, Table, relinked, shred_files, shre
 from arborel.errors import EncodingFault, MissingValue, ShredError, ValueFault, recovered
 from arborel.functions.convert import converted
 from arborel.functions.plain import convert
-from arborel.functions.quick import quick
+from arborel.functions.quick import quick, typed
 from arborel.plans.mapping import TYPES
 
 from .shredding import number, shred, text
@@ -62,6 +62,11 @@ def test_conversions_agree(spark, kind, nullable):
     rows = spark.createDataFrame([(r,) for r, _ in fine], "raw string").coalesce(1)
     got = [r[0] for r in rows.select(converted(field, F.col("raw")).alias("v")).collect()]
     assert [str(x) for x in got] == [str(v) for _, v in fine]
+    assert [str(x) for x in typed(field, pa.array([r for r, _ in fine], pa.string()))] == [str(v) for _, v in fine]
+    for raw, error in wrong:
+        with pytest.raises(error) as e:
+            typed(field, pa.array([raw, raw], pa.string()))
+        assert e.value.field == "v" and e.value.row == 0
     for raw, error in wrong[:: max(1, len(wrong) // 4)]:
         with pytest.raises(Exception) as e:  # noqa: PT011
             spark.createDataFrame([(raw,)], "raw string").select(converted(field, F.col("raw"))).collect()
