@@ -2,56 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..shared import new_path, remove
+
 #: Rows of one Arrow record batch are worked on in pieces of about this many bytes.
 PIECE_BYTES = 1 << 20
 
-_own_dirs: dict[str, str] = {}
-_used: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir.
-
-    Driver and executors all see that folder on a cluster, where the setting
-    must be there.  In local mode a temporary folder of this machine serves
-    without it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="arborel-"))
-    path = f"{base.rstrip('/')}/arborel-{app}"
-    if path not in _used:
-        _used[path] = spark
-        atexit.register(remove, spark, path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, if the session still lives."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the gateway may be gone at exit
-        pass
-
-
 _scratch: list[list[str]] = []
 
 
@@ -99,6 +60,25 @@ def shards_for(df: DataFrame, each: int = 256 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
+#: A key is cut if it has more than this part of a table's rows, and at least so many.
+HOT_SHARE, HOT_ROWS = 10_000, 100
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, sums: DataFrame, total: int, by: str) -> DataFrame:
+    """Inner join with a table of one row a key, where some keys have very many of left's rows.
+
+    sums has for each key the number n of left's rows, total is their number
+    in all.  Keys of more than a ten-thousandth of them, fewer than 10,000,
+    are cut: left's rows go to parts by a hash of column `by`, and right's row
+    is copied to each.  What is broadcast is a key and a number for each.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(sums.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).alias("_parts")))
+    cut = left.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), "_parts"), F.lit(0).cast("long"))).drop("_parts")
+    copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1))).drop("_parts")
+    return cut.join(copied, [key, "_part"]).drop("_part")
+
+
 #: Stretches of ids of which rows are counted before a table is dealt to shards.
 STRETCHES = 1 << 16
 

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import Powers, mix64, pieces, scratch, span_hashes, whole_row, word_spans, written
+from .common import Powers, mix64, pieces, salted_join, scratch, span_hashes, whole_row, word_spans, written
 
 _NODES, _PATHS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 _ODD = np.uint64(0xE7037ED1A0B428DB)
@@ -191,13 +191,13 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, k: int = 16, limit: int
     anchors = written(seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
     shared = written(seen.join(anchors, "anchor", "left_semi"), "shared")
     single = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)
-    known = shared.groupBy("piece").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor"), F.min("windows").alias("windows"), single("before"), single("after"))
+    known = shared.groupBy("piece").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.max("doc_id").alias("last"), F.min("anchor").alias("anchor"), F.min("windows").alias("windows"), F.count("*").alias("n"), single("before"), single("after"))
     known = written(known, "known")
     branching = written(known.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1").select("anchor"), "branching")
     # Pieces of one document only lie in no path: all pieces of a path are of the same documents.
     paths = written(compacted(known.where(F.col("at.doc_id") < F.col("last"))), "paths")
-    parted = written(known.join(branching, "anchor", "left_semi").select("piece", F.col("at.doc_id").alias("source")), "parted")
-    asked = shared.select("piece", "doc_id", "row", "first", "windows").join(parted, "piece").where("doc_id = source").select("doc_id", "row", "first", "windows", F.lit(False).alias("path"))
+    parted = written(known.join(branching, "anchor", "left_semi").select("piece", "at.doc_id"), "parted")
+    asked = shared.select("piece", "doc_id", "row", "first", "windows").join(parted, ["piece", "doc_id"]).select("doc_id", "row", "first", "windows", F.lit(False).alias("path"))
     asked = asked.unionByName(paths.select("doc_id", "row", "first", "windows", F.lit(True).alias("path")))
     lists = written(asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "windows", "path")).alias("x")), "asked")
     read = docs.join(lists.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "x.first", "x.windows", "x.path")
@@ -205,12 +205,12 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, k: int = 16, limit: int
 
     proven = proofs.where("path").groupBy("doc_id", "row", "first").agg(F.min("proof").alias("proof"))
     proven = written(paths.join(proven, ["doc_id", "row", "first"]).select(F.col("head").alias("piece"), F.col("windows").alias("length"), F.struct("doc_id", "row", "first").alias("at"), "proof"), "proven")
-    whole = shared.select("piece", "doc_id", "row", "first").join(proven, "piece").where(F.col("doc_id") > F.col("at.doc_id"))
+    whole = salted_join(shared.select("piece", "doc_id", "row", "first"), proven, "piece", known, shared.count(), "doc_id").where(F.col("doc_id") > F.col("at.doc_id"))
     whole = whole.select("doc_id", "row", "first", F.col("length").alias("windows"), F.col("at.doc_id").alias("source"), F.col("at.row").alias("source_row"), F.col("at.first").alias("source_first"), "proof")
 
     edges = proofs.where("NOT path").select("doc_id", "row", "first", "proof")
-    twice = written(edges.groupBy("proof").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").drop("last"), "edges")
-    part = edges.join(twice, "proof").where(F.col("doc_id") > F.col("at.doc_id"))
+    sums = written(edges.groupBy("proof").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "edges")
+    part = salted_join(edges, sums.where("at.doc_id < last").select("proof", "at"), "proof", sums, proofs.count(), "doc_id").where(F.col("doc_id") > F.col("at.doc_id"))
     part = part.select("doc_id", "row", "first", F.col("at.doc_id").alias("source"), F.col("at.row").alias("source_row"), F.col("at.first").alias("source_first")).distinct()
     # Windows one after the other in both texts are one span.
     diagonal = ["doc_id", "row", "source", "source_row", (F.col("first") - F.col("source_first")).alias("shift")]
