@@ -27,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, mix64, pieces, scratch, span_hashes, word_spans, written
+from .common import HOT_ROWS, LOWER, mix64, pieces, salted_join, scratch, span_hashes, word_spans, written
 from .components import components
 
 #: Rate and base of the registers, and their largest value.
 RATE, BASE, TOP = 20.0, 1.001, 65535
+#: Elements of a set that count as one set's place in a block.
+BLOCK_SET = 2000
 _A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -219,9 +221,9 @@ def _near_duplicates(source: DataFrame, shingle: int, percent: int, r: int, band
     met = nodes.select("node", "registers").mapInArrow(_bands(m, r), "band long, node long")
     met = written(met, "bands")
     # Sums are written before they are joined: then both sides are plain shuffles, and hot keys are split.
-    crowds = written(met.groupBy("band").agg(F.count("*").alias("crowd"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "crowd"), "crowds")
-    meetings = met.join(crowds, "band")
-    meetings = written(meetings, "meetings")
+    crowds = written(met.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "n"), "crowds")
+    total = met.count()
+    meetings = written(salted_join(met, crowds.withColumn("crowd", F.col("n")).drop("n"), "band", crowds, total, "node"), "meetings")
     scores = meetings.groupBy("node").agg(F.sum("crowd").alias("score"))
     members = written(meetings.join(scores, "node").select("band", "node", "score"), "members")
     # Texts and sets are shuffled at any size: a small run then moves what a large one does, in proportion.
@@ -230,25 +232,33 @@ def _near_duplicates(source: DataFrame, shingle: int, percent: int, r: int, band
     figures = written(nodes.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "n", "registers"), "figures")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs, one of each a hub, that link; hubs have many pairs, which are cut and meet copies of the hub."""
+        pairs = written(pairs, "pairs")
+        n_pairs, often = pairs.count(), {x: written(pairs.groupBy(x).agg(F.count("*").alias("n")).where(f"n > {HOT_ROWS}"), "often") for x in "ab"}
+        met = lambda left, right, x: salted_join(left, right, x, often[x], n_pairs, "ba"["ab".index(x)])
         a, b = (figures.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
-        sized = pairs.join(b, "b").join(a, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "ra", "nb", "rb")
+        sized = met(met(pairs, b, "b"), a, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "ra", "nb", "rb")
         likely = written(sized.mapInArrow(_likely(percent / 100 - margin), "a long, b long"), "likely")
         sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        both = likely.hint("merge").join(sb, "b").join(sa.hint("merge"), "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+        both = met(met(likely.hint("merge"), sb, "b"), sa.hint("merge"), "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return written(both.where(f"100 * common >= {percent} * (total - common)").select("a", "b").distinct(), "links")
 
     hubs = written(members.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub")), "hubs")
-    meet = written(members.join(hubs, "band").select("hub", "node").distinct(), "meet")
+    meet = written(salted_join(members, hubs, "band", crowds, total, "node").select("hub", "node").distinct(), "meet")
     first = verified(meet.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     labels = components(first)
 
     # Where hub and members are of several components: those outside the largest, against all, in blocks.
-    groups = written(meet.join(labels, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component")), "groups")
-    parts = groups.groupBy("hub", "component").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("hub").agg(F.sum("k").alias("crowd"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = written(mixed.select("hub", F.col("most.component").alias("main"), F.ceil((F.col("crowd") - F.col("most.k")) / block).alias("rows"), F.ceil(F.col("crowd") / block).alias("columns")), "mixed")
+    groups = written(meet.join(labels, "node", "left").join(figures.select("node", "n"), "node").select("hub", "node", F.coalesce("component", "node").alias("component"), "n"), "groups")
+    parts = groups.groupBy("hub", "component").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    crowded = parts.groupBy("hub").agg(F.sum("k").alias("n"), F.sum("size").alias("size"), F.max(F.struct("k", "component", "size")).alias("most"), F.count("*").alias("kinds"))
+    crowded = written(crowded, "crowded")
+    # A block holds so many sets, and so many of their elements, on average at most.
+    cut = lambda k, size: F.ceil(F.greatest(k / block, size / (block * BLOCK_SET)))
+    mixed = crowded.where("kinds > 1").select("hub", F.col("most.component").alias("main"), cut(F.col("n") - F.col("most.k"), F.col("size") - F.col("most.size")).alias("rows"), cut(F.col("n"), F.col("size")).alias("columns"))
     entry = F.struct("node", "component", "shingles").alias("entry")
-    rest = groups.join(mixed, "hub").join(sets, "node").select("hub", F.xxhash64("node").alias("h"), (F.col("component") != F.col("main")).alias("outside"), "rows", "columns", entry)
+    apart = salted_join(groups.drop("n"), mixed, "hub", crowded, groups.count(), "node")
+    rest = apart.join(sets, "node").select("hub", F.xxhash64("node").alias("h"), (F.col("component") != F.col("main")).alias("outside"), "rows", "columns", entry)
     left = rest.where("outside").groupBy("hub", F.expr("pmod(h, rows)").alias("i")).agg(F.collect_list("entry").alias("x"))
     right = rest.groupBy("hub", F.expr("pmod(h, columns)").alias("j")).agg(F.collect_list("entry").alias("y"))
     index = mixed.select("hub", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), "columns").select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
