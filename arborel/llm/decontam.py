@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import whole_row, written
+from .common import pieces, whole_row, written
 
 #: Byte map of the normal form: ASCII letters are lowered, bytes that are
 #: neither ASCII letters, digits nor part of a non-ASCII character are spaces.
@@ -34,6 +34,7 @@ HITS = T.StructType(
         T.StructField("n_hit", T.LongType()),
         T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("spans", T.ArrayType(T.IntegerType())),
+        T.StructField("offsets", T.ArrayType(T.IntegerType())),
     ]
 )
 
@@ -90,14 +91,15 @@ def _runs(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def original_spans(text: str, runs: list[int]) -> list[tuple[int, int]]:
-    """Character offsets in the original text of runs of normalised words."""
+def original_spans(text: str, runs: list[int]) -> list[int]:
+    """Character offsets in the original text of runs of normalised words, flat as they are: first, end, first, end ..."""
     raw = text.encode("utf-8", "surrogatepass")
     flat = np.frombuffer(raw.translate(NORMAL), np.uint8) != 0x20
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flat.view(np.int8), [0]])))
     starts, ends = edge[::2], edge[1::2]
     chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-    return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in zip(runs[::2], runs[1::2], strict=True)]
+    at = np.array(runs).reshape(-1, 2)
+    return np.column_stack([chars[starts[at[:, 0]]], chars[ends[at[:, 1] - 1]]]).ravel().tolist()
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -123,17 +125,20 @@ def _scan(source: DataFrame, patterns) -> DataFrame:
     """One scan of (doc_id, text, row) with one broadcast automaton; text and whole, if there, go along."""
     carry = "whole" in source.columns
     schema = T.StructType([*HITS.fields, T.StructField("row", T.LongType()), *([source.schema["text"], source.schema["whole"]] if carry else [])])
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in kinds]
-            for key, value, row in zip(*batch.columns[:3], strict=True):
-                n, hit, items = patterns.value.scan(value.as_py())
-                found = (key.as_py(), n, 0 if hit is None else int(hit.sum()), sorted(items), [] if hit is None else _runs(hit), row.as_py())
-                for o, v in zip(out, found, strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(o, t) for o, t in zip(out, kinds, strict=True)), *([batch.column(1), batch.column(3)] if carry else [])], names=schema.names)
+            for a, b, _, _ in pieces(batch, 1):
+                part = batch.slice(a, b - a)
+                out: list[list] = [[] for _ in kinds]
+                for key, text, row in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
+                    n, hit, items = patterns.value.scan(text)
+                    runs = [] if hit is None else _runs(hit)
+                    found = (key, n, 0 if hit is None else int(hit.sum()), sorted(items), runs, original_spans(text, runs) if runs else [], row)
+                    for o, v in zip(out, found, strict=True):
+                        o.append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(o, t) for o, t in zip(out, kinds, strict=True)), *([part.column(1), part.column(3)] if carry else [])], names=schema.names)
 
     return source.mapInArrow(scan, schema)
 
@@ -142,22 +147,25 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unite the runs and items that several automata found in a document."""
     for batch in batches:
         out: list[list] = [[] for _ in HITS.names]
-        for key, n, items, spans in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+        for key, n, items, spans, offsets in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
             runs: list[int] = []
-            for first, end in sorted(zip(spans[::2], spans[1::2], strict=True)):
+            places: list[int] = []
+            for first, end, start, stop in sorted(zip(spans[::2], spans[1::2], offsets[::2], offsets[1::2], strict=True)):
                 if runs and first <= runs[-1]:
-                    runs[-1] = max(runs[-1], end)
+                    runs[-1], places[-1] = max(runs[-1], end), max(places[-1], stop)
                 else:
                     runs += [first, end]
-            for o, v in zip(out, (key, n, sum(runs[1::2]) - sum(runs[::2]), sorted(set(items)), runs), strict=True):
+                    places += [start, stop]
+            for o, v in zip(out, (key, n, sum(runs[1::2]) - sum(runs[::2]), sorted(set(items)), runs, places), strict=True):
                 o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)] + batch.columns[4:], names=HITS.names + batch.schema.names[4:])
+        yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)] + batch.columns[5:], names=HITS.names + batch.schema.names[5:])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 4_000_000, carry: bool = False) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, items, spans; with carry also text, and the row's other columns as a struct.
+    """Per document row: doc_id, n_words, n_hit, items, spans, offsets; with carry also text, and the row's other columns as a struct.
 
-    spans lists first, end, first, end ... of runs of hit words.  Null and
+    spans lists first, end, first, end ... of runs of hit words, offsets the
+    same runs as places of characters in the original text.  Null and
     empty texts have no words; items without words or with a null id are
     patterns of nothing; with no items nothing is hit.  Repeated rows are
     judged each by itself.  Other columns of the inputs are not read.
@@ -174,11 +182,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
         result = _scan(source if not found else source.select("doc_id", "text", "row"), sent)
         found.append(written(result if not found else result.where("n_hit > 0").dropDuplicates(["doc_id", "row"]), "hits"))
         sent.destroy()
-    more = functools.reduce(DataFrame.unionAll, found[1:]).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("items")).alias("more"), F.flatten(F.collect_list("spans")).alias("further"))
+    more = functools.reduce(DataFrame.unionAll, found[1:]).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("items")).alias("more"), F.flatten(F.collect_list("spans")).alias("further"), F.flatten(F.collect_list("offsets")).alias("beyond"))
     one = found[0].alias("a").join(more.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.row").eqNullSafe(F.col("b.row")), "left")
     none = F.array()
-    both = one.select("a.doc_id", "n_words", F.concat("items", F.coalesce("more", none.cast("array<string>"))).alias("items"), F.concat("spans", F.coalesce("further", none.cast("array<int>"))).alias("spans"), *(["a.text", "a.whole"] if carry else []))
-    return both.mapInArrow(_joined, T.StructType([*HITS.fields, *both.schema.fields[4:]]))
+    both = one.select("a.doc_id", "n_words", F.concat("items", F.coalesce("more", none.cast("array<string>"))).alias("items"), F.concat("spans", F.coalesce("further", none.cast("array<int>"))).alias("spans"), F.concat("offsets", F.coalesce("beyond", none.cast("array<int>"))).alias("offsets"), *(["a.text", "a.whole"] if carry else []))
+    return both.mapInArrow(_joined, T.StructType([*HITS.fields, *both.schema.fields[5:]]))
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:

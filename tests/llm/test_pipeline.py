@@ -47,6 +47,27 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == 0
 
 
+CONTRACT = {
+    "op1_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op2_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op3_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op4_token_file": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op5_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op6_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op7_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op8_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op9_main_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op10_merge_dropout": "doc_id bigint",
+}
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
-def test_queries_have_their_columns(name):
-    assert callable(queries.QUERIES[name]) and set(queries.SQL) <= set(queries.QUERIES)
+def test_queries_have_their_columns(spark, tmp_path, name):
+    """Each query over small tables: the columns of its contract first, and a row for each row."""
+    path = documents(spark, tmp_path, [(i, f"some words of text number {i}" if i else None, "en", "s", 5) for i in range(30)])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(i, f"http://h.example/{i}", f"<p>page {i % 3}</p>" * 100) for i in range(30)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    made = queries.QUERIES[name](spark, path)
+    want = CONTRACT[name].split(", ")
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in made.schema][: len(want)] == want
+    assert made.count() == 30 and set(queries.SQL) <= set(queries.QUERIES)

@@ -209,6 +209,11 @@ def test_contamination_against_brute_force(spark, block_words):
     found = decontam.contamination(frame(spark, docs), bench, block_words=block_words)
     got = [(r.doc_id, r.n_words, r.n_hit, ",".join(sorted(r["items"]))) for r in found.collect()]
     assert key(got) == key(want)
+    said = {t for _, t in docs}
+    for r in found.where("n_hit > 0").collect():  # offsets cut the hit words out of the original text
+        (text,) = [t for i, t in docs if i == r.doc_id and len(words(t)) == r.n_words][:1]
+        cut = [words(text[a:b]) for a, b in zip(r.offsets[::2], r.offsets[1::2], strict=True)]
+        assert text in said and cut == [words(text)[a:b] for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)]
     carried = decontam.contamination(frame(spark, docs), bench, block_words=block_words, carry=True)
     assert carried.select("whole.*", "text", "n_hit").count() == len(docs)
     assert decontam.contamination(frame(spark, docs), bench.where("false")).where("n_hit > 0").count() == 0
@@ -218,7 +223,7 @@ def test_hits_map_to_the_original():
     p = decontam.Patterns([("1", ["é".encode(), b"b"])], 13)
     text = "«A» É... é,  B! c"
     _, hit, items = p.scan(text)
-    (span,) = decontam.original_spans(text, decontam._runs(hit))
+    span = decontam.original_spans(text, decontam._runs(hit))
     assert items == {"1"} and text[slice(*span)] == "é,  B"
 
 
@@ -346,6 +351,17 @@ def test_ranges_follow_from_the_keys(spark):
     assert made[0] == made[1] and sum(made[0], []) == sorted(-1 if k is None else k for k in keys) and len(made[0]) == 6
 
 
+def test_salted_joins_are_joins(spark, monkeypatch):
+    """Keys that are cut into parts give the rows of a plain join; keys without a row of right give none."""
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    rng = random.Random(2)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, rng.randrange(50)]), i) for i in range(500)], "k long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 50, 2)] + [(1, "r1")], "k long, w string")
+    sums = left.groupBy("k").agg(F.count("*").alias("n"))
+    got = common.salted_join(left, right, "k", sums, 500, "v")
+    assert got.columns == ["k", "v", "w"] and sorted(got.collect()) == sorted(left.join(right, "k").collect())
+
+
 def test_long_and_short_texts_in_token_files(spark):
     """Batches are cut by bytes, so a text of any length is encoded whole."""
     path = queries.vocabulary_file("word_bpe_49k.json")
