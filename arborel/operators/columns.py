@@ -30,8 +30,8 @@ from .fold import _BLANK, _ENTITIES, _REFERENCE, _attribute_value, _character
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_FIX = np.zeros(256, bool)  # bytes for which an attribute's value is not its raw text
-_FIX[[0x26, 0x09, 0x0A, 0x0D]] = True
+_TURNED = np.zeros(256, bool)  # white space that becomes a space in an attribute's value
+_TURNED[[0x09, 0x0A, 0x0D]] = True
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 #: Names up to this length are hashed by words of eight bytes, longer ones one by one.
@@ -233,6 +233,7 @@ class Columns:
         bad[doc[((mark == 0x21) | (mark == 0x3F)) & ~declared]] = True
         # Quotes must pair up within tags.
         dq, sq, amp = (np.flatnonzero(data == b) for b in (0x22, 0x27, 0x26))
+        every_amp = amp
         in_tag = lambda x: np.searchsorted(x, gt) - np.searchsorted(x, lt)
         quotes = in_tag(dq) if len(dq) else np.zeros(len(lt), int)
         for odd in (quotes & 1 > 0, in_tag(sq) > 0):
@@ -246,7 +247,8 @@ class Columns:
         alone = ~ends & (data[gt - 1] == 0x2F)
         begin = lt + 1 + ends
         stop = gt - alone
-        space = np.append(np.flatnonzero(_SPACE[data]), len(data))
+        low = np.flatnonzero(data[:size] <= 0x20)  # few bytes are looked at one by one
+        space = np.append(low[_SPACE[data[low]]], size)
         until = np.minimum(space[np.searchsorted(space, begin)], stop)
         bad[doc[(until == begin) | ends & (until != stop)]] = True
         name = name_hashes(data, begin, until - begin)
@@ -387,8 +389,10 @@ class Columns:
             ka, kb = before + 1, open_ - 1
             trailing = np.append(leading[1:], True)
             wrong = (data[kb] != 0x3D) | ~_SPACE[data[before]] | (ka >= kb) | trailing & (close + 1 != stop[token])
-            equals = np.flatnonzero(data == 0x3D)
-            wrong |= (np.searchsorted(space, kb) != np.searchsorted(space, ka)) | (np.searchsorted(equals, kb) != np.searchsorted(equals, ka))
+            parting = data == 0x3D
+            parting[space[:-1]] = True
+            parting = np.flatnonzero(parting)
+            wrong |= np.searchsorted(parting, kb) != np.searchsorted(parting, ka)
             bad[doc[token[wrong]]] = True
             bad[doc[tagged[k == 0]]] = True
             keep = ~bad[doc[token]]
@@ -404,9 +408,10 @@ class Columns:
                 raw[some] = name_hashes(data, at[some] + 1, kb[some] - at[some] - 1)
             to = shape.attributes.follow(node[token], raw)
             hit = np.flatnonzero(to >= 0)
-            fix = np.flatnonzero(_FIX[data])
             va, vb = open_[hit] + 1, close[hit]
-            odd = np.flatnonzero(np.searchsorted(fix, vb) != np.searchsorted(fix, va))
+            turned = low[_TURNED[data[low]]]
+            within = lambda x: np.searchsorted(x, vb) != np.searchsorted(x, va) if len(x) else np.zeros(len(va), bool)
+            odd = np.flatnonzero(within(turned) | within(every_amp))
 
             va, vb = replaced(va, vb, odd, _normalised)
             for cell in mine:
