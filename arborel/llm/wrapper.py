@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 A page's tree is folded: siblings with one label become one node, so that its
-paths form a small ordered tree of slots.  Trees of a host are aligned with
-the host's exemplar by simple tree matching; aligned slots share an identity.
+paths form a small ordered tree of slots.  Pages with the most frequent trees
+of a host are its exemplars; each page is aligned by simple tree matching with the one
+that it is most like, and aligned slots share an identity.
 Over all distinct pages of the host two things are template: slots whose text
 hardly differs, and single nodes of a slot that almost all pages repeat.  The
 rest varies and is content.  A page's text is its varying nodes, within the
@@ -25,7 +26,7 @@ from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import pieces, written
 
@@ -236,9 +237,14 @@ def _in_order(a: Tree, b: Tree) -> tuple[int, tuple]:
     return weight, tuple(pairs)
 
 
+@lru_cache(100_000)
+def size(tree: Tree) -> int:
+    return 1 + sum(map(size, tree[1]))
+
+
 @lru_cache(20_000)
-def slots(page: Tree, exemplar: Tree) -> dict[tuple[str, ...], str]:
-    """Path in the page -> slot: the exemplar's path where aligned, else its own."""
+def slots(page: Tree, exemplars: tuple[Tree, ...]) -> dict[tuple[str, ...], str]:
+    """Path in the page -> slot: number of the exemplar most like it, and the exemplar's path where aligned, else its own."""
     found: dict[tuple[str, ...], str] = {}
 
     def walk(p: Tree, path: tuple[str, ...], e: Tree | None, slot: str) -> None:
@@ -248,7 +254,10 @@ def slots(page: Tree, exemplar: Tree) -> dict[tuple[str, ...], str]:
             twin = e[1][pairs[i]] if i in pairs and matched(child, e[1][pairs[i]])[0] else None
             walk(child, (*path, child[0]), twin, f"{slot}/{twin[0] if twin else '+' + child[0]}")
 
-    walk(page, (), exemplar, "")
+    # Matched nodes against the nodes of both; the first of equals.
+    likeness = [matched(page, e)[0] / (size(page) + size(e)) for e in exemplars]
+    best = max(range(len(exemplars)), key=likeness.__getitem__, default=-1)
+    walk(page, (), exemplars[best] if exemplars else None, str(best) if exemplars else "")
     return found
 
 
@@ -283,15 +292,16 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-EMPTY: Tree = ("", ())
 FOUND = "page_id long, url string, text string, n_chars long"
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, page = (c.to_pylist() for c in batch.columns)
-        trees = [encoded(folded([b.path for b in blocks(p or "")])) for p in page]
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(trees, pa.string())], names=["host", "exemplar"])
+        for start, end, _, _ in pieces(batch, 1):
+            part = batch.slice(start, end - start)
+            paths = [[b.path for b in blocks(p or "")] for p in part.column(1).to_pylist()]
+            shapes = [encoded(folded([tuple(map(_tag, path)) for path in own])) for own in paths]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shapes, pa.string()), pa.array([encoded(folded(own)) for own in paths], pa.string())], names=["host", "shape", "tree"])
 
 
 def _id(*parts: str) -> int:
@@ -329,9 +339,9 @@ def _observed(lookup):
     return run
 
 
-def main_text(found: list[Block], host: str, template: Container[int], exemplar: Tree) -> str:
+def main_text(found: list[Block], host: str, template: Container[int], exemplars: tuple[Tree, ...]) -> str:
     """Nodes that vary: those of the article where there is one."""
-    where = slots(folded([b.path for b in found]), exemplar)
+    where = slots(folded([b.path for b in found]), exemplars)
     varies = lambda b: _slot_id(host, where[b.path]) not in template and _id(host, where[b.path], b.text) not in template
     article = [b for b in found if b.article and not b.dropped]
     if article:
@@ -353,11 +363,12 @@ def _extracted(lookup, known):
     return run
 
 
-def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_pages: int = 10, most_distinct: float = 0.1, least_repeated: float = 0.9, most_broadcast: int = 32 << 20) -> DataFrame:
+def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", exemplars: int = 4, least_pages: int = 10, most_distinct: float = 0.1, least_repeated: float = 0.9, most_broadcast: int = 32 << 20) -> DataFrame:
     """Per page row: page_id, url, text, n_chars.
 
-    Statistics cover all pages of each host.  The exemplar is the page of the
-    least id.  Tables of hosts are broadcast up to `most_broadcast` bytes and
+    Statistics cover all pages of each host.  Its exemplars have the
+    `exemplars` shapes (trees of tags) that most of its pages have; of a shape
+    the least tree is taken.  Tables of hosts are broadcast up to `most_broadcast` bytes and
     joined beyond.  A slot, in articles too, is template if at least
     `least_pages` distinct pages have it and at most `most_distinct` of them
     differ in it; a node is, if as many pages have it and they are at least
@@ -367,18 +378,19 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
-    first = written(rows.where("html IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("page_id")), "first")
     small = lambda df, size: (df.agg(F.sum(size)).first()[0] or 0) <= most_broadcast
-    chosen = rows.join(F.broadcast(first) if small(first, F.octet_length("host") + 24) else first, ["host", "page_id"]).select("host", "html")
-    exemplars = written(chosen.mapInArrow(_skeletons, "host string, exemplar string").groupBy("host").agg(F.min("exemplar").alias("exemplar")), "exemplars")
-    if small(exemplars, F.octet_length("host") + F.octet_length("exemplar")):
-        sent = spark.sparkContext.broadcast(dict(map(tuple, exemplars.collect())))
-        with_tree = rows.withColumn("exemplar", F.lit(None).cast("string"))
-        lookup = lambda host, _: decoded(sent.value[host]) if host in sent.value else EMPTY
+    shapes = rows.where("html IS NOT NULL").select("host", "html").mapInArrow(_skeletons, "host string, shape string, tree string").groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("tree").alias("tree"))
+    ranked = shapes.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "shape"))).where(F.col("rank") <= exemplars)
+    trees = written(ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "tree"))).alias("x")).select("host", F.col("x.tree").alias("exemplars")), "exemplars")
+    read = lambda texts: tuple(decoded(t) for t in texts or ())
+    if small(trees, F.octet_length("host") + F.aggregate("exemplars", F.lit(0), lambda n, t: n + F.octet_length(t))):
+        sent = spark.sparkContext.broadcast(dict(map(tuple, trees.collect())))
+        with_tree = rows.withColumn("exemplars", F.lit(None).cast("array<string>"))
+        lookup = lambda host, _: read(sent.value.get(host))
     else:
-        with_tree = rows.join(exemplars, "host", "left")
-        lookup = lambda _, tree: decoded(tree) if tree else EMPTY
-    seen = with_tree.select("host", "html", F.xxhash64("html").alias("page"), "exemplar").mapInArrow(_observed(lookup), "host string, id long, of long, page long, said long")
+        with_tree = rows.join(trees, "host", "left")
+        lookup = lambda _, texts: read(texts)
+    seen = with_tree.select("host", "html", F.xxhash64("html").alias("page"), "exemplars").mapInArrow(_observed(lookup), "host string, id long, of long, page long, said long")
     # Copies of a page say the same in every slot and count once.
     counts = seen.distinct().groupBy("host", "id", "of").agg(F.count("*").alias("pages"), F.approx_count_distinct("said").alias("kinds")).where(F.col("pages") >= least_pages)
     counts = written(counts, "counts")
@@ -393,4 +405,4 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     else:
         all_rows = with_tree.join(template, "host", "left")
         known = lambda _, ids: frozenset(ids or ())
-    return all_rows.select("page_id", "url", "host", "html", "exemplar", "constant").mapInArrow(_extracted(lookup, known), FOUND)
+    return all_rows.select("page_id", "url", "host", "html", "exemplars", "constant").mapInArrow(_extracted(lookup, known), FOUND)

@@ -79,13 +79,13 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 
 def test_article():
     found = wrapper.blocks(PAGE)
-    text = wrapper.main_text(found, "", frozenset(), wrapper.EMPTY)
+    text = wrapper.main_text(found, "", frozenset(), ())
     assert text.split("\n") == ["Title & more", "First line. Second", "Third link <b> é", "one", "two", "cell", "next"]
 
 
 @pytest.mark.parametrize("page", ["", "plain", "<p>", "<p", "<script>x", "</div></p>", "<article>", "<a<b>c", "<p>a</b>c</p>"])
 def test_broken_pages(page):
-    assert isinstance(wrapper.main_text(wrapper.blocks(page), "", frozenset(), wrapper.EMPTY), str)
+    assert isinstance(wrapper.main_text(wrapper.blocks(page), "", frozenset(), ()), str)
 
 
 def test_tree_matching():
@@ -93,8 +93,9 @@ def test_tree_matching():
     b = wrapper.folded([("body", "section", "p"), ("body", "div", "p"), ("body", "div.x", "h1")])
     weight, _ = wrapper.matched(a[1][0], b[1][0])
     assert weight == 2 + (2 + 2) + 2  # body; div with p; div.x
-    found = wrapper.slots(a, b)
-    assert found[("body", "div", "p")] == "/body/div/p" and found[("body", "ul", "li")] == "/body/+ul/+li"
+    found = wrapper.slots(a, (b,))
+    assert found[("body", "div", "p")] == "0/body/div/p" and found[("body", "ul", "li")] == "0/body/+ul/+li"
+    assert wrapper.slots(a, (b, a))[("body", "ul", "li")] == "1/body/ul/li" and wrapper.slots(a, ())[("body",)] == "/+body"
     assert wrapper.decoded(wrapper.encoded(a)) == a
 
 
@@ -118,6 +119,20 @@ def test_constant_slots_of_articles_are_template(spark):
     assert got == {i: f"Story {i}\nWords {i * 7} here" for i in range(20)} | {100 + i: "The only text" for i in range(20)}
 
 
+def test_hosts_of_several_templates(spark):
+    """Each page goes with the exemplar that it is most like, so that no template's slots blur another's."""
+    rows, want = [], {}
+    for i in range(60):
+        said = f"Words {i * 7} here"
+        if i % 3:
+            rows.append((i, f"http://a.example/{i}", f"<body><ul><li>Start</li></ul><div class=p{i}><h2>News {i}</h2><p>{said}</p></div><div class=q{i}><p>All rights reserved</p></div></body>"))
+        else:
+            rows.append((i, f"http://a.example/{i}", f"<body><div class=p{i}><p>Our shop</p></div><table><tr><td>News {i}</td></tr></table><div class=q{i}><p>{said}</p></div></body>"))
+        want[i] = f"News {i}\n{said}"
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
 def test_copies_of_a_page_count_once(spark):
     """Neither copies of one page nor a host of much copied pages make content look constant."""
     rows = [(i, f"http://a.example/{i}", "<body><p>Copied</p></body>") for i in range(8)]
@@ -130,9 +145,9 @@ def test_links_and_like_names_are_text():
     """Link paragraphs stay, and so do parts whose names only hold a word of the list."""
     page = """<body><article><h2 id="related-work">Related</h2><section id="search-algorithms"><p>Search</p></section><section id="notice"><p>Note</p></section>
 <h3 id="share">Share</h3><div class="share-prices">Prices</div><div class="share-buttons">Tweet</div><div class="main social-links">Follow</div><div class="ad-300x250">Buy</div></article></body>"""
-    assert wrapper.main_text(wrapper.blocks(page), "", frozenset(), wrapper.EMPTY).split("\n") == ["Related", "Search", "Note", "Share", "Prices"]
+    assert wrapper.main_text(wrapper.blocks(page), "", frozenset(), ()).split("\n") == ["Related", "Search", "Note", "Share", "Prices"]
     page = '<body><h2><a href="/s">Story</a></h2><p>Said</p><ul><li><a href="/r">Reference one</a></ul><div id="comments">Nice</div></body>'
-    assert wrapper.main_text(wrapper.blocks(page), "", frozenset(), wrapper.EMPTY).split("\n") == ["Story", "Said", "Reference one"]
+    assert wrapper.main_text(wrapper.blocks(page), "", frozenset(), ()).split("\n") == ["Story", "Said", "Reference one"]
 
 
 def test_induction_against_brute_force(spark):
@@ -177,7 +192,7 @@ def test_hard_pages_are_read_in_seconds(page, text):
     found = wrapper.blocks(page)
     tree = wrapper.folded([b.path for b in found])
     twin = wrapper.decoded(wrapper.encoded(wrapper.folded([b.path for b in wrapper.blocks(page + "<h1>x</h1>")])))
-    assert wrapper.main_text(found, "h", frozenset(), twin) == text
+    assert wrapper.main_text(found, "h", frozenset(), (twin,)) == text
     assert wrapper.matched(tree, twin)[0] > 0 and time.time() - began < 10
 
 
