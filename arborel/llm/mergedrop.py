@@ -14,12 +14,14 @@ merges are skipped alone, so courses are kept: the merges of a segment without
 skips, and from each merge the course that is taken if that one is skipped.
 Every occurrence draws for its own merges and follows the courses to the one
 of which it skips nothing.  New courses of a batch, and segments too long to
-recur, are worked out in numpy rounds.
+recur, are worked out in numpy rounds, a merge of each segment at a time; those
+of which that would be too many go through an agenda, a heap of candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ NONE = np.int64(1) << 30
 MEMO = 400_000
 #: Segments of more bytes are worked out at each occurrence.
 LONG = 40
+#: Segments of more bytes, such as text without spaces, go through a heap.
+AGENDA = 1000
 #: Occurrences that are drawn for at a time.
 DRAWN = 200_000
 _P, _Q = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -163,6 +167,78 @@ class Pieces:
         return sym, np.bincount(word, minlength=len(segments)), of[order], pair[order] * _P, mix64(where[order].astype(np.uint64) * _Q)
 
 
+    def agenda(self, segment: bytes, salt: int, rate: float) -> list[int]:
+        """Ids of one segment, as `merged` has them, in time that grows with n log n."""
+        chars = np.frombuffer(segment.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        known = self.char[chars]
+        sym = np.where(known >= 0, known, -chars - 1).tolist()
+        limit, last = int(rate * 2.0**32), len(sym)
+        before, after = list(range(-1, last - 1)), [*range(1, last), -1]
+        into: dict[int, tuple[int, int]] = {}  # pair -> its piece and rank; rank NONE if there is none
+
+        def learn(pairs: np.ndarray) -> None:
+            pairs = np.unique(pairs)
+            at = self.table.find(mix64(pairs.astype(np.uint64)))
+            piece = self.table.values[at]
+            into.update(zip(pairs.tolist(), zip(piece.tolist(), np.where(at >= 0, self.rank[piece], NONE).tolist(), strict=True), strict=True))
+
+        def candidate(i: int) -> tuple[int, int, int] | None:
+            """(rank, place, pair) of a symbol and the next, unless they never merge or are skipped."""
+            a, b = sym[i], sym[after[i]]
+            if a < 0 or b < 0:
+                return None
+            pair = a * self.n + b
+            if pair not in into:
+                learn(np.array([pair]))
+            skipped = limit and _mixed((salt + pair * int(_P) & _ALL) ^ _mixed(i * int(_Q) & _ALL)) >> 32 < limit
+            return None if into[pair][1] >= NONE or skipped else (into[pair][1], i, pair)
+
+        first = np.array(sym)
+        learn((first[:-1] * self.n + first[1:])[(first[:-1] >= 0) & (first[1:] >= 0)])
+        heap = [c for i in range(last - 1) if (c := candidate(i))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] is None or j < 0 or sym[i] < 0 or sym[j] < 0 or sym[i] * self.n + sym[j] != pair:
+                continue  # one of the two has gone into another piece
+            sym[i], sym[j], after[i] = into[pair][0], None, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for k in (i, before[i]):
+                if k >= 0 and after[k] >= 0 and (c := candidate(k)):
+                    heapq.heappush(heap, c)
+        out: list[int] = []
+        for v in sym:
+            if v is not None:
+                out += [v] if v >= 0 else [b + self.byte0 for b in chr(-v - 1).encode()]
+        return out
+
+    def alone(self, segments: list[bytes], salt: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each segment) of segments that do not recur."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        short, parts = np.flatnonzero(size <= AGENDA), [np.zeros(0, np.int32)] * len(segments)
+        if len(short):
+            ids, sizes = self.merged([segments[i] for i in short.tolist()], salt[short], rate)[:2]
+            for i, own in zip(short.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                parts[i] = own
+        for i in np.flatnonzero(size > AGENDA).tolist():
+            parts[i] = np.array(self.agenda(segments[i], int(salt[i]), rate))
+        return np.concatenate(parts).astype(np.int32), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+_ALL = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """common.mix64 of one number."""
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & _ALL
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & _ALL
+    return x ^ x >> 33
+
+
 class Grown:
     """An array that grows at its end."""
 
@@ -314,7 +390,7 @@ class MergeDropout:
             sizes = self.courses.length.data[course]
             return self.courses.ids.data[_spread(self.courses.begin.data[course], sizes)], sizes
         parts = []
-        for some, ids_of in ((~long, self._drawn), (long, lambda s, k: self.pieces.merged(s, k, self.rate)[:2])):
+        for some, ids_of in ((~long, self._drawn), (long, lambda s, k: self.pieces.alone(s, k, self.rate))):
             at = np.flatnonzero(some)
             parts.append((at, *(ids_of([segments[i] for i in at.tolist()], salt[at]) if len(at) else (np.zeros(0, np.int32), np.zeros(0, np.int64)))))
         sizes = np.zeros(len(segments), np.int64)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -545,6 +546,24 @@ def test_dropout_against_a_plain_agenda():
         assert [i for i, _ in symbols] == want.tolist()
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.25])
+def test_agenda_and_rounds_agree(rate):
+    pieces = mergedrop.Pieces(queries.vocabulary_file("piece_bpe_32k.model"))
+    rng = random.Random(13)
+    segments = [(rng.choice(["", " ", "   "]) + "".join(rng.choice("abcdethionéx日本▁") for _ in range(rng.randrange(1, 80)))).encode() for _ in range(150)]
+    salt = np.random.default_rng(1).integers(0, 2**63, len(segments)).astype(np.uint64)
+    ids, sizes = pieces.merged(segments, salt, rate)[:2]
+    assert [pieces.agenda(s, int(k), rate) for s, k in zip(segments, salt, strict=True)] == [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_long_texts_without_spaces_are_encoded_in_seconds():
+    coder = mergedrop.MergeDropout(queries.vocabulary_file("piece_bpe_32k.model"), rate=0.1, seed=1)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdethionrs") for _ in range(150_000)), "日本語" * 20_000, "word " * 100_000, "a" * 100_000]
+    began = time.time()
+    assert [coder.decode(ids) for ids in coder.encode(texts)] == texts and time.time() - began < 60
+
+
 def test_every_occurrence_is_drawn_for():
     """Repeats within a text vary, no two texts share their choices, and kept courses give what each draw alone gives."""
     path = queries.vocabulary_file("piece_bpe_32k.model")
