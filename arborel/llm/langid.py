@@ -298,25 +298,26 @@ def sample(docs: DataFrame, most: int, most_bytes: int, most_all: int, languages
 
     Every language is learned.  A model holds a number for each n-gram and
     language, so beyond `languages` of them the texts in all are lowered in
-    proportion, to one a language at least.  Texts are taken whole; those over
-    `most_bytes` are left to the others of their language, and begin it where
-    there are no others.
+    proportion, to one a language at least.  Of a text over `most_bytes` a
+    window of a quarter as many characters counts, at a place that its hash
+    gives.
     """
-    # Empty texts teach nothing, and over-long ones nothing that a bounded model can hold.
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = rows.withColumn("long", F.octet_length("text") > most_bytes).withColumn("text", F.when(F.col("long"), F.substring("text", 1, most_bytes // 4)).otherwise(F.col("text")))
-    found = rows.groupBy("lang", "long").agg(F.approx_count_distinct("text").alias("n")).collect()
-    n = {r["lang"]: r for r in sorted(found, key=lambda r: not r["long"])}  # the short ones last, so that they count
+    hashed, wide = F.xxhash64("text", F.lit(7)), most_bytes // 4
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", hashed)
+    # A text of more than 4 * wide bytes has more than wide characters.
+    window = F.substring("text", (F.pmod("h", F.length("text") - wide) + 1).cast("int"), F.lit(wide))
+    rows = rows.withColumn("text", F.when(F.octet_length("text") > most_bytes, window).otherwise(F.col("text")))
+    n = dict(map(tuple, rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()))
     if not n:
         return []
     most = max(1, min(most, min(most_all, most_all * languages // len(n)) // len(n) + (len(n) <= languages)))
     # More than enough, as counts and hashes are estimates; the least hashes of those are the least of all.
     enough = 1.2 * (most + 6 * most**0.5)
-    share = rows.sparkSession.createDataFrame([(x, r["long"], int(min(1.0, enough / max(1, r["n"])) * 1_000_000) + 1) for x, r in n.items()], "lang string, long boolean, share long")
-    hashed = F.xxhash64("text", F.lit(7))
-    chosen = rows.join(F.broadcast(share), ["lang", "long"]).where(F.pmod(hashed, F.lit(1_000_000)) < F.col("share"))
+    share = docs.sparkSession.createDataFrame([(x, int(min(1.0, enough / max(1, k)) * 1_000_000) + 1) for x, k in n.items()], "lang string, share long")
+    rank = F.pmod("h", F.lit(1_000_000))
+    chosen = rows.join(F.broadcast(share), "lang").where(rank < F.col("share"))
     taken: dict[str, list] = {}
-    for lang, text, h in chosen.select("lang", "text", F.pmod(hashed, F.lit(1_000_000)).alias("h")).distinct().collect():
+    for lang, text, h in chosen.select("lang", "text", rank.alias("rank")).distinct().collect():
         taken.setdefault(lang, []).append((h, text))
     return sorted((lang, text) for lang, of in taken.items() for _, text in sorted(of)[:most])
 

@@ -253,6 +253,9 @@ def test_all_languages_are_sampled(spark):
     assert sum(lang == "copied" for lang, _ in got) == 201 and ("few", "few") in [(t, x) for x, t in got]
     wide = langid.sample(spark.createDataFrame([(f"t{i}", "x") for i in range(5000)], "text string, lang string"), 500, 20_000, 10_000, 100)
     assert len(wide) == 500
+    # Long texts are as likely as others, and give a window.
+    long = langid.sample(spark.createDataFrame([("x" * 100 + str(i) + "é" * 30_000 + "y" * 9000, "x") for i in range(20)] + [(f"t{i}", "x") for i in range(20)], "text string, lang string"), 500, 20_000, 10_000, 100)
+    assert sorted(len(t) for _, t in long)[20:] == [5000] * (len(long) - 20) and len(long) > 20 and langid.train(long).languages == ["x"]
 
 
 def plain_kneser_ney(texts, order, letters):
