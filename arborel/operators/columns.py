@@ -234,6 +234,7 @@ class Columns:
         # Quotes must pair up within tags.
         dq, sq, amp = (np.flatnonzero(data == b) for b in (0x22, 0x27, 0x26))
         every_amp = amp
+        holds = np.diff(np.searchsorted(amp, offsets)) > 0  # without tags, an & is for the fold
         in_tag = lambda x: np.searchsorted(x, gt) - np.searchsorted(x, lt)
         quotes = in_tag(dq) if len(dq) else np.zeros(len(lt), int)
         for odd in (quotes & 1 > 0, in_tag(sq) > 0):
@@ -241,7 +242,7 @@ class Columns:
         ok = ~bad[doc] & ~declared
         lt, gt, doc, mark, quotes = lt[ok], gt[ok], doc[ok], mark[ok], quotes[ok]
         if not len(lt):
-            return {}, bad
+            return {}, bad | holds
 
         ends = mark == 0x2F
         alone = ~ends & (data[gt - 1] == 0x2F)
@@ -277,7 +278,7 @@ class Columns:
             lt, gt, doc, quotes, ends, alone, opens, begin, stop, until, name, local, own = (x[ok] for x in (lt, gt, doc, quotes, ends, alone, opens, begin, stop, until, name, local, own))
         n = len(lt)
         if not n:
-            return {}, bad
+            return {}, bad | holds
         paired = np.flatnonzero(~alone)
         paired = paired[np.argsort(own[paired].astype(np.int16) if own.max() < 32000 else own[paired], kind="stable")]
         starts, closes = paired[0::2], paired[1::2]
